@@ -1,0 +1,17 @@
+"""Join helpers with explicit broadcast size checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
+
+    The count is one cheap job over a small side. Beyond the bound the frame
+    is returned unchanged and the planner (with AQE's runtime statistics)
+    chooses a shuffle join.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
