@@ -77,29 +77,21 @@ def rolling_sum(c, n: int, w: WindowSpec, shift: int = 0) -> Column:
 shifted_rolling = rolling
 
 
-def rolling_quantiles(c, n: int, probs: list[float], w: WindowSpec) -> list[Column]:
-    """Exact quantiles (linear interpolation) of the last n values; null until n exist.
-
-    The frame's values are collected and sorted once per row, then each
-    quantile is read at its fixed position: lo + (hi - lo) * frac.
-    """
-    c = col_(c)
-    frame = w.rowsBetween(-(n - 1), 0)
-    arr = F.array_sort(F.collect_list(c).over(frame))
-    full = F.size(arr) == n
-    out = []
-    for p in probs:
-        pos = p * (n - 1)
-        lo = int(math.floor(pos))
-        frac = pos - lo
-        lo_v = F.element_at(arr, lo + 1)
-        if frac == 0:
-            v = lo_v
-        else:
-            hi_v = F.element_at(arr, lo + 2)
-            v = lo_v + (hi_v - lo_v) * F.lit(frac)
-        out.append(F.when(full, v))
-    return out
+def sorted_frame(c, n: int, w: WindowSpec) -> Column:
+    """The last n values in ascending order (shorter at the start of a series)."""
+    return F.array_sort(F.collect_list(col_(c)).over(w.rowsBetween(-(n - 1), 0)))
+
+
+def quantile_of_sorted(arr, n: int, p: float) -> Column:
+    """Quantile p (linear interpolation, lo + (hi - lo) * frac) of a sorted
+    array column; null unless the array holds exactly n values."""
+    arr = col_(arr)
+    pos = p * (n - 1)
+    lo = int(math.floor(pos))
+    frac = pos - lo
+    lo_v = F.element_at(arr, lo + 1)
+    v = lo_v if frac == 0 else lo_v + (F.element_at(arr, lo + 2) - lo_v) * F.lit(frac)
+    return F.when(F.size(arr) == n, v)
 
 
 def ema_lookback(span: int, tol: float = 1e-16) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candela.functions.expr import nan_to_null, rolling_quantiles
+from candela.functions.expr import nan_to_null, quantile_of_sorted, sorted_frame
 from candela.schema import BAR_COLUMNS, EXPECTED_TYPES, PRICE_COLUMNS
 
 
@@ -165,13 +165,18 @@ def iqr_rolling_flags(df: DataFrame, columns: list[str] | None = None, window: i
     columns = columns or PRICE_COLUMNS
     order = order or _order_cols(df)
     w = Window.partitionBy("Ticker").orderBy(*order)
-    out = df
+    # one sorted frame per column, materialised once, then read at fixed positions
+    s1 = df.select("*", *[sorted_frame(F.col(c), window, w).alias(f"_arr_{c}") for c in columns])
+    s2 = s1.select("*", *[quantile_of_sorted(f"_arr_{c}", window, p).alias(f"_q{i}_{c}")
+                          for c in columns for i, p in ((1, 0.25), (3, 0.75))])
+    flags = {}
     for c in columns:
-        q1, q3 = rolling_quantiles(F.col(c), window, [0.25, 0.75], w)
+        q1, q3 = F.col(f"_q1_{c}"), F.col(f"_q3_{c}")
         iqr = q3 - q1
         flag = (F.col(c) < q1 - 1.5 * iqr) | (F.col(c) > q3 + 1.5 * iqr)
-        out = out.withColumn(f"{c}_outlier", F.coalesce(flag, F.lit(False)))
-    return out
+        flags[f"{c}_outlier"] = F.coalesce(flag, F.lit(False))
+    helpers = [f"_arr_{c}" for c in columns] + [f"_q{i}_{c}" for c in columns for i in (1, 3)]
+    return s2.withColumns(flags).drop(*helpers)
 
 
 def any_flag(columns: list[str]) -> Column:

@@ -120,49 +120,62 @@ def cum_return(r: str, w: WindowSpec | None = None) -> Column:
 # ------------------------------------------------------------------ profiles
 
 def technical_features(bars: DataFrame, profile: Profile = PIPELINE) -> DataFrame:
-    """C1-C25, C28 for the ``pipeline``, ``prep`` and ``app`` profiles."""
+    """C1-C25, C28 for the ``pipeline``, ``prep`` and ``app`` profiles.
+
+    Stages: (1) window values read once each (lags, lead, EMAs, rolling
+    means); (2) row arithmetic on them; (3) windows over stage-2 columns;
+    (4) final arithmetic. Each window aggregate is evaluated exactly once.
+    """
     w = w_series()
     p = profile
-    gain, loss = rsi_parts(w)
     s1 = bars.select(
         "*",
-        target(w).alias("Target"),
-        returns("Close", 1, w).alias("_ret"),
-        log_returns(w).alias("Log_Returns"),
-        fdiv(F.col("High") - F.col("Low"), F.col("Close")).alias("High_Low_Pct"),
-        fdiv(F.col("Open") - F.lag("Close", 1).over(w), F.lag("Close", 1).over(w)).alias("Gap_Pct"),
-        pct_change(F.col("Volume"), F.lag("Volume", 1).over(w)).alias("Volume_Pct_Change"),
-        gain.alias("_gain"), loss.alias("_loss"),
+        F.lag("Close", 1).over(w).alias("_pc"),
+        F.lag("Volume", 1).over(w).alias("_pv"),
+        F.lead("Close", 1).over(w).alias("_nc"),
         ema(F.col("Close"), 12, w).alias("EMA_12"),
         ema(F.col("Close"), 26, w).alias("EMA_26"),
         rolling_mean(F.col("Close"), 20, w).alias("BB_Middle"),
         rolling_std(F.col("Close"), 20, w).alias("BB_Std"),
-        *[close_ratio(h, w).alias(f"Close_Ratio_{h}") for h in p.horizons],
+        *[rolling_mean(F.col("Close"), h, w).alias(f"_m{h}") for h in p.horizons],
     )
+    pc = F.col("_pc")
+    delta = F.col("Close") - pc
     upper = F.col("BB_Middle") + 2 * F.col("BB_Std")
     lower = F.col("BB_Middle") - 2 * F.col("BB_Std")
     s2 = s1.select(
         "*",
-        rsi_from(rolling_mean(F.col("_gain"), 14, w), rolling_mean(F.col("_loss"), 14, w)).alias("RSI"),
+        F.coalesce((F.col("_nc") > F.col("Close")).cast("int"), F.lit(0)).alias("Target"),
+        pct_change(F.col("Close"), pc).alias("_ret"),
+        F.log(fdiv(F.col("Close"), pc)).alias("Log_Returns"),
+        fdiv(F.col("High") - F.col("Low"), F.col("Close")).alias("High_Low_Pct"),
+        fdiv(F.col("Open") - pc, pc).alias("Gap_Pct"),
+        pct_change(F.col("Volume"), F.col("_pv")).alias("Volume_Pct_Change"),
+        F.when(delta > 0, delta).otherwise(F.lit(0.0)).alias("_gain"),
+        F.when(delta < 0, -delta).otherwise(F.lit(0.0)).alias("_loss"),
         (F.col("EMA_12") - F.col("EMA_26")).alias("MACD"),
         fdiv(F.col("Close") - lower, upper - lower).alias("BB_Position"),
+        *[fdiv(F.col("Close"), F.col(f"_m{h}")).alias(f"Close_Ratio_{h}") for h in p.horizons],
+    )
+    s3 = s2.select(
+        "*",
+        rolling_mean(F.col("_gain"), 14, w).alias("_ag"),
+        rolling_mean(F.col("_loss"), 14, w).alias("_al"),
         rolling_std(F.col("_ret"), 10, w).alias("Volatility_10"),
+        ema(F.col("MACD"), 9, w).alias(p.signal),
         *[trend(h, p.trend_shift, w).alias(f"Trend_{h}") for h in p.horizons],
     )
-    s3 = s2.withColumn(p.signal, ema(F.col("MACD"), 9, w)).withColumnRenamed("_ret", p.returns)
+    s4 = s3.withColumn("RSI", rsi_from(F.col("_ag"), F.col("_al"))).withColumnRenamed("_ret", p.returns)
     horizon_cols = []
     for h in p.horizons:
         horizon_cols += [f"Close_Ratio_{h}", f"Trend_{h}"]
     head = ["Ticker", "Date"] + (["Open", "High", "Low", "Close", "Volume"] if p.keep_ohlcv else ["Close"])
-    if p.name == "prep":
-        body = ["Target", p.returns]
-    else:
-        body = [p.returns]
+    body = ["Target", p.returns] if p.name == "prep" else [p.returns]
     body += ["Log_Returns", "High_Low_Pct", "Gap_Pct", "Volume_Pct_Change", "RSI", "MACD",
              p.signal, "BB_Middle", "BB_Std", "BB_Position", "Volatility_10"]
     if p.name != "prep":
         body += ["Target"]
-    out = s3.select(*head, *body, *horizon_cols,
+    out = s4.select(*head, *body, *horizon_cols,
                     F.weekday("Date").alias("Day_of_Week"), F.month("Date").alias("Month"))
     return out.na.drop() if p.dropna_all else out.na.drop(subset=["Target"])
 
@@ -175,45 +188,57 @@ BACKEND_EXCLUDE = ("Close", "Target", "Day_of_Week", "Month")
 
 def backend_features(bars: DataFrame) -> DataFrame:
     """C2-C21 of the ``backend`` profile: every feature lagged one day except
-    Log_Returns and the calendar; Open/High/Low/Volume dropped; all-null drop."""
+    Log_Returns and the calendar; Open/High/Low/Volume dropped; all-null drop.
+    Staged like ``technical_features`` so each window value is read once."""
     w = w_series()
-    prev = F.lag("Close", 1).over(w)
-    gain, loss = rsi_parts(w)
+    lags = sorted({1} | {1 + k for k in BACKEND_RETURN_LAGS})
     s1 = bars.select(
         "*",
-        target(w).alias("Target"),
-        *[pct_change(F.lag("Close", 1).over(w), F.lag("Close", 1 + k).over(w)).alias(f"Returns_{k}d")
-          for k in BACKEND_RETURN_LAGS],
-        F.log(fdiv(F.col("Close"), prev)).alias("Log_Returns"),
-        gain.alias("_gain"), loss.alias("_loss"),
+        *[F.lag("Close", k).over(w).alias(f"_c{k}") for k in lags],
+        F.lead("Close", 1).over(w).alias("_nc"),
+        F.lag(fdiv(F.col("High") - F.col("Low"), F.col("Close")), 1).over(w).alias("High_Low_Pct"),
         ema(F.col("Close"), 12, w).alias("_ema12"),
         ema(F.col("Close"), 26, w).alias("_ema26"),
         rolling_mean(F.col("Close"), 20, w).alias("_bb_mid"),
         rolling_std(F.col("Close"), 20, w).alias("_bb_std"),
-        fdiv(F.col("Volume"), rolling_mean(F.col("Volume"), 20, w)).alias("_vol_ratio"),
-        F.coalesce(F.signum(F.col("Close") - prev) * F.col("Volume"), F.lit(0.0)).alias("_obv_step"),
-        F.lag(fdiv(F.col("High") - F.col("Low"), F.col("Close")), 1).over(w).alias("High_Low_Pct"),
-        fdiv(F.col("Open") - prev, prev).alias("_gap"),
-        *[fdiv(F.col("Close"), rolling_mean(F.col("Close"), m, w)).alias(f"_ma{m}") for m in BACKEND_MA_WINDOWS],
+        rolling_mean(F.col("Volume"), 20, w).alias("_vol_mean"),
+        *[rolling_mean(F.col("Close"), m, w).alias(f"_mean{m}") for m in BACKEND_MA_WINDOWS],
     )
+    pc = F.col("_c1")
+    delta = F.col("Close") - pc
     upper = F.col("_bb_mid") + 2 * F.col("_bb_std")
     lower = F.col("_bb_mid") - 2 * F.col("_bb_std")
     s2 = s1.select(
         "*",
-        *[rolling_std(F.col("Returns_1d"), k, w, shift=1).alias(f"Volatility_{k}d") for k in BACKEND_VOL_WINDOWS],
-        rsi_from(rolling_mean(F.col("_gain"), 14, w), rolling_mean(F.col("_loss"), 14, w)).alias("_rsi"),
+        F.coalesce((F.col("_nc") > F.col("Close")).cast("int"), F.lit(0)).alias("Target"),
+        *[pct_change(F.col("_c1"), F.col(f"_c{1 + k}")).alias(f"Returns_{k}d") for k in BACKEND_RETURN_LAGS],
+        F.log(fdiv(F.col("Close"), pc)).alias("Log_Returns"),
+        F.when(delta > 0, delta).otherwise(F.lit(0.0)).alias("_gain"),
+        F.when(delta < 0, -delta).otherwise(F.lit(0.0)).alias("_loss"),
+        F.coalesce(F.signum(delta) * F.col("Volume"), F.lit(0.0)).alias("_obv_step"),
+        fdiv(F.col("Open") - pc, pc).alias("_gap"),
         (F.col("_ema12") - F.col("_ema26")).alias("_macd"),
         fdiv(F.col("Close") - lower, upper - lower).alias("_bb_pos"),
         fdiv(upper - lower, F.col("_bb_mid")).alias("_bb_width"),
-        F.sum("_obv_step").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("OBV"),
-        F.lag("_gap", 1).over(w).alias("Gap_Pct"),
+        fdiv(F.col("Volume"), F.col("_vol_mean")).alias("_vol_ratio"),
+        *[fdiv(F.col("Close"), F.col(f"_mean{m}")).alias(f"_ma{m}") for m in BACKEND_MA_WINDOWS],
     )
     s3 = s2.select(
         "*",
+        *[rolling_std(F.col("Returns_1d"), k, w, shift=1).alias(f"Volatility_{k}d") for k in BACKEND_VOL_WINDOWS],
+        rolling_mean(F.col("_gain"), 14, w).alias("_ag"),
+        rolling_mean(F.col("_loss"), 14, w).alias("_al"),
         ema(F.col("_macd"), 9, w).alias("_signal"),
-        pct_change(F.lag("OBV", 1).over(w), F.lag("OBV", 6).over(w)).alias("OBV_Change_5d"),
+        F.sum("_obv_step").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("OBV"),
+        F.lag("_gap", 1).over(w).alias("Gap_Pct"),
+    )
+    s4 = s3.select(
+        "*",
+        rsi_from(F.col("_ag"), F.col("_al")).alias("_rsi"),
+        F.lag("OBV", 1).over(w).alias("_obv1"),
+        F.lag("OBV", 6).over(w).alias("_obv6"),
     )
-    out = s3.select(
+    out = s4.select(
         "Ticker", "Date", "Close",
         *[f"Returns_{k}d" for k in BACKEND_RETURN_LAGS],
         "Log_Returns",
@@ -225,7 +250,9 @@ def backend_features(bars: DataFrame) -> DataFrame:
         F.lag("_bb_pos", 1).over(w).alias("BB_Position"),
         F.lag("_bb_width", 1).over(w).alias("BB_Width"),
         F.lag("_vol_ratio", 1).over(w).alias("Volume_Ratio_20d"),
-        "OBV", "OBV_Change_5d", "High_Low_Pct", "Gap_Pct",
+        "OBV",
+        pct_change(F.col("_obv1"), F.col("_obv6")).alias("OBV_Change_5d"),
+        "High_Low_Pct", "Gap_Pct",
         *[F.lag(f"_ma{m}", 1).over(w).alias(f"Close_MA_{m}_Ratio") for m in BACKEND_MA_WINDOWS],
         "Target",
         F.weekday("Date").alias("Day_of_Week"), F.month("Date").alias("Month"),
