@@ -331,3 +331,187 @@ _bsql, _bcols = sq.backend_features(CLEAN_DAILY_SQL)
 def q_features_backend(spark, d):
     """Lagged indicator features of the 'backend' profile."""
     return fe.features(_clean_daily(spark, d), "backend")
+
+
+# ------------------------------------------------------------------ walk-forward, baselines, metrics
+
+from candela.operators import baselines as bl  # noqa: E402
+from candela.operators import folds as fo  # noqa: E402
+from candela.operators import metrics as me  # noqa: E402
+
+PREP_SQL, _ = sq.features(CLEAN_DAILY_SQL, "prep")
+PIPE_SQL, _ = sq.features(CLEAN_DAILY_SQL, "pipeline")
+
+
+def _fold_sql(frame_sql: str, ratio=0.7, step=250, gap=0, min_train=1, min_test=1) -> str:
+    """CTEs ``f`` (frame), ``cal`` (date ordinals) and ``fk`` (kept folds)."""
+    return f"""
+f AS ({frame_sql}),
+cal AS (SELECT Date, CAST(row_number() OVER (ORDER BY Date) - 1 AS INTEGER) AS d FROM (SELECT DISTINCT Date FROM f) x),
+nn AS (SELECT CAST(count(*) AS INTEGER) AS n FROM cal),
+fs AS (SELECT CAST(row_number() OVER (ORDER BY ts) - 1 AS INTEGER) AS fold_id, CAST(ts AS INTEGER) AS test_start, n
+       FROM (SELECT unnest(generate_series(CAST(floor(n * CAST({ratio!r} AS DOUBLE)) AS BIGINT), n - 1, {step})) AS ts, n
+             FROM nn) y),
+fk AS (SELECT fold_id, test_start, CAST(least(test_start + {step}, n) AS INTEGER) AS test_end,
+              CAST(test_start - {gap} AS INTEGER) AS train_end, n AS n_dates FROM fs
+       WHERE test_start - {gap} > 0 AND test_start - {gap} >= {min_train}
+         AND least(test_start + {step}, n) - test_start >= {min_test})"""
+
+
+def _engineered(frame_sql: str) -> str:
+    return f"SELECT * FROM ({frame_sql}) e WHERE {sq.not_null_all(['Close_Ratio_5', 'Trend_5', 'Close_Ratio_60', 'Trend_60', 'RSI', 'Volatility_10', 'Returns', 'Log_Returns', 'Gap_Pct', 'Volume_Pct_Change', 'BB_Position', 'BB_Std', 'BB_Middle', 'Signal_Line', 'MACD'])}"
+
+
+PIPE_ENG_SQL = _engineered(PIPE_SQL)
+
+
+def _pipe_engineered(spark, d):
+    f = fe.features(_clean_daily(spark, d), "pipeline")
+    return fe.engineer_features(f, (5, 60), 2)[0]
+
+
+@register("folds", f"WITH {_fold_sql(PIPE_ENG_SQL, gap=21, min_train=50, min_test=10)} SELECT * FROM fk")
+def q_folds(spark, d):
+    """Walk-forward folds (ratio .7, step 250, purge gap 21, skip rule)."""
+    df = _pipe_engineered(spark, d)
+    return fo.folds(fo.calendar(df), fo.PIPELINE_WF)
+
+
+@register("fold_train_counts", f"""
+WITH {_fold_sql(PIPE_ENG_SQL, gap=21, min_train=50, min_test=10)},
+r AS (SELECT f.*, cal.d FROM f JOIN cal USING (Date))
+SELECT fk.fold_id, fk.train_end, fk.test_start, fk.test_end,
+  CAST((SELECT count(*) FROM r WHERE r.d < fk.train_end) AS BIGINT) AS train_rows,
+  CAST(coalesce((SELECT sum(Target) FROM r WHERE r.d < fk.train_end), 0) AS BIGINT) AS train_pos,
+  CAST((SELECT count(*) FROM r WHERE r.d >= fk.test_start AND r.d < fk.test_end) AS BIGINT) AS test_rows
+FROM fk""")
+def q_fold_train_counts(spark, d):
+    """Train and test sizes per fold from cumulative per-date counts."""
+    df = _pipe_engineered(spark, d)
+    cal = fo.calendar(df)
+    return fo.fold_train_counts(fo.with_date_ordinal(df, cal), fo.folds(cal, fo.PIPELINE_WF))
+
+
+def _naive_sql() -> str:
+    return f"""
+WITH {_fold_sql(f"SELECT * FROM ({PREP_SQL}) p")},
+f2 AS (SELECT f.*, {sq.pct('lead(Close) OVER (PARTITION BY Ticker ORDER BY Date)', 'Close')} AS fwd_return FROM f),
+t AS (SELECT f2.*, fk.fold_id FROM f2 JOIN cal USING (Date) JOIN fk ON cal.d >= fk.test_start AND cal.d < fk.test_end)
+SELECT 'NaiveBaseline' AS model, fold_id, Ticker, Date, Target,
+       CAST(coalesce(lag(Target) OVER (PARTITION BY Ticker, fold_id ORDER BY Date), 0) AS INTEGER) AS Predictions,
+       fwd_return
+FROM t"""
+
+
+def _ma_sql() -> str:
+    frame = f"""SELECT * FROM (SELECT *, {sq.roll('avg', 'Close', 60)} AS MA_60 FROM ({PREP_SQL}) p) q
+WHERE MA_60 IS NOT NULL"""
+    return f"""
+WITH {_fold_sql(frame)},
+f2 AS (SELECT f.*, {sq.pct('lead(Close) OVER (PARTITION BY Ticker ORDER BY Date)', 'Close')} AS fwd_return FROM f),
+t AS (SELECT f2.*, fk.fold_id FROM f2 JOIN cal USING (Date) JOIN fk ON cal.d >= fk.test_start AND cal.d < fk.test_end)
+SELECT 'MovingAverage' AS model, fold_id, Ticker, Date, Target,
+       CAST(Close > MA_60 AS INTEGER) AS Predictions, fwd_return
+FROM t"""
+
+
+def _prep(spark, d):
+    return fe.features(_clean_daily(spark, d), "prep")
+
+
+@register("baseline_naive", _naive_sql())
+def q_baseline_naive(spark, d):
+    """M1: naive baseline predictions over expanding folds (no gap)."""
+    return bl.naive_predictions(_prep(spark, d))
+
+
+@register("baseline_ma", _ma_sql())
+def q_baseline_ma(spark, d):
+    """Close above its 60-row moving average, over expanding folds."""
+    return bl.ma_predictions(_prep(spark, d))
+
+
+BASE_PRED_SQL = f"SELECT * FROM ({_naive_sql()}) a UNION ALL SELECT * FROM ({_ma_sql()}) b"
+
+
+def _base_preds(spark, d):
+    p = _prep(spark, d)
+    return bl.naive_predictions(p).unionByName(bl.ma_predictions(p))
+
+
+METRICS_SQL = f"""
+WITH p AS ({BASE_PRED_SQL}),
+c AS (SELECT model,
+        CAST(count_if(Target = 1 AND Predictions = 1) AS BIGINT) AS tp,
+        CAST(count_if(Target = 0 AND Predictions = 1) AS BIGINT) AS fp,
+        CAST(count_if(Target = 1 AND Predictions = 0) AS BIGINT) AS fn,
+        CAST(count_if(Target = 0 AND Predictions = 0) AS BIGINT) AS tn,
+        CAST(sum(Predictions) AS BIGINT) AS total_trades, count(*) AS n
+      FROM p GROUP BY model)
+SELECT model,
+  CASE WHEN n = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / CAST(n AS DOUBLE) END AS accuracy,
+  CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision,
+  CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall,
+  CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1,
+  CASE WHEN tp + fn > 0 AND tn + fp > 0
+       THEN (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2 END AS roc_auc,
+  total_trades, tp, fp, fn, tn
+FROM c"""
+
+_MCOLS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+
+
+@register("metrics", METRICS_SQL, _MCOLS)
+def q_metrics(spark, d):
+    """D-2...D-5: metrics of both baselines in one aggregate."""
+    return me.classification_metrics(_base_preds(spark, d)).drop("confusion_matrix")
+
+
+@register("confusion", f"""
+WITH p AS ({BASE_PRED_SQL})
+SELECT model, CAST(Target AS INTEGER) AS actual, CAST(Predictions AS INTEGER) AS predicted,
+       CAST(count(*) AS BIGINT) AS n
+FROM p GROUP BY ALL""")
+def q_confusion(spark, d):
+    """D-1: confusion counts in long form (model, actual, predicted, n)."""
+    p = _base_preds(spark, d)
+    return p.groupBy("model", F.col("Target").cast("int").alias("actual"),
+                     F.col("Predictions").cast("int").alias("predicted")) \
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@register("sharpe", f"""
+WITH p AS ({BASE_PRED_SQL}),
+s AS (SELECT model, avg(fwd_return * (2 * Predictions - 1)) AS m, stddev_samp(fwd_return * (2 * Predictions - 1)) AS sd
+      FROM p GROUP BY model)
+SELECT model, CASE WHEN sd > 0 THEN m / sd * {sq.dbl(252 ** 0.5)} ELSE 0.0 END AS sharpe FROM s""", ["sharpe"])
+def q_sharpe(spark, d):
+    """D-6: annualised Sharpe of the long/short strategy each model implies."""
+    return me.sharpe(_base_preds(spark, d))
+
+
+_ORD_SQL = "SELECT * FROM (VALUES ('NaiveBaseline', 0), ('MovingAverage', 1)) v(model, ordinal)"
+
+
+def _ordinals(spark):
+    return spark.createDataFrame([("NaiveBaseline", 0), ("MovingAverage", 1)], "model string, ordinal int")
+
+
+@register("rank_models", f"""
+WITH m AS ({METRICS_SQL}), o AS ({_ORD_SQL})
+SELECT m.*, o.ordinal, CAST(row_number() OVER (ORDER BY precision DESC NULLS LAST, o.ordinal) AS INTEGER) AS rank
+FROM m JOIN o USING (model)""", _MCOLS)
+def q_rank_models(spark, d):
+    """D-21: models ranked by precision, ties by registry order."""
+    m = me.classification_metrics(_base_preds(spark, d)).drop("confusion_matrix")
+    return me.rank_models(m.join(F.broadcast(_ordinals(spark)), "model"), "Precision")
+
+
+@register("best_model", f"""
+WITH m AS ({METRICS_SQL}), o AS ({_ORD_SQL})
+SELECT * FROM (SELECT m.*, o.ordinal, CAST(row_number() OVER (ORDER BY precision DESC NULLS LAST, o.ordinal) AS INTEGER) AS rank
+FROM m JOIN o USING (model)) r WHERE rank = 1""", _MCOLS)
+def q_best_model(spark, d):
+    """D-22: the best model by precision."""
+    m = me.classification_metrics(_base_preds(spark, d)).drop("confusion_matrix")
+    return me.best_model(m.join(F.broadcast(_ordinals(spark)), "model"), "precision")
