@@ -515,3 +515,52 @@ def q_best_model(spark, d):
     """D-22: the best model by precision."""
     m = me.classification_metrics(_base_preds(spark, d)).drop("confusion_matrix")
     return me.best_model(m.join(F.broadcast(_ordinals(spark)), "model"), "precision")
+
+
+# ------------------------------------------------------------------ model back-tests (rows-only checks)
+
+from candela.operators import models as mo  # noqa: E402
+
+PIPE_PREDICTORS = ["Close_Ratio_5", "Trend_5", "Close_Ratio_60", "Trend_60"]
+
+
+def _model_input(spark, d):
+    return bl.with_forward_return(_pipe_engineered(spark, d))
+
+
+def _backtest_query(names: list[str], doc: str):
+    def q(spark, d):
+        return mo.backtest(_model_input(spark, d), PIPE_PREDICTORS, [mo.REGISTRY[n] for n in names])
+    q.__doc__ = doc
+    return q
+
+
+for _key, _names, _doc in [
+    ("model_logistic", ["LogisticRegression"], "M7: L2 logistic regression (C=1) walk-forward predictions."),
+    ("model_ridge", ["Ridge"], "M4: ridge classifier (alpha 1, labels -1/1, sign of the score)."),
+    ("model_linear", ["LinearRegression"], "M3: least squares on the 0/1 target, score >= threshold."),
+    ("model_lasso", ["Lasso"], "M5: lasso (alpha .001), score >= threshold."),
+    ("model_elastic_net", ["ElasticNet"], "M6: elastic net (alpha .001, l1 ratio .5), score >= threshold."),
+    ("model_rf", ["RandomForest"], "M8: random forest (200 trees, depth 15, leaf 10, sqrt features)."),
+    ("model_extra_trees", ["ExtraTrees"], "M9: randomised trees without bootstrap (200, depth 15)."),
+    ("model_gbt", ["GradientBoosting"], "M10: gradient-boosted trees (150, depth 8, step .1)."),
+    ("model_hist_gbt", ["HistGradientBoosting"], "M11: gradient-boosted trees on 255 bins (200, depth 10)."),
+    ("model_boosted_presets", ["XGBoost", "LightGBM", "CatBoost"],
+     "M12-M14: the three boosting presets (200, depth 8, step .1), one shared fit per fold."),
+]:
+    register(_key)(_backtest_query(_names, _doc))
+
+FAST_MODELS = ["LogisticRegression", "Ridge", "LinearRegression", "Lasso", "ElasticNet"]
+
+
+@register("model_comparison")
+def q_model_comparison(spark, d):
+    """E13/D-21: metrics and precision rank of the linear-family models and both baselines."""
+    preds = mo.backtest(_model_input(spark, d), PIPE_PREDICTORS, [mo.REGISTRY[n] for n in FAST_MODELS])
+    base = _base_preds(spark, d).withColumn("probability", F.lit(None).cast("double"))
+    allp = preds.unionByName(base.select(*preds.columns))
+    m = me.classification_metrics(allp, with_sharpe=True).drop("confusion_matrix")
+    specs = [mo.REGISTRY[n] for n in FAST_MODELS]
+    reg = spark.createDataFrame([(s.name, s.ordinal) for s in specs] + [("NaiveBaseline", 100), ("MovingAverage", 101)],
+                                "model string, ordinal int")
+    return me.rank_models(m.join(F.broadcast(reg), "model"), "precision")
