@@ -564,3 +564,99 @@ def q_model_comparison(spark, d):
     reg = spark.createDataFrame([(s.name, s.ordinal) for s in specs] + [("NaiveBaseline", 100), ("MovingAverage", 101)],
                                 "model string, ordinal int")
     return me.rank_models(m.join(F.broadcast(reg), "model"), "precision")
+
+
+# ------------------------------------------------------------------ forecast
+
+from candela.operators import forecast as fc  # noqa: E402
+
+H = 30
+
+
+def _state_and_naive(spark, d):
+    df = _pipe_engineered(spark, d)
+    state = fc.series_state(df, 0.7)
+    prev_target = F.lag("Target", 1).over(fe.w_series())
+    naive = fc.last_rows(df.withColumn("_pt", prev_target).select("Ticker", "Date", "_pt")) \
+              .select("Ticker", F.col("_pt").cast("int").alias("Prediction"), F.lit(None).cast("double").alias("Probability"))
+    return df, state, naive
+
+
+def _forecast_sql(variant: str) -> str:
+    ret = "Returns"
+    if variant == "backend":
+        change = (f"least(greatest(CASE WHEN pt = 1 THEN abs(r20) * {sq.dbl(1.2)} ELSE -abs(r20) * {sq.dbl(0.8)} END, "
+                  f"{sq.dbl(-0.05)}), {sq.dbl(0.05)})")
+    else:
+        change = "CASE WHEN pt = 1 THEN mu ELSE -mu END"
+    price = f"start * (1.0::DOUBLE + CAST(step AS DOUBLE) * ({change}))"
+    if variant in ("app", "backend"):
+        price = f"({price}) * {sq.dbl(1 - 0.05)} + hist_avg * {sq.dbl(0.05)}"
+    price = f"least(greatest({price}, start * {sq.dbl(0.9)}), start * {sq.dbl(1.1)})"
+    return f"""
+WITH f AS ({PIPE_ENG_SQL}),
+cal AS (SELECT Date, CAST(row_number() OVER (ORDER BY Date) - 1 AS INTEGER) AS d,
+               CAST(floor(count(*) OVER () * CAST(0.7 AS DOUBLE)) AS INTEGER) AS train_cut
+        FROM (SELECT DISTINCT Date FROM f) x),
+r AS (SELECT f.*, cal.d, cal.train_cut, lag(Target) OVER (PARTITION BY Ticker ORDER BY Date) AS pt,
+             row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) <= 20 AS recent
+      FROM f JOIN cal USING (Date)),
+s AS (SELECT Ticker, max(Date) AS last_date, arg_max(Close, Date) AS start, arg_max(pt, Date) AS pt,
+        count({ret}) FILTER (WHERE d < train_cut) AS n, avg({ret}) FILTER (WHERE d < train_cut) AS m,
+        stddev_samp({ret}) FILTER (WHERE d < train_cut) AS sd,
+        avg(Close) FILTER (WHERE d < train_cut) AS hist_avg,
+        coalesce(avg({ret}) FILTER (WHERE recent), {sq.dbl(0.01)}) AS r20
+      FROM r GROUP BY Ticker),
+st AS (SELECT *, CASE WHEN n >= 20 THEN m ELSE {sq.dbl(0.001)} END AS mu,
+              CASE WHEN n >= 20 THEN sd ELSE {sq.dbl(0.02)} END AS sigma FROM s),
+days AS (SELECT Ticker, unnest(list_filter(generate_series(last_date + 1, last_date + {H * 7 // 5 + 7}, INTERVAL 1 DAY),
+                                           lambda x: isodow(x) <= 5)[1:{H}]) AS Date FROM st),
+steps AS (SELECT Ticker, CAST(row_number() OVER (PARTITION BY Ticker ORDER BY Date) AS INTEGER) AS step,
+                 CAST(Date AS DATE) AS Date FROM days),
+p AS (SELECT steps.*, st.*, {price} AS price FROM steps JOIN st USING (Ticker))
+SELECT Ticker, step, Date, price AS Close, CAST(pt AS INTEGER) AS Prediction,
+       CASE WHEN pt = 1 THEN 'Up' ELSE 'Down' END AS Direction, CAST(NULL AS DOUBLE) AS Probability,
+       price * (1.0::DOUBLE + sigma * sqrt(CAST(step AS DOUBLE))) AS Upper,
+       price * (1.0::DOUBLE - sigma * sqrt(CAST(step AS DOUBLE))) AS Lower
+FROM p"""
+
+
+_FC_ROUND = ["Close", "Upper", "Lower"]
+
+
+def _fc_query(variant):
+    def q(spark, d):
+        df, state, naive = _state_and_naive(spark, d)
+        return fc.price_path(state, fc.fixed_directions(state, naive, H), H, variant)
+    return q
+
+
+register("forecast_path", _forecast_sql("pipeline"), _FC_ROUND)(_fc_query("pipeline"))
+QUERIES["forecast_path"].__doc__ = "F3/F6/F9/A10: price path (+-mean return per step) with bands, naive direction."
+register("forecast_reverting", _forecast_sql("app"), _FC_ROUND)(_fc_query("app"))
+QUERIES["forecast_reverting"].__doc__ = "F4: path pulled 5% toward the training-mean Close each step."
+register("forecast_asymmetric", _forecast_sql("backend"), _FC_ROUND)(_fc_query("backend"))
+QUERIES["forecast_asymmetric"].__doc__ = "F5: asymmetric step from the mean of the last 20 returns."
+
+
+@register("forecast_model")
+def q_forecast_model(spark, d):
+    """Logistic model fitted on the first 70% of dates, re-scored step by
+    step while Close_Ratio/Trend evolve; price path and bands as F3/F6."""
+    df = _pipe_engineered(spark, d)
+    state = fc.series_state(df, 0.7)
+    cal = fo.calendar(df)
+    cut = cal.agg(F.floor(F.count(F.lit(1)) * F.lit(0.7)).cast("int").alias("c")).first()["c"]
+    spec = mo.REGISTRY["LogisticRegression"]
+    model = mo.fit(spec, fo.train_rows(fo.with_date_ordinal(df, cal), cut), PIPE_PREDICTORS)
+    last = fc.last_rows(df.select("Ticker", "Date", *PIPE_PREDICTORS)).drop("Date")
+    dirs = fc.recursive_directions(spec, model, last, state, [5, 60], H)
+    return fc.price_path(state, dirs, H, "pipeline")
+
+
+@register("forecast_stitch")
+def q_forecast_stitch(spark, d):
+    """History and forecast in one table with a connector row."""
+    df, state, naive = _state_and_naive(spark, d)
+    path = fc.price_path(state, fc.fixed_directions(state, naive, H), H, "pipeline")
+    return fc.stitch(df.select("Ticker", "Date", "Close"), path)
