@@ -660,3 +660,148 @@ def q_forecast_stitch(spark, d):
     df, state, naive = _state_and_naive(spark, d)
     path = fc.price_path(state, fc.fixed_directions(state, naive, H), H, "pipeline")
     return fc.stitch(df.select("Ticker", "Date", "Close"), path)
+
+
+# ------------------------------------------------------------------ statistics & chart tables
+
+from candela.operators import stats as stt  # noqa: E402
+from candela.plans import report as rp  # noqa: E402
+
+
+def _pipe(spark, d):
+    return fe.features(_clean_daily(spark, d), "pipeline")
+
+
+@register("hist_returns", f"""
+WITH f AS ({PIPE_SQL}), x AS (SELECT Ticker, Returns AS v FROM f WHERE Returns IS NOT NULL),
+r AS (SELECT Ticker, min(v) AS mn, max(v) AS mx, avg(v) AS mean FROM x GROUP BY Ticker),
+b AS (SELECT x.Ticker, CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((v - mn) / ((mx - mn) / 50)), 49) END AS INTEGER) AS bin
+      FROM x JOIN r USING (Ticker)),
+c AS (SELECT Ticker, bin, count(*) AS cnt FROM b GROUP BY Ticker, bin),
+g AS (SELECT Ticker, mn, mx, mean, CAST(unnest(generate_series(0, 49)) AS INTEGER) AS bin FROM r)
+SELECT g.Ticker, g.bin, mn + bin * (mx - mn) / 50 AS lo, mn + (bin + 1) * (mx - mn) / 50 AS hi,
+       CAST(coalesce(cnt, 0) AS BIGINT) AS count, mean
+FROM g LEFT JOIN c USING (Ticker, bin)""", ["lo", "hi", "mean"])
+def q_hist_returns(spark, d):
+    """D-13/G5: 50-bin histogram of daily returns per ticker with the mean."""
+    return stt.histogram(_pipe(spark, d), "Returns", 50)
+
+
+@register("box_by_year", f"""
+WITH f AS ({PIPE_SQL}), x AS (SELECT Ticker, year(Date) AS year, Returns AS v FROM f WHERE Returns IS NOT NULL),
+q AS (SELECT Ticker, year, CAST(count(*) AS BIGINT) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
+             quantile_cont(v, 0.75) AS q3 FROM x GROUP BY Ticker, year)
+SELECT Ticker, year, n, q1, median, q3,
+  min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_lo,
+  max(CASE WHEN v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_hi,
+  CAST(count_if(NOT (v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1))) AS BIGINT) AS fliers
+FROM x JOIN q USING (Ticker, year) GROUP BY Ticker, year, n, q1, median, q3""",
+          ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
+def q_box_by_year(spark, d):
+    """D-14/D-15/D-16: yearly box-plot statistics of daily returns per ticker."""
+    return stt.box_by_year(_pipe(spark, d), "Returns")
+
+
+_MONTHS = [f"m{m}" for m in range(1, 13)]
+
+
+@register("pivot_day_month", f"""
+WITH f AS ({PIPE_SQL})
+SELECT Ticker, isodow(Date) - 1 AS Day_of_Week,
+  {", ".join(f"avg(CASE WHEN month(Date) = {m} THEN Returns END) AS m{m}" for m in range(1, 13))}
+FROM f GROUP BY Ticker, isodow(Date) - 1""", _MONTHS)
+def q_pivot_day_month(spark, d):
+    """D-17: mean daily return by weekday x month (pivot)."""
+    return stt.pivot_day_month(_pipe(spark, d), "Returns")
+
+
+def _acf_sql(max_lag=50):
+    leads = ", ".join(f"c * lead(c, {h}) OVER (PARTITION BY Ticker ORDER BY Date) AS p{h}" for h in range(1, max_lag + 1))
+    sums = ", ".join(f"coalesce(sum(p{h}), 0.0) AS p{h}" for h in range(1, max_lag + 1))
+    cols = ", ".join(f"p{h} AS '{h}'" for h in range(1, max_lag + 1))
+    return f"""
+WITH f AS ({PIPE_SQL}), x AS (SELECT Ticker, Date, Returns AS v FROM f WHERE Returns IS NOT NULL),
+m AS (SELECT Ticker, avg(v) AS mv, count(*) AS n FROM x GROUP BY Ticker),
+c AS (SELECT x.Ticker, x.Date, v - mv AS c, n FROM x JOIN m USING (Ticker)),
+p AS (SELECT Ticker, n, c * c AS c0, {leads} FROM c),
+s AS (SELECT Ticker, first(n) AS n, sum(c0) AS den, {sums} FROM p GROUP BY Ticker),
+u AS (UNPIVOT s ON {", ".join(f"p{h}" for h in range(1, max_lag + 1))} INTO NAME lagname VALUE num)
+SELECT Ticker, CAST(substr(lagname, 2) AS INTEGER) AS lag, CASE WHEN den <> 0 THEN num / den END AS acf,
+       {sq.dbl(1.96)} / sqrt(CAST(n AS DOUBLE)) AS band95, {sq.dbl(2.58)} / sqrt(CAST(n AS DOUBLE)) AS band99
+FROM u"""
+
+
+@register("acf", _acf_sql(), ["acf", "band95", "band99"])
+def q_acf(spark, d):
+    """D-18: autocorrelation of daily returns, lags 1-50, with 95%/99% bands."""
+    return stt.autocorrelation(_pipe(spark, d), "Returns", 50)
+
+
+@register("qq_points")
+def q_qq_points(spark, d):
+    """D-19: normal QQ points (Filliben medians) and fitted line per ticker."""
+    return stt.qq_points(_pipe(spark, d), "Returns")
+
+
+@register("tail_n", f"""
+SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) AS k
+FROM ({sq.BARS_DAILY}) b) x WHERE k <= 100""")
+def q_tail_n(spark, d):
+    """D-24: the last 100 bars of each ticker."""
+    return stt.tail_n(src.bars_daily(spark, d), 100)
+
+
+@register("candlesticks", f"""
+SELECT * EXCLUDE (k), CASE WHEN Close >= Open THEN 'up' ELSE 'down' END AS candle
+FROM (SELECT *, row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) AS k FROM ({sq.BARS_DAILY}) b) x
+WHERE k <= 100""")
+def q_candlesticks(spark, d):
+    """Candlestick table of the last 100 bars with colour."""
+    return stt.candlesticks(src.bars_daily(spark, d), 100)
+
+
+@register("indicator_panel", f"""
+WITH f AS ({PREP_SQL})
+SELECT Ticker, Date, Close, BB_Middle + BB_Std * 2.0 AS BB_Upper, BB_Middle, BB_Middle - BB_Std * 2.0 AS BB_Lower,
+       RSI, RSI > 70 AS overbought, RSI < 30 AS oversold, MACD, Signal_line AS Signal,
+       MACD - Signal_line AS MACD_Hist, CAST(Volume AS DOUBLE) / 1e6 AS Volume_M
+FROM f""", ["BB_Upper", "BB_Middle", "BB_Lower", "RSI", "MACD", "Signal", "MACD_Hist", "Volume_M"])
+def q_indicator_panel(spark, d):
+    """Bollinger bands, RSI zones, MACD histogram, volume in millions."""
+    return stt.indicator_panel(_prep(spark, d), "Signal_line")
+
+
+@register("price_range", f"SELECT Ticker, Date, High, Low, Close FROM ({sq.BARS_DAILY}) b")
+def q_price_range(spark, d):
+    """High/Low envelope per ticker."""
+    return stt.price_range(src.bars_daily(spark, d))
+
+
+@register("cum_return", f"""
+WITH f AS ({PIPE_SQL})
+SELECT Ticker, Date, Returns,
+  CASE WHEN min(Returns) OVER w <= -1 THEN 0.0 ELSE exp(sum(ln(1 + Returns)) OVER w) END AS cum_return
+FROM f WINDOW w AS (PARTITION BY Ticker ORDER BY Date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+          ["Returns", "cum_return"])
+def q_cum_return(spark, d):
+    """Cumulative return per ticker."""
+    return stt.cumulative_return(_pipe(spark, d), "Returns")
+
+
+@register("metric_bars", f"""
+WITH m AS ({METRICS_SQL})
+SELECT model, precision AS value, precision = max(precision) OVER () AS is_best FROM m""", ["value"])
+def q_metric_bars(spark, d):
+    """G3/D-25: precision bars with the best model flagged."""
+    m = me.classification_metrics(_base_preds(spark, d))
+    return rp.metric_bars(m, "Precision")
+
+
+@register("result_json")
+def q_result_json(spark, d):
+    """Result document as JSON lines (historical, predictions, comparison, best)."""
+    df, state, naive = _state_and_naive(spark, d)
+    path = fc.price_path(state, fc.fixed_directions(state, naive, H), H, "pipeline")
+    m = me.classification_metrics(_base_preds(spark, d), with_sharpe=True)
+    comp = me.rank_models(m.join(F.broadcast(_ordinals(spark)), "model"), "precision")
+    return rp.result_lines(df.select("Ticker", "Date", "Close"), path, comp)
