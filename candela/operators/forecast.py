@@ -177,3 +177,60 @@ def stitch(history: DataFrame, forecast: DataFrame) -> DataFrame:
                        F.col("Close").alias("Upper"), F.col("Close").alias("Lower"))
     f = forecast.select("Ticker", "Date", "Close", F.lit("forecast").alias("kind"), "step", "Upper", "Lower")
     return h.unionByName(conn).unionByName(f)
+
+
+def linear_recursive_directions(spec, model, last_rows: DataFrame, state: DataFrame, predictors: list[str],
+                                horizons: list[int], horizon: int = 30, threshold: float = 0.51,
+                                variant: str = "pipeline") -> DataFrame:
+    """F2/F7 for linear models in one pass: the whole step recursion is a fold
+    (``aggregate`` over ``sequence(1, H)``) whose state is the evolving
+    Close_Ratio/Trend values; the fitted coefficients are literals. The margin
+    is computed as the fitted model does (dot product, then intercept); the
+    probabilities agree with ``model.transform`` to about one ulp.
+    """
+    est = model.stages[-1]
+    w = [float(v) for v in est.coefficients.toArray()]
+    b = float(est.intercept)
+    x = last_rows.join(state.select("Ticker", "start", "mu", "sigma", "hist_avg", "r20"), "Ticker")
+    feats = [c for h in horizons for c in (f"Close_Ratio_{h}", f"Trend_{h}")]
+    empty = F.array().cast("array<struct<step:int,Prediction:int,Probability:double>>")
+    init = F.struct(*[F.col(c).cast("double").alias(c) for c in feats], empty.alias("out"))
+
+    def merge(acc, i):
+        dot = None
+        for c, wc in zip(predictors, w):
+            term = acc[c] * F.lit(wc)
+            dot = term if dot is None else dot + term
+        margin = dot + F.lit(b)
+        if spec.output == "proba":
+            prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+            up = prob >= threshold
+        else:
+            prob = F.lit(None).cast("double")
+            up = (margin > 0) if spec.output == "sign" else (margin >= threshold)
+        price = step_price(variant, i.cast("double"), up)
+        nxt = []
+        for h in horizons:
+            r, t = acc[f"Close_Ratio_{h}"], acc[f"Trend_{h}"]
+            nxt.append(F.when(r.isNotNull() & (r != 0), price / (F.col("start") / r)).otherwise(r)
+                       .alias(f"Close_Ratio_{h}"))
+            nxt.append((t + (2 * up.cast("int") - 1) / F.lit(float(h))).alias(f"Trend_{h}"))
+        rec = F.struct(i.alias("step"), up.cast("int").alias("Prediction"), prob.alias("Probability"))
+        return F.struct(*nxt, F.concat(acc["out"], F.array(rec)).alias("out"))
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), init, merge)
+    return (x.select("Ticker", F.explode(folded["out"]).alias("o"))
+             .select("Ticker", "o.step", "o.Prediction", "o.Probability"))
+
+
+LINEAR_MODELS = ("LogisticRegressionModel", "LinearRegressionModel")
+
+
+def model_directions(spec, model, last_rows: DataFrame, state: DataFrame, predictors: list[str],
+                     horizons: list[int], horizon: int = 30, threshold: float = 0.51,
+                     variant: str = "pipeline") -> DataFrame:
+    """one-pass fold for linear models, step loop for everything else."""
+    if type(model.stages[-1]).__name__ in LINEAR_MODELS:
+        return linear_recursive_directions(spec, model, last_rows, state, predictors, horizons, horizon,
+                                           threshold, variant)
+    return recursive_directions(spec, model, last_rows, state, horizons, horizon, threshold, variant)

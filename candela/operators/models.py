@@ -44,6 +44,7 @@ class ModelSpec:
     output: str = "proba"          # proba | score | sign
     has_probability: bool = True
     key: tuple = ()                # identical keys share one fit per fold
+    label: str | None = None       # regression target column (default: Target)
 
 
 def _rf(n, depth, leaf=1, bootstrap=True):
@@ -111,17 +112,40 @@ MODULE_MODELS = [
     ModelSpec("ElasticNet", 22, _elastic(0.001, 0.5), output="score", has_probability=False),
 ]
 
-REGISTRY = {m.name: m for m in PIPELINE_REGISTRY + MODULE_MODELS}
+# Re-aimed time-series model (M21): AR(p) on daily price changes with a drift
+# intercept; the direction is the sign of the predicted next change.
+AR_LAGS = 5
+AR_MODEL = ModelSpec("ARDrift", 30, lambda ctx: LinearRegression(regParam=0.0, solver="normal", labelCol="label"),
+                     output="sign", has_probability=False, label="_next_change")
+
+REGISTRY = {m.name: m for m in PIPELINE_REGISTRY + MODULE_MODELS + [AR_MODEL]}
+
+
+def ar_features(df: DataFrame, p: int = AR_LAGS) -> tuple[DataFrame, list[str]]:
+    """Lagged price changes d_0..d_{p-1} (d_k = Close_{t-k} - Close_{t-k-1}) and
+    the next change as regression target; one window stage per series."""
+    from candela.operators.features import w_series
+    w = w_series()
+    lags = {f"_c{k}": F.lag("Close", k).over(w) for k in range(1, p + 1)}
+    x = df.withColumns(lags).withColumn("_next_change", F.lead("Close", 1).over(w) - F.col("Close"))
+    cols = {"d_0": F.col("Close") - F.col("_c1")}
+    for k in range(1, p):
+        cols[f"d_{k}"] = F.col(f"_c{k}") - F.col(f"_c{k + 1}")
+    x = x.withColumns(cols).drop(*lags)
+    preds = [f"d_{k}" for k in range(p)]
+    return x.na.drop(subset=preds), preds
 
 
 def _label(spec: ModelSpec) -> F.Column:
+    if spec.label:
+        return F.col(spec.label).cast("double")
     y = F.col("Target").cast("double")
     return (2 * y - 1) if spec.output == "sign" else y
 
 
 def fit(spec: ModelSpec, train: DataFrame, predictors: list[str]):
     """Fit assembler + estimator on ``train``; returns the fitted PipelineModel."""
-    t = train.select(*predictors, _label(spec).alias("label"))
+    t = train.select(*predictors, _label(spec).alias("label")).where(F.col("label").isNotNull())
     stats = t.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
     ctx = FitContext(int(stats["n"]), float(stats["s"] or 0.0))
     asm = VectorAssembler(inputCols=predictors, outputCol="features", handleInvalid="keep")

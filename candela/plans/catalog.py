@@ -550,6 +550,14 @@ for _key, _names, _doc in [
 ]:
     register(_key)(_backtest_query(_names, _doc))
 
+@register("model_ar_drift")
+def q_model_ar_drift(spark, d):
+    """M21 (re-aimed): AR(5) with drift on daily changes, direction = sign of the
+    predicted next change, walk-forward as the other models."""
+    x, preds = mo.ar_features(_model_input(spark, d))
+    return mo.backtest(x, preds, [mo.AR_MODEL])
+
+
 FAST_MODELS = ["LogisticRegression", "Ridge", "LinearRegression", "Lasso", "ElasticNet"]
 
 
@@ -642,15 +650,31 @@ QUERIES["forecast_asymmetric"].__doc__ = "F5: asymmetric step from the mean of t
 @register("forecast_model")
 def q_forecast_model(spark, d):
     """Logistic model fitted on the first 70% of dates, re-scored step by
-    step while Close_Ratio/Trend evolve; price path and bands as F3/F6."""
-    df = _pipe_engineered(spark, d)
+    step while Close_Ratio/Trend evolve (one fold expression for a linear model);
+    price path and bands as F3/F6."""
+    df = _pipe_engineered(spark, d).persist()
     state = fc.series_state(df, 0.7)
     cal = fo.calendar(df)
     cut = cal.agg(F.floor(F.count(F.lit(1)) * F.lit(0.7)).cast("int").alias("c")).first()["c"]
     spec = mo.REGISTRY["LogisticRegression"]
     model = mo.fit(spec, fo.train_rows(fo.with_date_ordinal(df, cal), cut), PIPE_PREDICTORS)
     last = fc.last_rows(df.select("Ticker", "Date", *PIPE_PREDICTORS)).drop("Date")
-    dirs = fc.recursive_directions(spec, model, last, state, [5, 60], H)
+    dirs = fc.model_directions(spec, model, last, state, PIPE_PREDICTORS, [5, 60], H)
+    return fc.price_path(state, dirs, H, "pipeline")
+
+
+@register("forecast_model_trees")
+def q_forecast_model_trees(spark, d):
+    """F1/F2/F7 with a tree model (random forest preset): the step loop with
+    periodic reliable checkpoints."""
+    df = _pipe_engineered(spark, d).persist()
+    state = fc.series_state(df, 0.7)
+    cal = fo.calendar(df)
+    cut = cal.agg(F.floor(F.count(F.lit(1)) * F.lit(0.7)).cast("int").alias("c")).first()["c"]
+    spec = mo.REGISTRY["RandomForest"]
+    model = mo.fit(spec, fo.train_rows(fo.with_date_ordinal(df, cal), cut), PIPE_PREDICTORS)
+    last = fc.last_rows(df.select("Ticker", "Date", *PIPE_PREDICTORS)).drop("Date")
+    dirs = fc.model_directions(spec, model, last, state, PIPE_PREDICTORS, [5, 60], H)
     return fc.price_path(state, dirs, H, "pipeline")
 
 
