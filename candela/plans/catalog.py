@@ -829,3 +829,53 @@ def q_result_json(spark, d):
     m = me.classification_metrics(_base_preds(spark, d), with_sharpe=True)
     comp = me.rank_models(m.join(F.broadcast(_ordinals(spark)), "model"), "precision")
     return rp.result_lines(df.select("Ticker", "Date", "Close"), path, comp)
+
+
+# ------------------------------------------------------------------ single-indicator views
+
+_BACK_SQL, _BACK_ROUND = sq.backend_features(CLEAN_DAILY_SQL)
+_PIPE_SQL_FULL, _PIPE_ROUND = sq.features(CLEAN_DAILY_SQL, "pipeline")
+_APP_SQL, _APP_ROUND = sq.features(CLEAN_DAILY_SQL, "app")
+
+_VIEWS = [
+    # name, profile, columns, doc
+    ("returns", "pipeline", ["Returns"], "C1: daily percentage return."),
+    ("lagged_returns", "backend", ["Returns_1d", "Returns_3d", "Returns_5d", "Returns_10d", "Returns_21d"],
+     "C2: k-day returns lagged one day."),
+    ("log_returns", "pipeline", ["Log_Returns"], "C3: log return."),
+    ("gap_range", "pipeline", ["High_Low_Pct", "Gap_Pct"], "C4/C5: range and gap ratios."),
+    ("volume_change", "pipeline", ["Volume_Pct_Change"], "C6: volume change (x/0 = Infinity)."),
+    ("rsi14", "pipeline", ["RSI"], "C7: 14-row RSI (simple means)."),
+    ("ema_macd", "pipeline", ["MACD", "Signal_Line"], "C8-C10: EMA 12/26, MACD and its EMA-9 signal."),
+    ("macd_hist", "backend", ["MACD", "MACD_Signal", "MACD_Hist"], "C11: lagged MACD histogram."),
+    ("bollinger", "pipeline", ["BB_Middle", "BB_Std", "BB_Position"], "C12/C13: Bollinger middle, std, position."),
+    ("bb_width", "backend", ["BB_Position", "BB_Width"], "C13/C14: lagged band position and width."),
+    ("volatility", "pipeline", ["Volatility_10"], "C15: 10-row volatility of returns."),
+    ("volatility_lagged", "backend", ["Volatility_5d", "Volatility_10d", "Volatility_21d"],
+     "C16: volatility of lagged returns, lagged again."),
+    ("volume_ratio", "backend", ["Volume_Ratio_20d"], "C17: volume over its 20-row mean, lagged."),
+    ("obv", "backend", ["OBV", "OBV_Change_5d"], "C18/C19: on-balance volume and its 5-row change."),
+    ("close_ratio", "app", ["Close_Ratio_2", "Close_Ratio_5", "Close_Ratio_60", "Close_Ratio_250"],
+     "C20: Close over its h-row mean."),
+    ("close_ma_ratio", "backend", ["Close_MA_5_Ratio", "Close_MA_10_Ratio", "Close_MA_20_Ratio", "Close_MA_50_Ratio"],
+     "C21: lagged Close / moving-average ratios."),
+    ("trend", "app", ["Trend_2", "Trend_5", "Trend_60", "Trend_250"], "C22: sums of past targets (shift 1)."),
+    ("target", "pipeline", ["Target"], "C24: next-day direction label."),
+    ("calendar", "pipeline", ["Day_of_Week", "Month"], "C25: Monday=0 weekday and month."),
+]
+_PROFILE_SQL = {"pipeline": (_PIPE_SQL_FULL, _PIPE_ROUND), "backend": (_BACK_SQL, _BACK_ROUND),
+                "app": (_APP_SQL, _APP_ROUND)}
+
+
+def _view(profile, cols):
+    def q(spark, d):
+        return fe.features(_clean_daily(spark, d), profile).select("Ticker", "Date", *cols)
+    return q
+
+
+for _name, _prof, _cols, _doc in _VIEWS:
+    _psql, _pround = _PROFILE_SQL[_prof]
+    _sql = f"SELECT Ticker, Date, {', '.join(_cols)} FROM ({_psql}) v"
+    _fn = _view(_prof, _cols)
+    _fn.__doc__ = _doc
+    register(_name, _sql, [c for c in _cols if c in _pround])(_fn)
