@@ -230,7 +230,8 @@ def model_directions(spec, model, last_rows: DataFrame, state: DataFrame, predic
                      horizons: list[int], horizon: int = 30, threshold: float = 0.51,
                      variant: str = "pipeline") -> DataFrame:
     """one-pass fold for linear models, step loop for everything else."""
-    if type(model.stages[-1]).__name__ in LINEAR_MODELS:
+    plain = not model.prep and model.rff is None and model.calib is None
+    if plain and type(model.stages[-1]).__name__ in LINEAR_MODELS:
         return linear_recursive_directions(spec, model, last_rows, state, predictors, horizons, horizon,
                                            threshold, variant)
     return recursive_directions(spec, model, last_rows, state, horizons, horizon, threshold, variant)

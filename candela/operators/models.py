@@ -20,7 +20,11 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+import math
+
+import numpy as np
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -45,6 +49,10 @@ class ModelSpec:
     has_probability: bool = True
     key: tuple = ()                # identical keys share one fit per fold
     label: str | None = None       # regression target column (default: Target)
+    balanced: bool = False         # class weights n / (2 n_class) on each training fold
+    scale: str | None = None       # 'pop' (ddof 0), 'samp' (ddof 1 + 1e-8) per-fold z-score
+    rff: tuple | None = None       # (components, gamma or None for 1/p, seed): RBF random features
+    platt: bool = False            # calibrate a margin to a probability with a logistic fit
 
 
 def _rf(n, depth, leaf=1, bootstrap=True):
@@ -118,7 +126,30 @@ AR_LAGS = 5
 AR_MODEL = ModelSpec("ARDrift", 30, lambda ctx: LinearRegression(regParam=0.0, solver="normal", labelCol="label"),
                      output="sign", has_probability=False, label="_next_change")
 
-REGISTRY = {m.name: m for m in PIPELINE_REGISTRY + MODULE_MODELS + [AR_MODEL]}
+def _svc(c):
+    return lambda ctx: LinearSVC(regParam=1.0 / (c * max(ctx.n_train, 1)), maxIter=200, labelCol="label")
+
+
+def _l2_linear(reg_fn, intercept=True):
+    return lambda ctx: LinearRegression(regParam=reg_fn(ctx), elasticNetParam=0.0, standardization=False,
+                                        fitIntercept=intercept, solver="normal", labelCol="label")
+
+
+# Per-module presets (balanced logistic; scaled kernel models).
+MODULE_SPECS = [
+    ModelSpec("LogisticRegressionBalanced", 40, _logistic(1000), balanced=True),
+    # M16-M19 re-aimed: random Fourier features of the z-scored inputs, then a linear model
+    ModelSpec("SVC", 7, _svc(1.0), balanced=True, scale="pop", rff=(200, None, 42), platt=True),
+    ModelSpec("SVR", 41, _l2_linear(lambda ctx: 1.0 / max(ctx.n_train, 1)), output="score",
+              has_probability=False, scale="pop", rff=(200, None, 42)),
+    ModelSpec("KernelRidge", 42, _l2_linear(lambda ctx: (ctx.label_std or 1.0) / max(ctx.n_train, 1), False),
+              output="score", has_probability=False, scale="pop", rff=(200, 0.1, 42)),
+    ModelSpec("GaussianProcess", 43, _logistic(1000), scale="pop", rff=(200, 0.5, 42)),
+    # backend profile: per-fold z-score with ddof 1 and +1e-8
+    ModelSpec("LogisticRegressionZ", 44, _logistic(2000), balanced=True, scale="samp"),
+]
+
+REGISTRY = {m.name: m for m in PIPELINE_REGISTRY + MODULE_MODELS + [AR_MODEL] + MODULE_SPECS}
 
 
 def ar_features(df: DataFrame, p: int = AR_LAGS) -> tuple[DataFrame, list[str]]:
@@ -143,18 +174,109 @@ def _label(spec: ModelSpec) -> F.Column:
     return (2 * y - 1) if spec.output == "sign" else y
 
 
-def fit(spec: ModelSpec, train: DataFrame, predictors: list[str]):
-    """Fit assembler + estimator on ``train``; returns the fitted PipelineModel."""
-    t = train.select(*predictors, _label(spec).alias("label")).where(F.col("label").isNotNull())
-    stats = t.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s")).first()
-    ctx = FitContext(int(stats["n"]), float(stats["s"] or 0.0))
-    asm = VectorAssembler(inputCols=predictors, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[asm, spec.build(ctx)]).fit(t)
-
-
-def score(spec: ModelSpec, model, rows: DataFrame, threshold: float = 0.51) -> DataFrame:
+@dataclass
+class Fitted:
+    """A fitted model plus the column preparation learnt on its training fold."""
+    spec: ModelSpec
+    model: object
+    inputs: list[str]
+    prep: dict = field(default_factory=dict)     # column name -> expression (per-fold scaling)
+    rff: tuple | None = None                     # (omega p x D, phase D) of the random-feature map
+    calib: object = None                          # Platt logistic model on the margin
+
+    @property
+    def stages(self):
+        return self.model.stages
+
+
+def _finite(c: str) -> F.Column:
+    x = F.col(c)
+    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+
+
+def _prepare(spec: ModelSpec, train: DataFrame, predictors: list[str]):
+    """Per-fold scaling (E6/E7) as column expressions and the random-feature
+    parameters (M16-M19). Scaling statistics use finite values only; a
+    non-finite or missing input becomes the training mean (z = 0)."""
+    exprs, cols = {}, list(predictors)
+    if spec.scale:
+        std = F.stddev_pop if spec.scale == "pop" else F.stddev_samp
+        row = train.agg(*[F.avg(_finite(c)).alias(f"m_{i}") for i, c in enumerate(predictors)],
+                        *[std(_finite(c)).alias(f"s_{i}") for i, c in enumerate(predictors)]).first()
+        cols = []
+        for i, c in enumerate(predictors):
+            m, sd = float(row[f"m_{i}"] or 0.0), float(row[f"s_{i}"] or 0.0)
+            sd = (sd if sd > 0 else 1.0) if spec.scale == "pop" else sd + 1e-8
+            exprs[f"_z_{i}"] = F.coalesce((_finite(c) - F.lit(m)) / F.lit(sd), F.lit(0.0))
+            cols.append(f"_z_{i}")
+    rff = None
+    if spec.rff:
+        d, gamma, seed = spec.rff
+        p = len(cols)
+        gamma = gamma if gamma is not None else 1.0 / p
+        rng = np.random.default_rng(seed)
+        rff = (rng.normal(0.0, math.sqrt(2.0 * gamma), size=(p, d)), rng.uniform(0.0, 2 * math.pi, size=d))
+    return exprs, cols, rff
+
+
+def _features(df: DataFrame, prep: dict, inputs: list[str], rff) -> DataFrame:
+    """Add the ``features`` vector: assembled inputs, or their random Fourier
+    features sqrt(2/D) cos(x W + b) computed per Arrow batch with numpy."""
+    x = df.withColumns(prep) if prep else df
+    if rff is None:
+        return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(x)
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import types as T
+    omega, phase = rff
+    scale = math.sqrt(2.0 / omega.shape[1])
+    out_schema = T.StructType(x.schema.fields + [T.StructField("_rff", T.ArrayType(T.DoubleType()))])
+
+    def rff_batches(batches):
+        for pdf in batches:
+            m = pdf[inputs].to_numpy(dtype="float64")
+            z = scale * np.cos(m @ omega + phase)
+            pdf["_rff"] = list(z)
+            yield pdf
+
+    y = x.mapInPandas(rff_batches, out_schema)
+    return y.withColumn("features", array_to_vector("_rff")).drop("_rff")
+
+
+def fit(spec: ModelSpec, train: DataFrame, predictors: list[str]) -> Fitted:
+    """Fit preparation + features + estimator on ``train`` (one training fold)."""
+    base = train.select(*predictors, _label(spec).alias("label")).where(F.col("label").isNotNull())
+    prep, inputs, rff = _prepare(spec, base, predictors)
+    t = _features(base, prep, inputs, rff).select("features", "label")
+    if rff is not None:
+        t = t.persist()                                  # the feature map runs once per fold
+    stats = t.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("s"),
+                  F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("pos")).first()
+    n, pos = int(stats["n"]), int(stats["pos"] or 0)
+    ctx = FitContext(n, float(stats["s"] or 0.0))
+    est = spec.build(ctx)
+    if spec.balanced and 0 < pos < n:
+        w1, w0 = n / (2.0 * pos), n / (2.0 * (n - pos))
+        t = t.withColumn("weight", F.when(F.col("label") > 0, F.lit(w1)).otherwise(F.lit(w0)))
+        est = est.setWeightCol("weight")
+    model = Pipeline(stages=[est]).fit(t)
+    calib = None
+    if spec.platt:
+        margin = model.transform(t).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
+        calib = Pipeline(stages=[VectorAssembler(inputCols=["m"], outputCol="features"),
+                                 LogisticRegression(regParam=0.0, labelCol="label")]).fit(margin)
+    return Fitted(spec, model, inputs, prep, rff, calib)
+
+
+def score(spec: ModelSpec, fitted, rows: DataFrame, threshold: float = 0.51) -> DataFrame:
     """Append ``probability`` (P(class 1), null without one) and ``Predictions``."""
-    out = model.transform(rows)
+    out = fitted.model.transform(_features(rows, fitted.prep, fitted.inputs, fitted.rff))
+    out = out.drop("features")
+    if fitted.calib is not None:
+        out = out.withColumn("_margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction",
+                                                                                    "probability", "prediction")
+        cal = VectorAssembler(inputCols=["_margin"], outputCol="features")
+        out = fitted.calib.stages[-1].transform(cal.transform(out)).drop("features", "_margin")
+    out = out.drop(*fitted.prep.keys()) if fitted.prep else out
     if spec.output == "proba":
         out = out.withColumn("probability", vector_to_array(F.col("probability"))[1])
         return out.withColumn("Predictions", (F.col("probability") >= threshold).cast("int"))
@@ -209,6 +331,6 @@ def registry_frame(spark, specs: list[ModelSpec]) -> DataFrame:
 
 def feature_importance(model, predictors: list[str]) -> list[tuple[str, float]]:
     """D-26: (feature, importance) of a fitted tree ensemble, descending."""
-    est = model.stages[-1]
+    est = model.model.stages[-1] if isinstance(model, Fitted) else model.stages[-1]
     imp = est.featureImportances.toArray()
     return sorted(zip(predictors, map(float, imp)), key=lambda kv: -kv[1])

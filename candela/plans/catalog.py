@@ -879,3 +879,97 @@ for _name, _prof, _cols, _doc in _VIEWS:
     _fn = _view(_prof, _cols)
     _fn.__doc__ = _doc
     register(_name, _sql, [c for c in _cols if c in _pround])(_fn)
+
+
+# ------------------------------------------------------------------ module path (L3) and scaled models
+
+MODULE_HORIZONS = (2, 5, 60, 250, 1000)
+
+
+def _module_input(spark, d):
+    """L3 input: processed features (prep profile) re-engineered with horizons up to 1000, shift 1."""
+    eng, preds = fe.engineer_features(_prep(spark, d), MODULE_HORIZONS, 1)
+    return bl.with_forward_return(eng), preds
+
+
+def _module_query(name: str, doc: str):
+    def q(spark, d):
+        x, preds = _module_input(spark, d)
+        return mo.backtest(x, preds, [mo.REGISTRY[name]], fo.PLAIN_WF)
+    q.__doc__ = doc
+    return q
+
+
+for _key, _name, _doc in [
+    ("module_logistic", "LogisticRegressionBalanced",
+     "L3/M7: balanced logistic regression on the module features (horizons to 1000), expanding folds."),
+    ("svc_rff", "SVC", "M16 (re-aimed): RBF random features of z-scored inputs -> linear SVM -> Platt probability."),
+    ("svr_rff", "SVR", "M17 (re-aimed): RBF random features -> L2 least squares, score >= threshold."),
+    ("kernel_ridge_rff", "KernelRidge", "M18 (re-aimed): RBF(gamma .1) random features -> ridge without intercept."),
+    ("gp_rff", "GaussianProcess", "M19 (re-aimed): RBF(length 1) random features -> L2 logistic (MAP)."),
+]:
+    register(_key)(_module_query(_name, _doc))
+
+
+def _backend(spark, d):
+    return bl.with_forward_return(fe.features(_clean_daily(spark, d), "backend"))
+
+
+def fold_zscore_stats(df, predictors, wf):
+    """Per fold, mean and sample std (+1e-8) of each predictor over the finite
+    training values (the statistics the per-fold scaler of the models uses)."""
+    cal = fo.calendar(df)
+    data = fo.with_date_ordinal(df, cal)
+    out = None
+    for r in fo.folds(cal, wf).collect():            # one row per fold
+        tr = fo.train_rows(data, r["train_end"])
+        a = tr.agg(*[F.avg(mo._finite(c)).alias(f"m{i}") for i, c in enumerate(predictors)],
+                   *[F.stddev_samp(mo._finite(c)).alias(f"s{i}") for i, c in enumerate(predictors)])
+        stack = "stack({}, {}) as (feature, mean, std)".format(
+            len(predictors), ", ".join(f"'{c}', m{i}, s{i} + 1e-8" for i, c in enumerate(predictors)))
+        part = a.selectExpr(f"{r['fold_id']} as fold_id", stack)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_BACK_PREDS = [c for c in ["Returns_1d", "Returns_3d", "Returns_5d", "Returns_10d", "Returns_21d", "Log_Returns",
+                           "Volatility_5d", "Volatility_10d", "Volatility_21d", "RSI_14", "MACD", "MACD_Signal",
+                           "MACD_Hist", "BB_Position", "BB_Width", "Volume_Ratio_20d", "OBV", "OBV_Change_5d",
+                           "High_Low_Pct", "Gap_Pct", "Close_MA_5_Ratio", "Close_MA_10_Ratio", "Close_MA_20_Ratio",
+                           "Close_MA_50_Ratio"]]
+
+
+def _zscore_sql():
+    parts = " UNION ALL ".join(
+        f"SELECT fold_id, '{c}' AS feature, avg(CASE WHEN isfinite({c}) THEN {c} END) AS mean, "
+        f"stddev_samp(CASE WHEN isfinite({c}) THEN {c} END) + 1e-8 AS std FROM tr GROUP BY fold_id"
+        for c in _BACK_PREDS)
+    return f"""
+WITH {_fold_sql(_BACK_SQL, gap=21, min_train=50, min_test=10)},
+r AS (SELECT f.*, cal.d FROM f JOIN cal USING (Date)),
+tr AS (SELECT fk.fold_id, r.* FROM fk JOIN r ON r.d < fk.train_end)
+SELECT CAST(fold_id AS INTEGER) AS fold_id, feature, mean, std FROM ({parts}) u"""
+
+
+@register("fold_zscore", _zscore_sql(), ["mean", "std"])
+def q_fold_zscore(spark, d):
+    """Training-fold z-score statistics of the backend predictors (ddof 1, +1e-8)."""
+    return fold_zscore_stats(fe.features(_clean_daily(spark, d), "backend"), _BACK_PREDS, fo.PIPELINE_WF)
+
+
+@register("model_backend_z")
+def q_model_backend_z(spark, d):
+    """Backend predictors z-scored per fold, balanced logistic regression."""
+    return mo.backtest(_backend(spark, d), _BACK_PREDS, [mo.REGISTRY["LogisticRegressionZ"]])
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    """D-26: random-forest feature importances on the first 70% of dates, descending."""
+    df = _pipe_engineered(spark, d).persist()
+    cal = fo.calendar(df)
+    cut = cal.agg(F.floor(F.count(F.lit(1)) * F.lit(0.7)).cast("int").alias("c")).first()["c"]
+    model = mo.fit(mo.REGISTRY["RandomForest"], fo.train_rows(fo.with_date_ordinal(df, cal), cut), PIPE_PREDICTORS)
+    rows = mo.feature_importance(model, PIPE_PREDICTORS)
+    return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(rows)],
+                                 "feature string, importance double, rank int")
