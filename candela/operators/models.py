@@ -25,6 +25,7 @@ import math
 import numpy as np
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -45,7 +46,7 @@ class ModelSpec:
     name: str
     ordinal: int
     build: Callable[[FitContext], object] = field(repr=False)
-    output: str = "proba"          # proba | score | sign
+    output: str = "proba"          # proba | score | sign | state
     has_probability: bool = True
     key: tuple = ()                # identical keys share one fit per fold
     label: str | None = None       # regression target column (default: Target)
@@ -149,7 +150,12 @@ MODULE_SPECS = [
     ModelSpec("LogisticRegressionZ", 44, _logistic(2000), balanced=True, scale="samp"),
 ]
 
-REGISTRY = {m.name: m for m in PIPELINE_REGISTRY + MODULE_MODELS + [AR_MODEL] + MODULE_SPECS}
+# M20 re-aimed: a 3-component Gaussian mixture (full covariance) as the regime
+# emission model; regimes are ordered by the mean of the first input.
+REGIME_MODEL = ModelSpec("RegimeMixture", 45, lambda ctx: GaussianMixture(k=3, maxIter=100, seed=1, tol=0.01),
+                         output="state")
+
+REGISTRY = {m.name: m for m in PIPELINE_REGISTRY + MODULE_MODELS + [AR_MODEL] + MODULE_SPECS + [REGIME_MODEL]}
 
 
 def ar_features(df: DataFrame, p: int = AR_LAGS) -> tuple[DataFrame, list[str]]:
@@ -277,6 +283,12 @@ def score(spec: ModelSpec, fitted, rows: DataFrame, threshold: float = 0.51) ->
         cal = VectorAssembler(inputCols=["_margin"], outputCol="features")
         out = fitted.calib.stages[-1].transform(cal.transform(out)).drop("features", "_margin")
     out = out.drop(*fitted.prep.keys()) if fitted.prep else out
+    if spec.output == "state":
+        # posterior of the component whose mean of the first input is highest
+        means = [float(g.mean.toArray()[0]) for g in fitted.model.stages[-1].gaussians]
+        top = int(np.argmax(means))
+        out = out.withColumn("probability", vector_to_array(F.col("probability"))[top]).drop("prediction")
+        return out.withColumn("Predictions", (F.col("probability") >= threshold).cast("int"))
     if spec.output == "proba":
         out = out.withColumn("probability", vector_to_array(F.col("probability"))[1])
         return out.withColumn("Predictions", (F.col("probability") >= threshold).cast("int"))

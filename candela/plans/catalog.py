@@ -907,6 +907,8 @@ for _key, _name, _doc in [
     ("svr_rff", "SVR", "M17 (re-aimed): RBF random features -> L2 least squares, score >= threshold."),
     ("kernel_ridge_rff", "KernelRidge", "M18 (re-aimed): RBF(gamma .1) random features -> ridge without intercept."),
     ("gp_rff", "GaussianProcess", "M19 (re-aimed): RBF(length 1) random features -> L2 logistic (MAP)."),
+    ("regime_mixture", "RegimeMixture",
+     "M20 (re-aimed): 3-regime Gaussian mixture on the module features; P(top regime) >= threshold."),
 ]:
     register(_key)(_module_query(_name, _doc))
 
