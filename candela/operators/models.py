@@ -346,3 +346,69 @@ def feature_importance(model, predictors: list[str]) -> list[tuple[str, float]]:
     est = model.model.stages[-1] if isinstance(model, Fitted) else model.stages[-1]
     imp = est.featureImportances.toArray()
     return sorted(zip(predictors, map(float, imp)), key=lambda kv: -kv[1])
+
+
+# ---------------------------------------------------------------- seasonal AR(I)MA re-aims
+
+SEASON = 5
+HR_LONG_AR = 10
+
+
+def seasonal_lags(df: DataFrame, season: int = SEASON, lags: int = HR_LONG_AR) -> DataFrame:
+    """y_t = (1 - B)(1 - B^s) Close_t and its lags y_lag0..y_lag{lags}; ``y_next``
+    is the label (y_{t+1}) and ``d_back`` = Delta Close_{t+1-s}, so that the next
+    price change is y_{t+1} + d_back. One window stage over the series."""
+    from candela.operators.features import w_series
+    w = w_series()
+    need = lags + season + 1
+    c = {f"_c{j}": F.lag("Close", j).over(w) for j in range(1, need + 1)}
+    x = df.withColumns(c).withColumn("_cn", F.lead("Close", 1).over(w))
+    col = lambda j: F.col("Close") if j == 0 else F.col(f"_c{j}")
+    ys = {}
+    for k in range(0, lags + 1):
+        ys[f"y_lag{k}"] = (col(k) - col(k + 1)) - (col(k + season) - col(k + season + 1))
+    x = x.withColumns(ys)
+    x = x.withColumn("y_next", (F.col("_cn") - F.col("Close")) - (col(season - 1) - col(season)))
+    x = x.withColumn("d_back", col(season - 1) - col(season))
+    return x.drop(*c, "_cn").na.drop(subset=list(ys) + ["d_back"])
+
+
+def sarima_hr_backtest(df: DataFrame, exog: list[str] | None = None, wf: fo.WalkForward = fo.PIPELINE_WF,
+                       name: str = "SARIMA") -> DataFrame:
+    """Walk-forward Hannan-Rissanen fit per fold.
+
+    Stage 1: y_t on y_{t-1..t-10} (long AR) by least squares; its residual
+    e_t estimates the innovation. Stage 2: y_{t+1} on y_t..y_{t-4} (AR 5),
+    y_{t-4}, y_{t-9} (seasonal AR), e_{t-4} (seasonal MA) and ``exog``, with an
+    intercept (drift). Prediction: 1 when the implied next change
+    y_{t+1} + Delta Close_{t+1-s} is positive.
+    """
+    from candela.operators.features import w_series
+    exog = exog or []
+    x = seasonal_lags(df)
+    cal = fo.calendar(x)
+    data = fo.with_date_ordinal(x, cal).persist()
+    fold_rows = fo.folds(cal, wf).collect()
+    tests = fo.assign_test(data, fo.folds(cal, wf)).select("fold_id", "Ticker", "Date")
+    s1_in = [f"y_lag{k}" for k in range(1, HR_LONG_AR + 1)]
+    s2_in = [f"y_lag{k}" for k in range(0, 5)] + [f"y_lag{SEASON - 1 + SEASON}", "e_lag4"] + exog
+    parts = []
+    for r in fold_rows:
+        tr = fo.train_rows(data, r["train_end"])
+        s1 = Pipeline(stages=[VectorAssembler(inputCols=s1_in, outputCol="features"),
+                              LinearRegression(regParam=0.0, solver="normal", labelCol="y_lag0")]).fit(tr)
+        e = s1.transform(data).withColumn("e", F.col("y_lag0") - F.col("prediction")).drop("features", "prediction")
+        e = e.withColumn("e_lag4", F.lag("e", SEASON - 1).over(w_series())).na.drop(subset=["e_lag4"])
+        tr2 = fo.train_rows(e, r["train_end"]).where(F.col("y_next").isNotNull())
+        s2 = Pipeline(stages=[VectorAssembler(inputCols=s2_in, outputCol="features", handleInvalid="keep"),
+                              LinearRegression(regParam=0.0, solver="normal", labelCol="y_next")]).fit(tr2)
+        t = e.join(tests.where(F.col("fold_id") == r["fold_id"]), ["Ticker", "Date"])
+        sc = s2.transform(t)
+        parts.append(sc.select(F.lit(name).alias("model"), "fold_id", "Ticker", "Date", "Target",
+                               F.lit(None).cast("double").alias("probability"),
+                               ((F.col("prediction") + F.col("d_back")) > 0).cast("int").alias("Predictions"),
+                               "fwd_return"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -975,3 +975,16 @@ def q_feature_importance(spark, d):
     rows = mo.feature_importance(model, PIPE_PREDICTORS)
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(rows)],
                                  "feature string, importance double, rank int")
+
+
+@register("sarima_hr")
+def q_sarima_hr(spark, d):
+    """M22 (re-aimed): seasonal AR(5)(1,1,1)_5 with drift by Hannan-Rissanen regressions, walk-forward."""
+    return mo.sarima_hr_backtest(_model_input(spark, d), name="SARIMA")
+
+
+@register("sarimax_hr")
+def q_sarimax_hr(spark, d):
+    """M23 (re-aimed): as sarima_hr with the model predictors as exogenous regressors
+    (contemporaneous, as the reference uses them)."""
+    return mo.sarima_hr_backtest(_model_input(spark, d), exog=PIPE_PREDICTORS, name="SARIMAX")
