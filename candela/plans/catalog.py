@@ -25,7 +25,7 @@ ROUND = 6
 
 
 def _round(df: DataFrame, cols: list[str], digits: int = ROUND) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) for c in cols}) if cols else df
+    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in cols}) if cols else df
 
 
 def register(name: str, sql: str | None = None, round_cols: list[str] | None = None):

@@ -52,7 +52,8 @@ def rsi(ag: str, al: str) -> str:
 def rounded(sql: str, cols: list[str], digits: int = 6) -> str:
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+    # + 0.0 turns a rounded -0.0 into 0.0 (IEEE), so both engines print the same zero
+    rep = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) _q"
 
 

@@ -55,6 +55,9 @@ def compare(spark_df, sql: str, con) -> dict:
         for c in keys:
             x, y = a[c], b[c]
             eq = (x == y) | (x.isna() & y.isna())
+            if x.dtype == "float64" and y.dtype == "float64":
+                import numpy as np
+                eq = eq & (np.signbit(x.fillna(0).to_numpy()) == np.signbit(y.fillna(0).to_numpy()))
             if not eq.all():
                 bad[c] = int((~eq).sum())
     res["bad_cols"] = bad
