@@ -305,10 +305,12 @@ def backtest(df: DataFrame, predictors: list[str], specs: list[ModelSpec],
     ``df`` must hold ``Ticker, Date, Target, fwd_return`` and the predictors.
     It is persisted once; every fit and test scan reads the cached rows.
     """
-    cal = fo.calendar(df)
+    df = df.persist()                                 # features are computed once for all fits
+    cal = fo.calendar(df).persist()                   # one row per date
     data = fo.with_date_ordinal(df, cal).persist()
-    fold_rows = fo.folds(cal, wf).collect()          # one row per fold (bounded by calendar / step)
-    tests = fo.assign_test(data, fo.folds(cal, wf))
+    fold_table = fo.folds(cal, wf).persist()          # one row per fold (bounded by calendar / step)
+    fold_rows = fold_table.collect()
+    tests = fo.assign_test(data, fold_table)
     groups: dict = {}
     for s in specs:                                   # presets with equal keys are fitted once
         groups.setdefault(s.key or (s.name,), []).append(s)
@@ -385,11 +387,12 @@ def sarima_hr_backtest(df: DataFrame, exog: list[str] | None = None, wf: fo.Walk
     """
     from candela.operators.features import w_series
     exog = exog or []
-    x = seasonal_lags(df)
-    cal = fo.calendar(x)
+    x = seasonal_lags(df).persist()
+    cal = fo.calendar(x).persist()
     data = fo.with_date_ordinal(x, cal).persist()
-    fold_rows = fo.folds(cal, wf).collect()
-    tests = fo.assign_test(data, fo.folds(cal, wf)).select("fold_id", "Ticker", "Date")
+    fold_table = fo.folds(cal, wf).persist()
+    fold_rows = fold_table.collect()
+    tests = fo.assign_test(data, fold_table).select("fold_id", "Ticker", "Date")
     s1_in = [f"y_lag{k}" for k in range(1, HR_LONG_AR + 1)]
     s2_in = [f"y_lag{k}" for k in range(0, 5)] + [f"y_lag{SEASON - 1 + SEASON}", "e_lag4"] + exog
     parts = []
