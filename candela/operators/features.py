@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candela.functions.expr import (
-    ema, fdiv, pct_change, rolling_mean, rolling_std, rolling_sum, series_window,
+    ema, ema_lookback, fdiv, pct_change, rolling_mean, rolling_std, rolling_sum, series_window,
 )
 
 DEFAULT_HORIZONS = (2, 5, 60, 250)
@@ -119,14 +119,15 @@ def cum_return(r: str, w: WindowSpec | None = None) -> Column:
 
 # ------------------------------------------------------------------ profiles
 
-def technical_features(bars: DataFrame, profile: Profile = PIPELINE) -> DataFrame:
+def technical_features(bars: DataFrame, profile: Profile = PIPELINE, keys: tuple = ("Ticker",)) -> DataFrame:
     """C1-C25, C28 for the ``pipeline``, ``prep`` and ``app`` profiles.
 
     Stages: (1) window values read once each (lags, lead, EMAs, rolling
     means); (2) row arithmetic on them; (3) windows over stage-2 columns;
     (4) final arithmetic. Each window aggregate is evaluated exactly once.
+    ``keys`` partitions the windows (``halo_features`` adds a bucket key).
     """
-    w = w_series()
+    w = series_window(list(keys), "Date")
     p = profile
     s1 = bars.select(
         "*",
@@ -175,11 +176,60 @@ def technical_features(bars: DataFrame, profile: Profile = PIPELINE) -> DataFram
              p.signal, "BB_Middle", "BB_Std", "BB_Position", "Volatility_10"]
     if p.name != "prep":
         body += ["Target"]
+    extra = [k for k in keys if k != "Ticker"] + [c for c in bars.columns if c.startswith("_halo")]
     out = s4.select(*head, *body, *horizon_cols,
-                    F.weekday("Date").alias("Day_of_Week"), F.month("Date").alias("Month"))
+                    F.weekday("Date").alias("Day_of_Week"), F.month("Date").alias("Month"), *extra)
+    if extra:                                        # halo rows leave before the null drop
+        out = out.where(~F.col("_halo")).drop(*extra)
     return out.na.drop() if p.dropna_all else out.na.drop(subset=["Target"])
 
 
+# Longest nested lookback of the technical features: the signal EMA (166 rows)
+# over MACD, whose EMA-26 reads 479 rows; one more row for the lags.
+TECH_LOOKBACK = ema_lookback(9) + ema_lookback(26) + 1
+
+
+def global_row_index(df: DataFrame, chunk: str = "month") -> DataFrame:
+    """0-based position of each row in its series without a whole-series window.
+
+    Rows are counted per (Ticker, time chunk) with an aggregate (partial
+    aggregation, so a hot ticker is spread over many tasks); chunk offsets are
+    a running sum over that small table; the position inside a chunk is a
+    window over the chunk only.
+    """
+    c = df.withColumn("_chunk", F.date_trunc(chunk, F.col("Date")))
+    counts = c.groupBy("Ticker", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.select("Ticker", "_chunk", F.coalesce(F.sum("_n").over(
+        Window.partitionBy("Ticker").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    rn = F.row_number().over(Window.partitionBy("Ticker", "_chunk").orderBy("Date")) - 1
+    return c.join(offs, ["Ticker", "_chunk"]).withColumn("_g", F.col("_off") + rn).drop("_chunk", "_off")
+
+
+def halo_features(bars: DataFrame, profile: str = "pipeline", rows_per_bucket: int = 4096,
+                  lookback: int = TECH_LOOKBACK) -> DataFrame:
+    """``technical_features`` computed on buckets of ``rows_per_bucket`` rows
+    per series, each with a copy of the ``lookback`` rows before it and of the
+    first row after it. Every real row sees the same frames as in the
+    unbucketed series, so results are identical, while one long series is
+    spread over many tasks (a hot ticker no longer lands in one task).
+    """
+    b = rows_per_bucket
+    g = global_row_index(bars)
+    own = g.withColumn("_bucket", F.floor(F.col("_g") / b)).withColumn("_halo", F.lit(False))
+    # rows feeding later buckets as their leading halo
+    first_next = F.floor(F.col("_g") / b) + 1
+    last_next = F.floor((F.col("_g") + lookback) / b)
+    lead_halo = (g.withColumn("_bucket", F.explode(F.sequence(first_next, F.greatest(first_next, last_next))))
+                  .where(F.col("_bucket") * b - lookback <= F.col("_g"))
+                  .withColumn("_halo", F.lit(True)))
+    # the first row of a bucket closes the previous one (next-row label)
+    trail = (g.where(((F.col("_g") % b) == 0) & (F.col("_g") > 0))
+              .withColumn("_bucket", F.floor(F.col("_g") / b) - 1).withColumn("_halo", F.lit(True)))
+    parts = own.unionByName(lead_halo).unionByName(trail).drop("_g")
+    return technical_features(parts, PROFILES[profile], keys=("Ticker", "_bucket"))
+
+
 BACKEND_RETURN_LAGS = (1, 3, 5, 10, 21)
 BACKEND_VOL_WINDOWS = (5, 10, 21)
 BACKEND_MA_WINDOWS = (5, 10, 20, 50)

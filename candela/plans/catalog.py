@@ -988,3 +988,21 @@ def q_sarimax_hr(spark, d):
     """M23 (re-aimed): as sarima_hr with the model predictors as exogenous regressors
     (contemporaneous, as the reference uses them)."""
     return mo.sarima_hr_backtest(_model_input(spark, d), exog=PIPE_PREDICTORS, name="SARIMAX")
+
+
+# ------------------------------------------------------------------ long-series (halo) execution
+
+HALO_ROWS = 512
+
+
+def _halo_query(profile):
+    def q(spark, d):
+        return fe.halo_features(_clean_daily(spark, d), profile, rows_per_bucket=HALO_ROWS)
+    q.__doc__ = (f"C1-C28 '{profile}' features computed on {HALO_ROWS}-row buckets per series with a "
+                 "lookback halo (hot tickers spread over many tasks); equal to the unbucketed result.")
+    return q
+
+
+for _p in ("pipeline", "prep"):
+    _sql, _dcols = sq.features(CLEAN_DAILY_SQL, _p)
+    register(f"features_{_p}_halo", _sql, [c for c in _dcols if c not in {"Open", "High", "Low", "Close"}])(_halo_query(_p))

@@ -54,3 +54,13 @@ def test_forecast_band_contains_path(spark):
     p = catalog.QUERIES["forecast_path"](spark, SF_SMALL)
     assert p.where(~((F.col("Lower") <= F.col("Close")) & (F.col("Close") <= F.col("Upper")))).count() == 0
     assert p.groupBy("Ticker").count().where("count != 30").count() == 0
+
+
+def test_halo_buckets_equal_whole_series(spark):
+    bars = cl.clean_stock_data(src.bars_daily(spark, SF_SMALL)).cache()
+    for prof in ("pipeline", "app"):
+        a = fe.features(bars, prof)
+        h = fe.halo_features(bars, prof, rows_per_bucket=200)
+        assert a.exceptAll(h).count() == 0 and h.exceptAll(a).count() == 0
+    plan = fe.halo_features(bars, "prep", 200)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(Ticker" in plan and "_bucket" in plan
