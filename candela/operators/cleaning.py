@@ -258,10 +258,11 @@ def tag_train_test(df: DataFrame, ratio: float = 0.7, connect: bool = True) -> D
     With ``connect`` the last train row is repeated as the first point of the
     test segment, so the two chart lines join.
     """
-    w = Window.partitionBy("Ticker").orderBy("Date")
-    n = F.count(F.lit(1)).over(Window.partitionBy("Ticker"))
-    t = (df.withColumn("_rn", F.row_number().over(w) - 1)
-           .withColumn("_cut", F.floor(n * F.lit(ratio))))
+    from candela.operators.features import global_row_index
+    # series positions without a whole-series window: chunked counts + offsets
+    n = df.groupBy("Ticker").agg(F.count(F.lit(1)).alias("_n"))
+    t = (global_row_index(df).withColumnRenamed("_g", "_rn").join(n, "Ticker")
+         .withColumn("_cut", F.floor(F.col("_n") * F.lit(ratio))).drop("_n"))
     tagged = t.withColumn("segment", F.when(F.col("_rn") < F.col("_cut"), "train").otherwise("test"))
     if connect:
         joint = tagged.where(F.col("_rn") == F.col("_cut") - 1).withColumn("segment", F.lit("test"))
