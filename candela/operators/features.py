@@ -186,7 +186,7 @@ def technical_features(bars: DataFrame, profile: Profile = PIPELINE, keys: tuple
 
 # Longest nested lookback of the technical features: the signal EMA (166 rows)
 # over MACD, whose EMA-26 reads 479 rows; one more row for the lags.
-TECH_LOOKBACK = ema_lookback(9) + ema_lookback(26) + 1
+TECH_LOOKBACK = ema_lookback(9) + ema_lookback(26) + 8
 
 
 def global_row_index(df: DataFrame, chunk: str = "month") -> DataFrame:
@@ -216,18 +216,22 @@ def halo_features(bars: DataFrame, profile: str = "pipeline", rows_per_bucket: i
     """
     b = rows_per_bucket
     g = global_row_index(bars)
-    own = g.withColumn("_bucket", F.floor(F.col("_g") / b)).withColumn("_halo", F.lit(False))
+    own = (g.withColumn("_bucket", F.floor(F.col("_g") / b)).withColumn("_halo", F.lit(False))
+            .withColumn("_lead_halo", F.lit(False)))
     # rows feeding later buckets as their leading halo
     first_next = F.floor(F.col("_g") / b) + 1
     last_next = F.floor((F.col("_g") + lookback) / b)
     lead_halo = (g.withColumn("_bucket", F.explode(F.sequence(first_next, F.greatest(first_next, last_next))))
                   .where(F.col("_bucket") * b - lookback <= F.col("_g"))
-                  .withColumn("_halo", F.lit(True)))
+                  .withColumn("_halo", F.lit(True)).withColumn("_lead_halo", F.lit(True)))
     # the first row of a bucket closes the previous one (next-row label)
     trail = (g.where(((F.col("_g") % b) == 0) & (F.col("_g") > 0))
-              .withColumn("_bucket", F.floor(F.col("_g") / b) - 1).withColumn("_halo", F.lit(True)))
+              .withColumn("_bucket", F.floor(F.col("_g") / b) - 1).withColumn("_halo", F.lit(True))
+              .withColumn("_lead_halo", F.lit(False)))
     parts = own.unionByName(lead_halo).unionByName(trail).drop("_g")
-    return technical_features(parts, PROFILES[profile], keys=("Ticker", "_bucket"))
+    if profile == "backend":
+        return backend_features(parts, keys=("Ticker", "_bucket"))
+    return technical_features(parts.drop("_lead_halo"), PROFILES[profile], keys=("Ticker", "_bucket"))
 
 
 BACKEND_RETURN_LAGS = (1, 3, 5, 10, 21)
@@ -236,11 +240,14 @@ BACKEND_MA_WINDOWS = (5, 10, 20, 50)
 BACKEND_EXCLUDE = ("Close", "Target", "Day_of_Week", "Month")
 
 
-def backend_features(bars: DataFrame) -> DataFrame:
+def backend_features(bars: DataFrame, keys: tuple = ("Ticker",)) -> DataFrame:
     """C2-C21 of the ``backend`` profile: every feature lagged one day except
     Log_Returns and the calendar; Open/High/Low/Volume dropped; all-null drop.
-    Staged like ``technical_features`` so each window value is read once."""
-    w = w_series()
+    Staged like ``technical_features`` so each window value is read once.
+    With a bucket key (``halo_features``) the running OBV gets the step total
+    of earlier buckets added and the leading halo's steps removed."""
+    w = series_window(list(keys), "Date")
+    bucketed = "_bucket" in keys
     lags = sorted({1} | {1 + k for k in BACKEND_RETURN_LAGS})
     s1 = bars.select(
         "*",
@@ -273,13 +280,28 @@ def backend_features(bars: DataFrame) -> DataFrame:
         fdiv(F.col("Volume"), F.col("_vol_mean")).alias("_vol_ratio"),
         *[fdiv(F.col("Close"), F.col(f"_mean{m}")).alias(f"_ma{m}") for m in BACKEND_MA_WINDOWS],
     )
+    running = F.sum("_obv_step").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    if bucketed:
+        # steps of real rows per bucket -> running total of all earlier buckets (small table)
+        tot = (s2.where(~F.col("_halo")).groupBy("Ticker", "_bucket").agg(F.sum("_obv_step").alias("_bt")))
+        prev = tot.select("Ticker", "_bucket", F.coalesce(F.sum("_bt").over(
+            Window.partitionBy("Ticker").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0.0)).alias("_before"))
+        s2 = s2.join(prev, ["Ticker", "_bucket"], "left")
+        whole = Window.partitionBy(*keys)
+        lead_sum = F.sum(F.when(F.col("_lead_halo"), F.col("_obv_step")).otherwise(F.lit(0.0))).over(whole)
+        first = F.row_number().over(w) == 1
+        # the partition's first row has no running sum: the series start (bucket 0),
+        # or the oldest halo row, which no real row reads
+        running = F.when(first, F.lit(None)).otherwise(
+            F.coalesce(F.col("_before"), F.lit(0.0)) - lead_sum + F.coalesce(running, F.lit(0.0)))
     s3 = s2.select(
         "*",
         *[rolling_std(F.col("Returns_1d"), k, w, shift=1).alias(f"Volatility_{k}d") for k in BACKEND_VOL_WINDOWS],
         rolling_mean(F.col("_gain"), 14, w).alias("_ag"),
         rolling_mean(F.col("_loss"), 14, w).alias("_al"),
         ema(F.col("_macd"), 9, w).alias("_signal"),
-        F.sum("_obv_step").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("OBV"),
+        running.alias("OBV"),
         F.lag("_gap", 1).over(w).alias("Gap_Pct"),
     )
     s4 = s3.select(
@@ -306,7 +328,10 @@ def backend_features(bars: DataFrame) -> DataFrame:
         *[F.lag(f"_ma{m}", 1).over(w).alias(f"Close_MA_{m}_Ratio") for m in BACKEND_MA_WINDOWS],
         "Target",
         F.weekday("Date").alias("Day_of_Week"), F.month("Date").alias("Month"),
+        *(["_halo"] if bucketed else []),
     )
+    if bucketed:
+        out = out.where(~F.col("_halo")).drop("_halo")
     return out.na.drop()
 
 

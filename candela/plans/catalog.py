@@ -1006,3 +1006,10 @@ def _halo_query(profile):
 for _p in ("pipeline", "prep"):
     _sql, _dcols = sq.features(CLEAN_DAILY_SQL, _p)
     register(f"features_{_p}_halo", _sql, [c for c in _dcols if c not in {"Open", "High", "Low", "Close"}])(_halo_query(_p))
+
+
+@register("features_backend_halo", _bsql, _bcols)
+def q_features_backend_halo(spark, d):
+    """C2-C21 'backend' features on row buckets with a lookback halo; the running
+    OBV adds the step total of earlier buckets. Equal to the unbucketed result."""
+    return fe.halo_features(_clean_daily(spark, d), "backend", rows_per_bucket=HALO_ROWS)

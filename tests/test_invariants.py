@@ -58,7 +58,7 @@ def test_forecast_band_contains_path(spark):
 
 def test_halo_buckets_equal_whole_series(spark):
     bars = cl.clean_stock_data(src.bars_daily(spark, SF_SMALL)).cache()
-    for prof in ("pipeline", "app"):
+    for prof in ("pipeline", "app", "backend"):
         a = fe.features(bars, prof)
         h = fe.halo_features(bars, prof, rows_per_bucket=200)
         assert a.exceptAll(h).count() == 0 and h.exceptAll(a).count() == 0
