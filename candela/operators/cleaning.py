@@ -155,7 +155,7 @@ def iqr_static(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def iqr_rolling_flags(df: DataFrame, columns: list[str] | None = None, window: int = 252,
-                      order: list[str] | None = None) -> DataFrame:
+                      order: list[str] | None = None, keys: tuple = ("Ticker",)) -> DataFrame:
     """``{col}_outlier`` flags against the trailing ``window``-row quartiles.
 
     A row is flagged only when the frame is complete (S9: comparisons with a
@@ -164,7 +164,7 @@ def iqr_rolling_flags(df: DataFrame, columns: list[str] | None = None, window: i
     """
     columns = columns or PRICE_COLUMNS
     order = order or _order_cols(df)
-    w = Window.partitionBy("Ticker").orderBy(*order)
+    w = Window.partitionBy(*keys).orderBy(*order)
     # one sorted frame per column, materialised once, then read at fixed positions
     s1 = df.select("*", *[sorted_frame(F.col(c), window, w).alias(f"_arr_{c}") for c in columns])
     s2 = s1.select("*", *[quantile_of_sorted(f"_arr_{c}", window, p).alias(f"_q{i}_{c}")
@@ -179,6 +179,16 @@ def iqr_rolling_flags(df: DataFrame, columns: list[str] | None = None, window: i
     return s2.withColumns(flags).drop(*helpers)
 
 
+def iqr_rolling_flags_halo(df: DataFrame, window: int = 252, rows_per_bucket: int = 4096) -> DataFrame:
+    """B12 on ingest-ordered row buckets with a (window - 1)-row halo: equal
+    to ``iqr_rolling_flags`` while a hot series is spread over many tasks."""
+    from candela.operators.halo import halo_parts
+    chunk = F.floor(F.col("_ord") / F.lit(1 << 16))
+    parts = halo_parts(df, window - 1, rows_per_bucket, "_ord", chunk, trailing=False)
+    flagged = iqr_rolling_flags(parts, window=window, order=["_ord"], keys=("Ticker", "_bucket"))
+    return flagged.where(~F.col("_halo")).drop("_bucket", "_halo", "_lead_halo")
+
+
 def any_flag(columns: list[str]) -> Column:
     """OR over boolean flag columns."""
     return reduce(lambda a, b: a | b, [F.col(c) for c in columns])

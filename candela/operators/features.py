@@ -189,21 +189,7 @@ def technical_features(bars: DataFrame, profile: Profile = PIPELINE, keys: tuple
 TECH_LOOKBACK = ema_lookback(9) + ema_lookback(26) + 8
 
 
-def global_row_index(df: DataFrame, chunk: str = "month") -> DataFrame:
-    """0-based position of each row in its series without a whole-series window.
-
-    Rows are counted per (Ticker, time chunk) with an aggregate (partial
-    aggregation, so a hot ticker is spread over many tasks); chunk offsets are
-    a running sum over that small table; the position inside a chunk is a
-    window over the chunk only.
-    """
-    c = df.withColumn("_chunk", F.date_trunc(chunk, F.col("Date")))
-    counts = c.groupBy("Ticker", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("Ticker", "_chunk", F.coalesce(F.sum("_n").over(
-        Window.partitionBy("Ticker").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    rn = F.row_number().over(Window.partitionBy("Ticker", "_chunk").orderBy("Date")) - 1
-    return c.join(offs, ["Ticker", "_chunk"]).withColumn("_g", F.col("_off") + rn).drop("_chunk", "_off")
+from candela.operators.halo import global_row_index, halo_parts  # noqa: E402
 
 
 def halo_features(bars: DataFrame, profile: str = "pipeline", rows_per_bucket: int = 4096,
@@ -214,21 +200,7 @@ def halo_features(bars: DataFrame, profile: str = "pipeline", rows_per_bucket: i
     unbucketed series, so results are identical, while one long series is
     spread over many tasks (a hot ticker no longer lands in one task).
     """
-    b = rows_per_bucket
-    g = global_row_index(bars)
-    own = (g.withColumn("_bucket", F.floor(F.col("_g") / b)).withColumn("_halo", F.lit(False))
-            .withColumn("_lead_halo", F.lit(False)))
-    # rows feeding later buckets as their leading halo
-    first_next = F.floor(F.col("_g") / b) + 1
-    last_next = F.floor((F.col("_g") + lookback) / b)
-    lead_halo = (g.withColumn("_bucket", F.explode(F.sequence(first_next, F.greatest(first_next, last_next))))
-                  .where(F.col("_bucket") * b - lookback <= F.col("_g"))
-                  .withColumn("_halo", F.lit(True)).withColumn("_lead_halo", F.lit(True)))
-    # the first row of a bucket closes the previous one (next-row label)
-    trail = (g.where(((F.col("_g") % b) == 0) & (F.col("_g") > 0))
-              .withColumn("_bucket", F.floor(F.col("_g") / b) - 1).withColumn("_halo", F.lit(True))
-              .withColumn("_lead_halo", F.lit(False)))
-    parts = own.unionByName(lead_halo).unionByName(trail).drop("_g")
+    parts = halo_parts(bars, lookback, rows_per_bucket, "Date")
     if profile == "backend":
         return backend_features(parts, keys=("Ticker", "_bucket"))
     return technical_features(parts.drop("_lead_halo"), PROFILES[profile], keys=("Ticker", "_bucket"))

@@ -236,6 +236,12 @@ def q_iqr_rolling(spark, d):
     return cl.iqr_rolling_flags(_raw(spark, d))
 
 
+@register("iqr_rolling_halo", _iqr_rolling_sql(RAW_SQL))
+def q_iqr_rolling_halo(spark, d):
+    """B12 on 512-row ingest-order buckets with a 251-row halo (equal to iqr_rolling)."""
+    return cl.iqr_rolling_flags_halo(_raw(spark, d), rows_per_bucket=512)
+
+
 @register("rolling_outliers", f"""
 SELECT * FROM ({_iqr_rolling_sql(RAW_SQL)}) f
 WHERE Open_outlier OR High_outlier OR Low_outlier OR Close_outlier""")
