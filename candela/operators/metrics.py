@@ -43,6 +43,7 @@ def classification_metrics(preds: DataFrame, group: list[str] | None = None,
     out = cc.select(
         *group,
         _ratio(tp + tn, F.col("n")).alias("accuracy"),
+        _ratio(tp + tn, F.col("n")).alias("directional_accuracy"),
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp, tp + fn).alias("recall"),
         _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),

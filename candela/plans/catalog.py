@@ -456,6 +456,7 @@ c AS (SELECT model,
       FROM p GROUP BY model)
 SELECT model,
   CASE WHEN n = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / CAST(n AS DOUBLE) END AS accuracy,
+  CASE WHEN n = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / CAST(n AS DOUBLE) END AS directional_accuracy,
   CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS precision,
   CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall,
   CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1,
@@ -464,7 +465,7 @@ SELECT model,
   total_trades, tp, fp, fn, tn
 FROM c"""
 
-_MCOLS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+_MCOLS = ["accuracy", "directional_accuracy", "precision", "recall", "f1", "roc_auc"]
 
 
 @register("metrics", METRICS_SQL, _MCOLS)
@@ -1019,3 +1020,82 @@ def q_features_backend_halo(spark, d):
     """C2-C21 'backend' features on row buckets with a lookback halo; the running
     OBV adds the step total of earlier buckets. Equal to the unbucketed result."""
     return fe.halo_features(_clean_daily(spark, d), "backend", rows_per_bucket=HALO_ROWS)
+
+
+# ------------------------------------------------------------------ loader, headline, tails, fallback, evaluation
+
+from candela.plans import evaluate as ev  # noqa: E402
+
+_DEDUP_RAW_SQL = f"""
+SELECT Ticker, Date, Open, High, Low, Close, Volume FROM (
+  SELECT *, lag(Date) OVER (PARTITION BY Ticker ORDER BY Date, _ord) AS _pd FROM ({RAW_SQL}) r) x
+WHERE _pd IS NULL OR _pd <> Date"""
+_PROC_SQL, _PROC_ROUND = sq.features(_DEDUP_RAW_SQL, "prep")
+
+
+@register("processed_data", _PROC_SQL, [c for c in _PROC_ROUND if c not in {"Open", "High", "Low", "Close"}])
+def q_processed_data(spark, d):
+    """Raw bars -> clean_data without outlier removal -> prep-profile features."""
+    raw = _raw(spark, d)
+    return fe.features(cl.clean_data(raw, remove_outliers=False).drop("_ord"), "prep")
+
+
+@register("headline", f"""
+WITH p AS ({_forecast_sql("pipeline")}), b AS ({PIPE_ENG_SQL})
+SELECT Ticker, last_price, end_price, (end_price - last_price) / last_price * 100.0 AS change_pct
+FROM (SELECT Ticker, arg_max(Close, Date) AS last_price FROM b GROUP BY Ticker) l
+JOIN (SELECT Ticker, arg_max(Close, step) AS end_price FROM p GROUP BY Ticker) e USING (Ticker)""",
+          ["end_price", "change_pct"])
+def q_headline(spark, d):
+    """D-12: last price, forecast end price and change in percent per ticker."""
+    df, state, naive = _state_and_naive(spark, d)
+    path = fc.price_path(state, fc.fixed_directions(state, naive, H), H, "pipeline")
+    last = df.groupBy("Ticker").agg(F.max_by("Close", "Date").alias("last_price"))
+    end = path.groupBy("Ticker").agg(F.max_by("Close", "step").alias("end_price"))
+    return last.join(end, "Ticker").withColumn(
+        "change_pct", (F.col("end_price") - F.col("last_price")) / F.col("last_price") * 100.0)
+
+
+@register("pred_vs_actual", f"""
+SELECT * EXCLUDE (k) FROM (
+  SELECT Ticker, Date, Target, Predictions, row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) AS k
+  FROM ({_naive_sql()}) p) x WHERE k <= 100""")
+def q_pred_vs_actual(spark, d):
+    """D-27: the last 100 back-test rows per ticker, prediction next to the actual label."""
+    p = bl.naive_predictions(_prep(spark, d)).select("Ticker", "Date", "Target", "Predictions")
+    return stt.tail_n(p, 100)
+
+
+def _fallback_sql(legacy: bool) -> str:
+    base = _forecast_sql("pipeline")
+    close = "start * (1.0::DOUBLE + 0.001::DOUBLE * CAST(step AS DOUBLE))"
+    if legacy:
+        up = "start * (1.0::DOUBLE + 0.011::DOUBLE * CAST(step AS DOUBLE))"
+        lo = "start * (1.0::DOUBLE + 0.009::DOUBLE * CAST(step AS DOUBLE))"
+    else:
+        up = f"{close} * (1.0::DOUBLE + sigma * sqrt(CAST(step AS DOUBLE)))"
+        lo = f"{close} * (1.0::DOUBLE - sigma * sqrt(CAST(step AS DOUBLE)))"
+    head = base[:base.index("p AS (SELECT steps.*")]
+    return head + f"""p AS (SELECT steps.*, st.* FROM steps JOIN st USING (Ticker))
+SELECT Ticker, step, Date, {close} AS Close, 1 AS Prediction, 'Up' AS Direction, 0.5::DOUBLE AS Probability,
+       {up} AS Upper, {lo} AS Lower FROM p"""
+
+
+@register("forecast_fallback", _fallback_sql(False), _FC_ROUND)
+def q_forecast_fallback(spark, d):
+    """F8: model without probabilities -> +0.1% per step, 'Up', with volatility bands."""
+    df, state, naive = _state_and_naive(spark, d)
+    return fc.fallback_path(state, H)
+
+
+@register("forecast_fallback_legacy", _fallback_sql(True), _FC_ROUND)
+def q_forecast_fallback_legacy(spark, d):
+    """F8 parity: the reference's fallback bands (+1.1% / +0.9% per step)."""
+    df, state, naive = _state_and_naive(spark, d)
+    return fc.fallback_path(state, H, legacy_bands=True)
+
+
+@register("evaluate_models")
+def q_evaluate_models(spark, d):
+    """Linear-family registry evaluated with guards; failures are rows."""
+    return ev.evaluate_models(_model_input(spark, d), PIPE_PREDICTORS, [mo.REGISTRY[n] for n in FAST_MODELS])
