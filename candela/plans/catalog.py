@@ -1099,3 +1099,31 @@ def q_forecast_fallback_legacy(spark, d):
 def q_evaluate_models(spark, d):
     """Linear-family registry evaluated with guards; failures are rows."""
     return ev.evaluate_models(_model_input(spark, d), PIPE_PREDICTORS, [mo.REGISTRY[n] for n in FAST_MODELS])
+
+
+# ------------------------------------------------------------------ exact KNN
+
+from candela.operators import knn as kn  # noqa: E402
+
+
+def _knn_sql(k=10):
+    dist = "sqrt(" + " + ".join(f"(te.{c} - tr.{c}) * (te.{c} - tr.{c})" for c in PIPE_PREDICTORS) + ")"
+    return f"""
+WITH {_fold_sql(PIPE_ENG_SQL, gap=21, min_train=50, min_test=10)},
+r AS (SELECT f.*, cal.d FROM f JOIN cal USING (Date)),
+te AS (SELECT fk.fold_id, fk.train_end, r.* FROM fk JOIN r ON r.d >= fk.test_start AND r.d < fk.test_end),
+pairs AS (SELECT te.fold_id, te.Ticker, te.Date, te.Target, tr.Target AS y, {dist} AS dist,
+                 tr.Ticker AS tt, tr.Date AS td
+          FROM te JOIN r tr ON tr.d < te.train_end),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold_id, Ticker, Date ORDER BY dist, tt, td) AS rk
+                       FROM pairs) x WHERE rk <= {k})
+SELECT 'KNN' AS model, fold_id, Ticker, Date, Target, avg(CAST(y AS DOUBLE)) AS probability,
+       CAST(avg(CAST(y AS DOUBLE)) >= 0.51 AS INTEGER) AS Predictions
+FROM knn GROUP BY fold_id, Ticker, Date, Target"""
+
+
+@register("knn_vote", _knn_sql(), ["probability"])
+def q_knn_vote(spark, d):
+    """Exact 10-nearest-neighbour vote (Euclidean, uniform) per walk-forward fold,
+    candidates from a multi-resolution grid (no all-pairs join)."""
+    return kn.knn_backtest(_model_input(spark, d), PIPE_PREDICTORS, fo.PIPELINE_WF, k=10)
