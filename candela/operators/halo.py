@@ -37,8 +37,12 @@ def global_row_index(df: DataFrame, order: str = "Date", chunk: Column | None =
 
 
 def halo_parts(df: DataFrame, lookback: int, rows_per_bucket: int, order: str = "Date",
-               chunk: Column | None = None, trailing: bool = True) -> DataFrame:
-    """Rows tagged with ``_bucket``, ``_halo`` (any copy) and ``_lead_halo``."""
+               chunk: Column | None = None, trailing: bool = True, ahead: int = 1) -> DataFrame:
+    """Rows tagged with ``_bucket``, ``_halo`` (any copy) and ``_lead_halo``.
+
+    ``lookback`` rows before each bucket are copied in as the leading halo;
+    with ``trailing``, the ``ahead`` rows after it as the trailing halo.
+    """
     b = rows_per_bucket
     g = global_row_index(df, order, chunk)
     own = (g.withColumn("_bucket", F.floor(F.col("_g") / b)).withColumn("_halo", F.lit(False))
@@ -49,9 +53,14 @@ def halo_parts(df: DataFrame, lookback: int, rows_per_bucket: int, order: str =
              .where(F.col("_bucket") * b - lookback <= F.col("_g"))
              .withColumn("_halo", F.lit(True)).withColumn("_lead_halo", F.lit(True)))
     parts = own.unionByName(lead)
-    if trailing:
-        trail = (g.where(((F.col("_g") % b) == 0) & (F.col("_g") > 0))
-                  .withColumn("_bucket", F.floor(F.col("_g") / b) - 1).withColumn("_halo", F.lit(True))
-                  .withColumn("_lead_halo", F.lit(False)))
+    if trailing and ahead > 0:
+        # row g feeds buckets b' < its own with (b'+1) B <= g < (b'+1) B + ahead
+        first_prev = F.floor((F.col("_g") - ahead) / b)
+        last_prev = F.floor(F.col("_g") / b) - 1
+        trail = (g.withColumn("_bucket", F.explode(F.sequence(F.greatest(first_prev, F.lit(0).cast("long")),
+                                                               F.greatest(last_prev, F.lit(-1).cast("long")))))
+                  .where((F.col("_bucket") >= 0) & (F.col("_bucket") <= last_prev)
+                         & (F.col("_g") < (F.col("_bucket") + 1) * b + ahead))
+                  .withColumn("_halo", F.lit(True)).withColumn("_lead_halo", F.lit(False)))
         parts = parts.unionByName(trail)
     return parts.drop("_g")

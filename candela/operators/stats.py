@@ -60,18 +60,29 @@ def pivot_day_month(df: DataFrame, col: str) -> DataFrame:
     return p.select("Ticker", "Day_of_Week", *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)])
 
 
-def autocorrelation(df: DataFrame, col: str, max_lag: int = 50) -> DataFrame:
+def autocorrelation(df: DataFrame, col: str, max_lag: int = 50, rows_per_bucket: int | None = None) -> DataFrame:
     """D-18: r_h = sum (x_t - m)(x_{t+h} - m) / sum (x_t - m)^2 with the full-series
     mean m, for h = 1..max_lag, plus the 95% / 99% bands +-z/sqrt(n).
 
     The lagged partners are ``lead`` columns of one window stage (no self-join).
+    With ``rows_per_bucket`` the series is cut into row buckets that carry
+    the next ``max_lag`` rows as a halo, so a long series is spread over
+    many tasks; products start from real rows only.
     """
     x = df.where(F.col(col).isNotNull()).select("Ticker", "Date", col)
     m = x.groupBy("Ticker").agg(F.avg(col).alias("_m"), F.count(F.lit(1)).alias("_n"))
     c = x.join(m, "Ticker").withColumn("_c", F.col(col) - F.col("_m"))
-    w = w_series()
-    prods = c.select("Ticker", "_n", (F.col("_c") * F.col("_c")).alias("_c0"),
-                     *[(F.col("_c") * F.lead("_c", h).over(w)).alias(f"_p{h}") for h in range(1, max_lag + 1)])
+    if rows_per_bucket:
+        from candela.operators.halo import halo_parts
+        c = halo_parts(c, 0, rows_per_bucket, "Date", trailing=True, ahead=max_lag)
+        w = Window.partitionBy("Ticker", "_bucket").orderBy("Date")
+        real = ~F.col("_halo")
+    else:
+        w = w_series()
+        real = F.lit(True)
+    prods = c.select("Ticker", "_n", F.when(real, F.col("_c") * F.col("_c")).alias("_c0"),
+                     *[F.when(real, F.col("_c") * F.lead("_c", h).over(w)).alias(f"_p{h}")
+                       for h in range(1, max_lag + 1)])
     s = prods.groupBy("Ticker").agg(F.first("_n").alias("n"), F.sum("_c0").alias("_den"),
                                     *[F.sum(f"_p{h}").alias(f"_p{h}") for h in range(1, max_lag + 1)])
     stack = "stack({}, {}) as (lag, _num)".format(max_lag, ", ".join(f"{h}, _p{h}" for h in range(1, max_lag + 1)))

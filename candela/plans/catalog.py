@@ -20,6 +20,7 @@ from candela.sources import bars as src
 from candela.sources import reference as ref
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+HALO_ROWS = 512
 ORACLE: dict[str, str] = {}
 ROUND = 6
 
@@ -768,6 +769,12 @@ def q_acf(spark, d):
     return stt.autocorrelation(_pipe(spark, d), "Returns", 50)
 
 
+@register("acf_halo", _acf_sql(), ["acf", "band95", "band99"])
+def q_acf_halo(spark, d):
+    """D-18 on 512-row buckets with a 50-row forward halo (equal to acf)."""
+    return stt.autocorrelation(_pipe(spark, d), "Returns", 50, rows_per_bucket=HALO_ROWS)
+
+
 @register("qq_points")
 def q_qq_points(spark, d):
     """D-19: normal QQ points (Filliben medians) and fitted line per ticker."""
@@ -999,9 +1006,6 @@ def q_sarimax_hr(spark, d):
 
 # ------------------------------------------------------------------ long-series (halo) execution
 
-HALO_ROWS = 512
-
-
 def _halo_query(profile):
     def q(spark, d):
         return fe.halo_features(_clean_daily(spark, d), profile, rows_per_bucket=HALO_ROWS)
