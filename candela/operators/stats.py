@@ -93,20 +93,29 @@ def autocorrelation(df: DataFrame, col: str, max_lag: int = 50, rows_per_bucket:
                        (F.lit(1.96) / sq).alias("band95"), (F.lit(2.58) / sq).alias("band99"))
 
 
-def qq_points(df: DataFrame, col: str) -> DataFrame:
+def qq_points(df: DataFrame, col: str, value_chunks: int = 4096) -> DataFrame:
     """D-19: ordered sample vs normal quantiles of Filliben's order-statistic medians,
-    with the least-squares line per ticker."""
+    with the least-squares line per ticker.
+
+    Ranks come from ``global_row_index`` ordered by the value, chunked by
+    value range per ticker, so no task sorts a whole series.
+    """
+    from candela.operators.halo import global_row_index
     x = df.where(F.col(col).isNotNull()).select("Ticker", F.col(col).alias("sample"))
-    w = Window.partitionBy("Ticker").orderBy("sample")
-    n = F.count(F.lit(1)).over(Window.partitionBy("Ticker"))
-    r = x.withColumn("i", F.row_number().over(w)).withColumn("n", n)
+    rng = x.groupBy("Ticker").agg(F.min("sample").alias("_lo"), F.max("sample").alias("_hi"),
+                                  F.count(F.lit(1)).alias("n"))
+    x = x.join(rng, "Ticker")
+    width = F.greatest((F.col("_hi") - F.col("_lo")) / value_chunks, F.lit(1e-300))
+    chunk = F.least(F.floor((F.col("sample") - F.col("_lo")) / width), F.lit(value_chunks - 1))
+    r = global_row_index(x, "sample", chunk).withColumn("i", F.col("_g") + 1).drop("_g", "_lo", "_hi")
     med = (F.when(F.col("i") == 1, 1 - F.pow(F.lit(0.5), 1 / F.col("n")))
            .when(F.col("i") == F.col("n"), F.pow(F.lit(0.5), 1 / F.col("n")))
            .otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365)))
     r = r.withColumn("theoretical", inv_normal(med))
     line = r.groupBy("Ticker").agg(F.regr_slope("sample", "theoretical").alias("slope"),
                                    F.regr_intercept("sample", "theoretical").alias("intercept"))
-    return r.join(line, "Ticker").select("Ticker", "i", "theoretical", "sample", "slope", "intercept")
+    return r.join(line, "Ticker").select("Ticker", F.col("i").cast("int").alias("i"), "theoretical", "sample",
+                                         "slope", "intercept")
 
 
 def tail_n(df: DataFrame, n: int = 100) -> DataFrame:

@@ -64,3 +64,27 @@ def test_halo_buckets_equal_whole_series(spark):
         assert a.exceptAll(h).count() == 0 and h.exceptAll(a).count() == 0
     plan = fe.halo_features(bars, "prep", 200)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(Ticker" in plan and "_bucket" in plan
+
+
+def test_qq_ranks_and_quantiles(spark):
+    from statistics import NormalDist
+    from pyspark.sql import Window
+    q = catalog.QUERIES["qq_points"](spark, SF_SMALL).cache()
+    f = catalog._pipe(spark, SF_SMALL).where(F.col("Returns").isNotNull())
+    ref = f.select("Ticker", F.row_number().over(Window.partitionBy("Ticker").orderBy("Returns")).alias("i"),
+                   F.col("Returns").alias("sample"))
+    assert q.select("Ticker", "i", "sample").exceptAll(ref).count() == 0
+    rows = q.where("Ticker = 'A'").collect()
+    n = len(rows)
+    for r in rows:
+        i = r["i"]
+        m = 1 - 0.5 ** (1 / n) if i == 1 else (0.5 ** (1 / n) if i == n else (i - 0.3175) / (n + 0.365))
+        assert abs(NormalDist().inv_cdf(m) - r["theoretical"]) < 1e-8
+
+
+def test_acf_halo_equals_whole_series(spark):
+    from candela.operators import stats as stt
+    f = catalog._pipe(spark, SF_SMALL)
+    a = stt.autocorrelation(f, "Returns", 50).select("Ticker", "lag", F.round("acf", 9).alias("acf"))
+    b = stt.autocorrelation(f, "Returns", 50, rows_per_bucket=128).select("Ticker", "lag", F.round("acf", 9).alias("acf"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
