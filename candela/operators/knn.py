@@ -3,11 +3,11 @@
 Training points of a fold are indexed in a multi-resolution grid: level L
 has cubic cells of side h_L = h_0 / 2^L over the bounding box of the fold.
 For a test point q, let L* be the finest level whose cell around q holds at
-least k training points; all of them lie within R = diam * h_L* of q (diam =
-sqrt(p) for Euclidean, p for Manhattan distance), so the k-th neighbour
-distance is at most R and every true neighbour lies in the box [q-R, q+R].
-The candidates are the training points in the level-L* cells that cover
-that box (at most 2*ceil(diam)+1 cells per dimension). Distances are computed only for those candidate pairs, whose
+least k training points. The k-th smallest distance R from q to the points
+of that cell bounds the k-th neighbour distance (R is at most the cell
+diameter), so every true neighbour lies in the box [q-R, q+R]. The
+candidates are the training points in the level-L* cells that cover that
+box (at most 2*ceil(diam)+1 cells per dimension). Distances are computed only for those candidate pairs, whose
 number follows the local point density around q, not the size of the fold;
 a group holding a third of all rows does not make every pair meet.
 
@@ -59,8 +59,19 @@ def knn_fold(train: DataFrame, test: DataFrame, cols: list[str], k: int = 10, me
                  .withColumn("cell", _cell(qcols, origin, h_at(F.col("lvl"))))
     finest = (te_cells.join(counts, ["lvl", "cell"]).where(F.col("n") >= k)
               .groupBy("Ticker", "Date").agg(F.max("lvl").alias("lstar")))
-    q = te.join(finest, ["Ticker", "Date"])
-    q = q.withColumn("R", F.lit(diam) * h_at(F.col("lstar"))).withColumn("lvl", F.col("lstar"))
+    q = te.join(finest, ["Ticker", "Date"]).withColumn("lvl", F.col("lstar"))
+    diff = [F.col(f"q{i}") - F.col(f"t{i}") for i in range(p)]
+    if metric == "euclidean":
+        dist = F.sqrt(reduce(lambda a, b: a + b, [d * d for d in diff]))
+    else:
+        dist = reduce(lambda a, b: a + b, [F.abs(d) for d in diff])
+    # first pass: the k-th distance to the points of q's own cell bounds the k-th
+    # neighbour distance; it is never larger than the cell diameter
+    own = q.withColumn("cell", _cell(qcols, origin, h_at(F.col("lvl")))).join(tr_cells, ["lvl", "cell"]) \
+           .select("Ticker", "Date", dist.alias("dist"))
+    kth = (own.withColumn("rk", F.row_number().over(Window.partitionBy("Ticker", "Date").orderBy("dist")))
+              .where(F.col("rk") == k).select("Ticker", "Date", F.col("dist").alias("R")))
+    q = q.join(kth, ["Ticker", "Date"])
     hl = h_at(F.col("lvl"))
     ranges = [F.sequence(F.floor((F.col(qc) - F.col("R") - F.lit(o)) / hl).cast("long"),
                          F.floor((F.col(qc) + F.col("R") - F.lit(o)) / hl).cast("long"))
@@ -70,11 +81,6 @@ def knn_fold(train: DataFrame, test: DataFrame, cols: list[str], k: int = 10, me
                   ranges[1:], F.transform(ranges[0], lambda v: F.array(v)))
     qc = q.select("Ticker", "Date", "lvl", *qcols, F.explode(keys).alias("cell"))
     cand = qc.join(tr_cells, ["lvl", "cell"])
-    diff = [F.col(f"q{i}") - F.col(f"t{i}") for i in range(p)]
-    if metric == "euclidean":
-        dist = F.sqrt(reduce(lambda a, b: a + b, [d * d for d in diff]))
-    else:
-        dist = reduce(lambda a, b: a + b, [F.abs(d) for d in diff])
     cand = cand.select("Ticker", "Date", "t_ticker", "t_date", "y", dist.alias("dist"))
     w = Window.partitionBy("Ticker", "Date").orderBy("dist", "t_ticker", "t_date")
     nn = cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
