@@ -307,7 +307,17 @@ def backend_features(bars: DataFrame, keys: tuple = ("Ticker",)) -> DataFrame:
     return out.na.drop()
 
 
-def features(bars: DataFrame, profile: str = "pipeline") -> DataFrame:
+def features(bars: DataFrame, profile: str = "pipeline", rows_per_task: int | None = None) -> DataFrame:
+    """Indicator features of a profile.
+
+    With ``rows_per_task`` the longest series is measured (one small grouped
+    count); if it exceeds the bound, the halo-bucketed execution is used so
+    no window task holds more than about ``rows_per_task`` + lookback rows.
+    """
+    if rows_per_task:
+        longest = bars.groupBy("Ticker").count().agg(F.max("count")).first()[0] or 0
+        if longest > rows_per_task:
+            return halo_features(bars, profile, rows_per_bucket=rows_per_task)
     if profile == "backend":
         return backend_features(bars)
     return technical_features(bars, PROFILES[profile])

@@ -88,3 +88,10 @@ def test_acf_halo_equals_whole_series(spark):
     a = stt.autocorrelation(f, "Returns", 50).select("Ticker", "lag", F.round("acf", 9).alias("acf"))
     b = stt.autocorrelation(f, "Returns", 50, rows_per_bucket=128).select("Ticker", "lag", F.round("acf", 9).alias("acf"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_features_switch_to_halo_for_long_series(spark):
+    bars = cl.clean_stock_data(src.bars_daily(spark, SF_SMALL)).cache()
+    a = fe.features(bars, "prep")
+    b = fe.features(bars, "prep", rows_per_task=300)      # series are ~1,400 rows: bucketed
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
