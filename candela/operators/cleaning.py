@@ -207,7 +207,16 @@ def outlier_bundle(df: DataFrame, window: int = 252) -> DataFrame:
             .unionByName(inconsistent_rows(df).select(F.lit("inconsistent").alias("kind"), *base)))
 
 
-def quality_report(df: DataFrame, window: int = 252) -> DataFrame:
+def _flags(df: DataFrame, window: int, rows_per_task: int | None) -> DataFrame:
+    """Rolling IQR flags; halo-bucketed when a series is longer than ``rows_per_task``."""
+    if rows_per_task and "_ord" in df.columns:
+        longest = df.groupBy("Ticker").count().agg(F.max("count")).first()[0] or 0
+        if longest > rows_per_task:
+            return iqr_rolling_flags_halo(df, window=window, rows_per_bucket=rows_per_task)
+    return iqr_rolling_flags(df, window=window)
+
+
+def quality_report(df: DataFrame, window: int = 252, rows_per_task: int | None = None) -> DataFrame:
     """One row per ticker.
 
     ``missing_total``/``has_missing`` over all value columns, ``duplicate_count``,
@@ -217,7 +226,7 @@ def quality_report(df: DataFrame, window: int = 252) -> DataFrame:
     """
     value_cols = [c for c in df.columns if c not in ("Ticker", "_ord", "_block")]
     mismatches = len(type_report(df))
-    flagged = iqr_rolling_flags(df, window=window)
+    flagged = _flags(df, window, rows_per_task)
     flags = [f"{c}_outlier" for c in PRICE_COLUMNS]
 
     def isna(c):
@@ -242,10 +251,11 @@ def quality_report(df: DataFrame, window: int = 252) -> DataFrame:
          & (F.col("inconsistent_count") == 0)).alias("is_clean"))
 
 
-def clean_data(raw: DataFrame, remove_outliers: bool = True, window: int = 252) -> DataFrame:
+def clean_data(raw: DataFrame, remove_outliers: bool = True, window: int = 252,
+               rows_per_task: int | None = None) -> DataFrame:
     """Rolling-IQR flags (ingest order) -> drop flagged rows -> keep-first de-dup."""
     flags = [f"{c}_outlier" for c in PRICE_COLUMNS]
-    flagged = iqr_rolling_flags(nan_as_null(raw, PRICE_COLUMNS), window=window)
+    flagged = _flags(nan_as_null(raw, PRICE_COLUMNS), window, rows_per_task)
     if remove_outliers:
         flagged = flagged.where(~any_flag(flags))
     return dedup_keep_first(flagged.drop(*flags))

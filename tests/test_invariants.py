@@ -95,3 +95,11 @@ def test_features_switch_to_halo_for_long_series(spark):
     a = fe.features(bars, "prep")
     b = fe.features(bars, "prep", rows_per_task=300)      # series are ~1,400 rows: bucketed
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_quality_paths_equal_with_halo(spark):
+    raw = src.with_defects(src.bars_daily(spark, SF_SMALL)).cache()
+    a, b = cl.quality_report(raw), cl.quality_report(raw, rows_per_task=300)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    c, d = cl.clean_data(raw), cl.clean_data(raw, rows_per_task=300)
+    assert c.exceptAll(d).count() == 0 and d.exceptAll(c).count() == 0
