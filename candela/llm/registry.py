@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from candela.llm import chat
+from candela.llm import chat, secrets
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
+    "op2_secrets": secrets.op2_secrets,
 }
 ORACLE = {
     "op1_chat": chat.OP1_SQL,
