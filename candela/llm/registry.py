@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from candela.llm import chat, secrets
+from candela.llm import bpe, chat, secrets, token_files
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_secrets": secrets.op2_secrets,
+    "op5_tokens": token_files.op5_tokens,
+    "op8_bpe": bpe.op8_bpe,
 }
 ORACLE = {
     "op1_chat": chat.OP1_SQL,
