@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from candela.llm import bpe, chat, secrets, token_files
+from candela.llm import bpe, chat, passages, secrets, token_files
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_secrets": secrets.op2_secrets,
     "op5_tokens": token_files.op5_tokens,
     "op8_bpe": bpe.op8_bpe,
+    "op10_passages": passages.op10_passages,
 }
 ORACLE = {
     "op1_chat": chat.OP1_SQL,
+    "op10_passages": passages.OP10_SQL,
 }
