@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from candela.llm import bpe, chat, lm, passages, secrets, token_files
+from candela.llm import bpe, chat, lm, passages, secrets, token_files, vectors
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_secrets": secrets.op2_secrets,
     "op5_tokens": token_files.op5_tokens,
+    "op7_vectors": vectors.op7_vectors,
     "op8_bpe": bpe.op8_bpe,
     "op9_lm": lm.op9_lm,
     "op10_passages": passages.op10_passages,
