@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from candela.llm import bpe, chat, jaccard, lm, passages, secrets, token_files, vectors
+from candela.llm import bpe, chat, jaccard, langid, lm, passages, secrets, token_files, vectors
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
     "op2_secrets": secrets.op2_secrets,
     "op3_jaccard": jaccard.op3_jaccard,
+    "op4_langid": langid.op4_langid,
     "op5_tokens": token_files.op5_tokens,
     "op7_vectors": vectors.op7_vectors,
     "op8_bpe": bpe.op8_bpe,
