@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candela.llm import bpe, chat, jaccard, langid, lm, passages, secrets, token_files, vectors
+from candela.llm import bpe, chat, decontam, jaccard, langid, lm, passages, secrets, token_files, vectors
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_jaccard": jaccard.op3_jaccard,
     "op4_langid": langid.op4_langid,
     "op5_tokens": token_files.op5_tokens,
+    "op6_decontam": decontam.op6_decontam,
     "op7_vectors": vectors.op7_vectors,
     "op8_bpe": bpe.op8_bpe,
     "op9_lm": lm.op9_lm,
