@@ -8,8 +8,8 @@ commit protocol, so a lost task leaves no half file). A row is one block: ``file
 documents and closes at ``BLOCK_IDS`` ids or more.
 
 Encoding: the tokenizers library, on blank-separated stretches, which the
-tokenizer's own rules treat apart; stretches are memoised per worker (emptied at
-``MEMO`` entries). Strings of special tokens in a text are ordinary text.
+tokenizer's own rules treat apart; stretches are memoised per worker (two
+generations of ``MEMO`` entries). Strings of special tokens in a text are ordinary text.
 
 Defined cases: null text counts as empty (the end id alone); repeated doc_ids keep a
 row each, ordered by text; null doc_ids come first; an empty table gives no files'
@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from functools import lru_cache
@@ -35,7 +36,7 @@ from candela.llm import simple8b
 from candela.llm.common import table
 from candela.session import checkpoint_dir
 
-MEMO = 300_000
+MEMO = 400_000
 BLOCK_IDS = 1 << 18
 END_ID = 1
 SCHEMA = "file int, block int, first bigint, doc_ids array<{0}>, lengths array<bigint>, payload binary"
@@ -47,7 +48,11 @@ def default_tokenizer() -> str:
 
 
 class Words(dict):
-    """A memo from a blank-separated stretch to its ids as little-endian 32-bit words."""
+    """A memo from a blank-separated stretch to its ids as little-endian 32-bit words.
+
+    Full, it becomes the old generation, from which used entries come back. Words that the
+    tokenizer's rules leave as they are, letters alone, go straight to the library's BPE model.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -55,19 +60,33 @@ class Words(dict):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.old: dict = {}
         self.controls = re.compile("[\x1c-\x1f]")  # blanks for str.split, not for the tokenizer
+        # byte-level characters: printable bytes stand for themselves, the others for 256 and up
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = [b for b in range(256) if b not in own]
+        self.byte_level = {b: 256 + i for i, b in enumerate(rest)}
 
-    def __missing__(self, s: str) -> bytes:
-        body, lower = s[:-1], s.lower() if s.isascii() else s
+    def _ids(self, s: str) -> bytes:
+        lower = s.lower() if s.isascii() else s
         if lower != s:  # the tokenizer lower-cases
-            out = self[lower]
-        elif s[-1] in ".,!?;:" and body.isalpha():  # letters and marks are never one piece
-            out = self[body] + self[s[-1]]
+            return self[lower]
+        if s[-1] in ".,!?;:" and s[:-1].isalpha():  # letters and marks are never one piece
+            return self[s[:-1]] + self[s[-1]]
+        if s.isalpha() and (s.isascii() or s.lower() == s and unicodedata.is_normalized("NFC", s)):
+            ids = [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.byte_level))]
         else:
             ids = self.tokenizer.encode(s, add_special_tokens=False).ids
-            out = struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, s: str) -> bytes:
+        out = self.old.get(s)
+        if out is None:
+            out = self._ids(s)
         if len(s) <= 64:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[s] = out
         return out

@@ -44,3 +44,11 @@ def test_files_equal_library(spark):
     ids = [r.doc_id for r in sorted(out, key=lambda r: r.start)]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
     assert token_files.read_token_files(spark, token_files.write_token_files(df.limit(0))).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40), st.text(alphabet="aAzéÉßİıſΣσςﬁǅÅK  .,'1²́ẛ", max_size=30))
+def test_any_text_equals_library(a, b):
+    words = token_files.encoder(token_files.default_tokenizer())
+    for text in (a, b, a + b):
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
