@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder and read back.
 
@@ -132,6 +140,16 @@ def gram_hashes(h: np.ndarray, n: int, seed: int = 0x632BE59BD9B4E019) -> np.nda
     return mix(out)
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """The bytes of numbers, those of equal rank together: high ones, mostly 0, then compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def expanded(b: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).ravel().view(kind)
+
+
 # --- connected components ----------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:
@@ -150,7 +168,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(cur)
     while True:
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

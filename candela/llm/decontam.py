@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import mix, slices, table, text_bytes
+from candela.llm.common import mix, slices, table, text_bytes, unused
 
 Q, SEGMENT, EDITS, MIN_BYTES, BLOCK_BYTES = 10, 96, 0.08, 24, 16 << 20
 _KEEP = np.full(256, 32, np.uint8)
@@ -106,6 +106,8 @@ class Segments:
         spot = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
         ok = (self.codes[spot] == code[at]) & (at + Q <= off[doc + 1])
         at, doc, spot = at[ok], doc[ok], spot[ok]
+        if not len(at):
+            return at, at, at
         n = self.count[spot]
         which = np.repeat(self.first[spot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         seg = self.segment[which]
@@ -208,7 +210,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 clean[row] = False
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(clean)) for c in b.columns[:-1]], b.schema.names[:-1])
 
-        docs = docs.withColumn("_folded", F.lower("text")).mapInArrow(run, docs.schema)
+        docs = docs.withColumn(unused(docs, "_folded"), F.lower("text")).mapInArrow(run, docs.schema)
     return docs
 
 

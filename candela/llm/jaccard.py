@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import buckets_for, components, gram_hashes, mix, slices, table, text_bytes, word_hashes, words, written
+from candela.llm.common import buckets_for, components, expanded, gram_hashes, mix, slices, squeezed, table, text_bytes, word_hashes, words, written
 
 SHINGLE, PERCENT, BITS, TILE = 4, 85, 2048, 1024
 _TWO = np.uint64(0x8BB84B93962EACC9)
@@ -92,14 +92,6 @@ def _keys(flat: np.ndarray, n: np.ndarray, tile: np.ndarray, bands: Bands) -> tu
     return keys[send], whose[send]
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _expand(b: np.ndarray, kind) -> np.ndarray:
-    return np.ascontiguousarray(b.reshape(np.dtype(kind).itemsize, -1).T).ravel().view(kind)
-
-
 def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Rows of three kinds: ``id, n`` (a document), ``id, same`` (its set equals that of
     ``same``), ``members, sizes`` (sets that share a key of a tile)."""
@@ -140,8 +132,8 @@ def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
             if len(k):
                 there, at = np.unique(c >> 1, return_inverse=True)
                 head = np.array([len(k), len(there)], np.int64)
-                rows.append((b, press.compress(head.tobytes() + _squeeze(np.diff(k, prepend=np.uint64(0))) + _squeeze((at * 2 + (c & 1)).astype(np.uint32))
-                                               + _squeeze(who[there].astype(np.int64)) + _squeeze(n[there].astype(np.int64)))))
+                rows.append((b, press.compress(head.tobytes() + squeezed(np.diff(k, prepend=np.uint64(0))) + squeezed((at * 2 + (c & 1)).astype(np.uint32))
+                                               + squeezed(who[there].astype(np.int64)) + squeezed(n[there].astype(np.int64)))))
         none = pa.nulls(len(rows), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), none, none, none], names)
 
@@ -155,7 +147,7 @@ def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
         m, d = raw[:16].view(np.int64).tolist()
         cut = np.cumsum([16, 8 * m, 4 * m, 8 * d, 8 * d])
-        keys, code, ids, n = (_expand(raw[a:b], k) for a, b, k in zip(cut, cut[1:], (np.uint64, np.uint32, np.int64, np.int64)))
+        keys, code, ids, n = (expanded(raw[a:b], k) for a, b, k in zip(cut, cut[1:], (np.uint64, np.uint32, np.int64, np.int64)))
         at = code >> 1
         return np.cumsum(keys), ids[at], n[at], (code & 1).astype(bool)
 

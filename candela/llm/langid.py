@@ -12,7 +12,7 @@ rows (those least by a hash of id and text) with ``SAMPLE_WINDOWS`` windows each
 
 Defined cases: text that is null or has no letter: ``und`` with score 0; no labelled rows: ``und`` for
 all; null lang: not learned from; repeated rows are predicted alike; an empty table gives no rows;
-very long texts are read whole, slice by slice; other columns pass through.
+very long texts are read whole, slice by slice; other columns pass through (those with the result's names are replaced).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import SLICE_BYTES, table, text_bytes
+from candela.llm.common import SLICE_BYTES, table, text_bytes, unused
 
 WINDOW, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 24, 8
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH = 3000, 4, 6, 128
@@ -175,14 +175,15 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Cnn | None:
     return Cnn(langs).fit(x, np.array([i for i, _ in pairs]))
 
 
-def predict(docs: DataFrame, model: Cnn | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+def predict(docs: DataFrame, model: Cnn | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``lang`` and ``score`` (columns of these names are replaced)."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     letter = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
+    docs = docs.drop(lang, score)
     if model is None:
-        return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
-    schema = StructType(docs.schema.fields).add("lang_pred", StringType()).add("score", DoubleType())
+        return docs.withColumn(lang, F.lit("und")).withColumn(score, F.lit(0.0))
+    schema = StructType(docs.schema.fields).add(lang, StringType()).add(score, DoubleType())
     at = docs.columns.index("text")
 
     def run(batches):
@@ -192,10 +193,10 @@ def predict(docs: DataFrame, model: Cnn | None) -> DataFrame:
             best = dist.argmax(axis=1)
             known = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
             pred = np.where(known, np.array(model.langs, object)[best], "und")
-            score = np.where(known, np.clip(dist[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], schema.names)
+            sure = np.where(known, np.clip(dist[np.arange(len(best)), best], 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(sure)], schema.names)
 
-    return docs.withColumn("_letter", letter).mapInArrow(run, schema)
+    return docs.withColumn(unused(docs, "_letter"), letter).mapInArrow(run, schema)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

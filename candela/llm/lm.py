@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import buckets_for, mix, slices, table, text_bytes, word_hashes, words, written
+from candela.llm.common import buckets_for, expanded, mix, slices, squeezed, table, text_bytes, word_hashes, words, written
 
 CHUNK_DOCS = 2048
 TEST, TUNE, FIT = 0, 1, 2
@@ -86,14 +86,11 @@ def _pairs(tok: np.ndarray) -> np.ndarray:
 
 
 def _squeeze(x: np.ndarray) -> bytes:
-    """Bytes of equal rank together, so that high ones, mostly 0, compress away."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(squeezed(x))
 
 
 def _expand(b: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, -1).T).ravel().view(kind)
+    return expanded(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:

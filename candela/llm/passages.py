@@ -1,13 +1,13 @@
 """Substring dedup: windows of 13 words that start in a document with a smaller id go.
 
 Super-k-mer partitioning. Each window has a minimiser, the least hash among its
-word triples. Consecutive windows of a document that share it travel as one packed
+word pairs. Consecutive windows of a document that share it travel as one packed
 string (their words, as in the text) to the minimiser's bucket; equal windows have equal
 minimisers, so they meet there. In a bucket all windows are sorted by a 128-bit
 fingerprint of their words and then by doc_id, which tells each window whether a
 smaller document has it. What the map task itself can tell is not sent: of equal
-windows in one Arrow batch only the smallest document's first goes out, so a passage
-with very many copies reaches its bucket once per batch. Strings for one bucket share a
+windows in one strip of ``STRIP`` bytes only the smallest document's first goes out, so a passage
+with very many copies reaches its bucket once per strip. Strings for one bucket share a
 zstd block. Removed windows come back as ranges (doc_id, first window, windows, a check sum), and
 one join by doc_id removes the covered words.
 
@@ -25,9 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import buckets_for, gram_hashes, slices, table, text_bytes, word_hashes, words
+from candela.llm.common import buckets_for, expanded, gram_hashes, slices, squeezed, table, text_bytes, word_hashes, words
 
-WINDOW, TRIPLE = 13, 3
+WINDOW, PAIR = 13, 2
+#: bytes of text whose windows a map task holds at once
+STRIP = 8 << 20
 NULL_ID = np.iinfo(np.int64).min
 _TWO = 0xD6E8FEB86659FD93
 
@@ -40,8 +42,8 @@ def _windows(h: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
 
 
 def _minimisers(h: np.ndarray, size: int) -> np.ndarray:
-    """Least triple hash of each window: sliding minimum over size - TRIPLE + 1 places."""
-    x, span, have = gram_hashes(h, TRIPLE), size - TRIPLE + 1, 1
+    """Least pair hash of each window: sliding minimum over size - PAIR + 1 places."""
+    x, span, have = gram_hashes(h, PAIR), size - PAIR + 1, 1
     while have * 2 <= span:
         x = np.minimum(x[: len(x) - have], x[have:])
         have *= 2
@@ -112,13 +114,13 @@ def _packed(ids: np.ndarray, col: pa.Array, size: int, buckets: int):
     local = _ranges(gone, joins, docs, at_word, fp1)
     at, n = _runs(send, joins & np.concatenate([[True], mins[1:] == mins[:-1]]))
     bucket = (mins[at] >> np.uint64(11)) % np.uint64(buckets)
-    out, press, view = [], zstandard.ZstdCompressor(level=1), memoryview(data)
+    out, press, view = [], zstandard.ZstdCompressor(level=3), memoryview(data)
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order])) + 1
     for group in np.split(order, cut):
         i, k = at[group], n[group]
         text = b"\n".join([view[s:e] for s, e in zip(starts[i].tolist(), ends[i + k - 1].tolist())])
-        head = b"".join(x.astype(np.int64).tobytes() for x in (np.array([len(i)]), docs[i], at_word[i], k))
+        head = np.array([len(i)]).tobytes() + b"".join(squeezed(x.astype(np.int64)) for x in (np.diff(docs[i], prepend=0), at_word[i], k))
         out.append((int(bucket[group[0]]), press.compress(head + text)))
     return out, local
 
@@ -130,7 +132,8 @@ def _judge(blobs: list[bytes], size: int) -> tuple[np.ndarray, ...]:
     for blob in blobs:
         raw = unpress.decompress(blob)
         m = int(np.frombuffer(raw, np.int64, 1)[0])
-        doc, first, n = np.frombuffer(raw, np.int64, 3 * m, 8).reshape(3, m)
+        doc, first, n = (expanded(raw[8 + 8 * m * c: 8 + 8 * m * (c + 1)], np.int64) for c in range(3))
+        doc = np.cumsum(doc)
         data = np.frombuffer(raw, np.uint8, offset=8 + 24 * m)
         s, e, _ = words(data, np.array([0, len(data)]))
         h = word_hashes(data, s, e)
@@ -154,7 +157,7 @@ def removed_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     buckets = buckets_for(docs)
 
     def pack(batches):
-        for b in batches:
+        for b in (x.slice(i, j - i) for x in batches for i, j in slices(text_bytes(x.column(1))[1], STRIP)):
             ids = b.column(0).cast(pa.int64()).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)
             blobs, local = _packed(ids, b.column(1), size, buckets)
             for at in range(0, len(blobs), 256):

@@ -18,7 +18,8 @@ at which the estimated share of others among tokens with ``p >= t`` is at most
 table) is all that reaches the driver. A band in which no token passes gets none.
 
 Defined cases: null text counts as empty and has no spans; null or repeated
-doc_ids stay one row each; an empty table gives no rows; other columns pass through.
+doc_ids stay one row each; an empty table gives no rows; other columns pass through (base, spans,
+candidates, _a, _k, _h and _c are replaced).
 """
 
 from __future__ import annotations
@@ -154,6 +155,7 @@ def _encoding(token: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` (base spans by start, then kind) and ``candidates``
     (place, encoding, length band, p). One narrow pass over the texts."""
+    docs = docs.drop("base", "candidates", "spans", "_a", "_k", "_h", "_c")
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_a", spans_of(text, ASSIGN, 0, 2)).withColumn("_k", spans_of(text, ACCESS, 1)) \
         .withColumn("_h", spans_of(text, HEX, 2)).withColumn("_c", spans_of(text, CANDIDATE, 3))

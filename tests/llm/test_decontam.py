@@ -67,7 +67,7 @@ def test_queries_and_edges(spark):
     segments = decontam.Segments([(i, x.decode()) for i, x in items.items()])
     for d, i in got - whole:  # anything else holds one segment within the budget
         assert any(least_edits(s.tobytes(), texts[d]) <= k for s, k, x in zip(segments.text, segments.edits, segments.item) if x == i)
-    kept = decontam.drop_contaminated(docs.withColumn("item_id", docs["doc_id"]), bench)
+    kept = decontam.drop_contaminated(docs.withColumn("item_id", docs["doc_id"]).withColumn("_folded", docs["lang"]), bench)
     assert {r.doc_id for r in kept.collect()} == texts.keys() - {d for d, _ in got}
     odd = spark.createDataFrame([(None, "the short item that is long enough to be found here", 1), (1, None, 2), (1, "", 3), (1, "the short item that is long enough to be found here", 1)],
                                 "doc_id long, text string, item_id int")
