@@ -11,13 +11,15 @@ Documents link when ``100 * intersection >= 85 * union``; no link is lost.
   segments at least. Sets with more than c empty segments send these too, the others none, so linked
   sets share a key of a tile. Keys travel to hash buckets in blobs, one per map
   batch and bucket; equal sets of a batch send one.
-* Sets that share a key are candidates. First only the pairs with a group's first
-  member are verified, and components are formed. Then, in groups that still span several components,
-  tiles of at most ``TILE`` x ``TILE`` members compare bitmap signatures: a shingle sets one
-  of 2,048 bits, so ``|A| + |B| - popcount(a XOR b)`` bounds twice the intersection from above. Only pairs of
-  different components that pass are verified. So a group of many near copies costs
-  one pair per member, and pairs inside a component are not formed.
-* Verification intersects the sorted arrays exactly.
+* Sets that share a key are candidates. Bitmap signatures sort most out: a shingle flips one of a
+  set's bits (a power of two, four times K or more), so two sets differ in ``popcount(a XOR b)``
+  elements or more, and ``|A| + |B|`` less that bounds twice the intersection from above.
+* First only the pairs with a group's first member are looked at, and components are formed
+  of those verified. Then, in groups that still span several components, tiles of at most ``TILE`` x ``TILE`` members
+  compare signatures; only pairs of different components that pass are verified. So a group of many near
+  copies costs one pair per member, and pairs inside a component are not formed.
+* Verification intersects the sorted arrays exactly. They lie in a table bucketed by id, so
+  that a join moves the pairs, not the arrays of all candidates.
 
 Defined cases: a text that is null or has no word has the empty set and links with nothing; rows that
 share a doc_id are one document, linked with what any of them is linked with (each row is returned);
@@ -27,6 +29,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -34,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.llm.common import buckets_for, components, expanded, gram_hashes, mix, slices, squeezed, table, text_bytes, word_hashes, words, written
+from candela.session import checkpoint_dir
 
-SHINGLE, PERCENT, BITS, TILE = 4, 85, 2048, 1024
+SHINGLE, PERCENT, TILE = 4, 85, 1024
 _TWO = np.uint64(0x8BB84B93962EACC9)
 
 
@@ -51,6 +56,7 @@ class Bands:
         differ = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
         self.spare = 2 + differ // 32
         self.segments = differ + 1 + self.spare
+        self.width = 1 << np.maximum(8, np.ceil(np.log2(4 * differ + 1)).astype(int))
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, "right") - 1
@@ -92,11 +98,29 @@ def _keys(flat: np.ndarray, n: np.ndarray, tile: np.ndarray, bands: Bands) -> tu
     return keys[send], whose[send]
 
 
+def signature(s: np.ndarray, width: int) -> bytes:
+    """Bits that the elements flip."""
+    return np.packbits(np.bincount((mix(s + _TWO) % np.uint64(width)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def _folded(x: bytes, size: int) -> np.ndarray:
+    """A signature of ``size`` bytes, as if made with that width: halves flip together."""
+    a = np.frombuffer(x, np.uint64)
+    while a.nbytes > size:
+        a = a[: len(a) // 2] ^ a[len(a) // 2:]
+    return a
+
+
+def _fits(na, nb, differ, percent: int):
+    """Whether sets that differ in ``differ`` elements at least can reach the similarity."""
+    return (na + nb - differ) * (100 + percent) >= 2 * percent * (na + nb)
+
+
 def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Rows of three kinds: ``id, n`` (a document), ``id, same`` (its set equals that of
-    ``same``), ``members, sizes`` (sets that share a key of a tile)."""
+    """Rows of three kinds: ``id, n, bits`` (a document; bits where its set is the batch's first of its kind),
+    ``id, same`` (its set equals that of ``same``), ``members, sizes`` (sets that share a key of a tile)."""
     buckets, bands = buckets_for(docs), Bands(percent)
-    names = ["bucket", "blob", "id", "n", "same"]
+    names = ["bucket", "blob", "id", "n", "same", "bits"]
 
     def batch(ids: np.ndarray, col):
         sets = list(shingle_sets(col, size))
@@ -108,11 +132,15 @@ def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
                 k = (int(n[i]), int(sets[i].sum()), int(mix(sets[i]).sum()))
                 same[i] = first.setdefault(k, i)
         again = np.flatnonzero((same >= 0) & (same != np.arange(len(ids))))
+        own = np.flatnonzero(same == np.arange(len(ids)))
+        bits: list = [None] * len(ids)
+        for i, w in zip(own.tolist(), bands.width[bands.of(n[own])].tolist()):
+            bits[i] = signature(sets[i], w)
         dealt = np.arange(len(ids)) % buckets  # these pass through the buckets
-        yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.nulls(len(ids), pa.binary()), pa.array(ids), pa.array(n), pa.nulls(len(ids), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.nulls(len(ids), pa.binary()), pa.array(ids), pa.array(n), pa.nulls(len(ids), pa.int64()),
+                                          pa.array(bits, pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.array(dealt[again]), pa.nulls(len(again), pa.binary()), pa.array(ids[again]), pa.nulls(len(again), pa.int64()),
-                                          pa.array(ids[same[again]])], names)
-        own = np.flatnonzero(same == np.arange(len(ids)))
+                                          pa.array(ids[same[again]]), pa.nulls(len(again), pa.binary())], names)
         if not len(own):
             return
         flat, n, who = np.concatenate([sets[i] for i in own]), n[own], ids[own]
@@ -135,7 +163,7 @@ def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
                 rows.append((b, press.compress(head.tobytes() + squeezed(np.diff(k, prepend=np.uint64(0))) + squeezed((at * 2 + (c & 1)).astype(np.uint32))
                                                + squeezed(who[there].astype(np.int64)) + squeezed(n[there].astype(np.int64)))))
         none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), none, none, none], names)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), none, none, none, pa.nulls(len(rows), pa.binary())], names)
 
     def run(batches):
         for b in batches:
@@ -154,8 +182,8 @@ def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
     def meet(t: pa.Table) -> pa.Table:
         plain = t.filter(t.column("blob").is_null())
         k = plain.num_rows
-        columns = [plain.column("id"), plain.column("n"), plain.column("same"), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))]
-        out = [pa.table(columns, names=["id", "n", "same", "members", "sizes"])]
+        columns = [*(plain.column(c) for c in names[2:]), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))]
+        out = [pa.table(columns, names=names[2:] + ["members", "sizes"])]
         blobs = [read(x.as_py()) for x in t.column("blob") if x.is_valid]
         if blobs:
             keys, ids, n, own = (np.concatenate(x) for x in zip(*blobs))
@@ -175,35 +203,41 @@ def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
             to = np.concatenate([[0], np.cumsum(count[keep])]).astype(np.int32)
             m = int(keep.sum())
             none = pa.nulls(m, pa.int64())
-            out.append(pa.table([none, none, none, pa.ListArray.from_arrays(to, ids[inside]), pa.ListArray.from_arrays(to, n[inside])],
-                                names=["id", "n", "same", "members", "sizes"]))
+            out.append(pa.table([none, none, none, pa.nulls(m, pa.binary()), pa.ListArray.from_arrays(to, ids[inside]), pa.ListArray.from_arrays(to, n[inside])],
+                                names=names[2:] + ["members", "sizes"]))
         return pa.concat_tables(out)
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket long, blob binary, id long, n long, same long")
-    return packed.groupBy("bucket").applyInArrow(meet, "id long, n long, same long, members array<long>, sizes array<long>")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket long, blob binary, id long, n long, same long, bits binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "id long, n long, same long, bits binary, members array<long>, sizes array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """Rows ``id, n, bits, hashes`` of the documents in ``ids``: bitmap signature and sorted shingles."""
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> str:
+    """Name of a table ``id, hashes`` (sorted shingles) of the documents in ``ids``, bucketed by id,
+    in the shared folder."""
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 x = b.slice(at, 512)
-                sets = list(shingle_sets(x.column(1), size))
-                bits = np.zeros((len(sets), BITS), bool)
-                for i, s in enumerate(sets):
-                    bits[i, (mix(s + _TWO) % np.uint64(BITS)).astype(np.int64)] = True
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                                                  pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary()),
-                                                  pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "bits", "hashes"])
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array([s.tobytes() for s in shingle_sets(x.column(1), size)], pa.binary())], ["id", "hashes"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return some.mapInArrow(run, "id long, n long, bits binary, hashes binary")
+    spark = docs.sparkSession
+    name = f"sets_{uuid.uuid4().hex}"
+    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, hashes binary")
+    some.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortBy("id").option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    return name
 
 
-def _fits(na, nb, twice, percent: int):
-    """Whether an intersection of ``twice / 2`` at most can reach the similarity."""
-    return twice * (100 + percent) >= 2 * percent * (na + nb)
+def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose signatures allow the similarity."""
+    def run(batches):
+        for t in batches:
+            na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
+            x, y = t.column("ba").to_pylist(), t.column("bb").to_pylist()
+            differ = np.array([int(np.bitwise_count(_folded(u, min(len(u), len(v))) ^ _folded(v, min(len(u), len(v)))).sum()) for u, v in zip(x, y)], np.int64)
+            yield t.select(["a", "b"]).filter(pa.array(_fits(na, nb, differ, percent)))
+
+    one, two = (bits.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,44 +247,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for i in range(b.num_rows):
                 x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                u, v = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))
-                if not _fits(len(x), len(y), len(x) + len(y) - int(np.bitwise_count(u ^ v).sum()), percent):
-                    continue
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                union = len(np.unique(np.concatenate([x, y])))
+                if 100 * (len(x) + len(y) - union) >= percent * union:
                     keep.append(i)
             yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"), F.col("bits").alias("ba"))
-    two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"), F.col("bits").alias("bb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb", "ba", "bb").mapInArrow(run, "a long, b long")
+    one, two = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"h{k}")) for k in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _across(groups: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a key and pass the bitmap bound."""
+def _across(groups: DataFrame, comp: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a key and whose signatures allow the similarity."""
     member = groups.select("gid", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("gid", F.col("m.members").alias("id"), F.col("m.sizes").alias("n"))
-    member = member.join(comp, "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
-    split = member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / TILE).alias("blocks")).filter("lo < hi")
-    member = member.join(split, "gid").join(sets.select("id", "n", "bits"), ["id", "n"])
-    dealt = member.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sides = (dealt.select("gid", F.col("own").alias("x"), F.col("other").alias("y"), F.lit(True).alias("left"), "id", "n", "comp", "bits")
-             .union(dealt.select("gid", "other", "own", F.lit(False), "id", "n", "comp", "bits")))
+    member = member.join(comp, "id", "left").select("gid", "id", "n", F.coalesce("component_id", "id").alias("comp"))
+    split = member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / TILE).alias("blocks")).filter("lo < hi").select("gid", "blocks")
+    member = member.join(split, "gid").join(bits, ["id", "n"])
+    # a member goes to the tiles of its block with every block: each two members meet in one tile
+    own, other = F.pmod(F.xxhash64("id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = member.select("gid", "id", "n", "comp", "bits", own.alias("own"), other).select(
+        "gid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "comp", "bits")
 
     def tile(t: pa.Table) -> pa.Table:
-        side = t.column("left").to_numpy()
-        ids, n, c = (t.column(k).to_numpy() for k in ("id", "n", "comp"))
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-        q, m = np.flatnonzero(side), np.flatnonzero(~side)
+        own, ids, n, c = (t.column(k).to_numpy() for k in ("own", "id", "n", "comp"))
+        raw = t.column("bits").to_pylist()
+        least = min(map(len, raw))
+        wide = {k: np.array([_folded(r, k) if len(r) >= k else np.zeros(k // 8, np.uint64) for r in raw]) for k in {least, *map(len, raw)}}
+        width = np.array([len(r) for r in raw])
+        one = t.column("x")[0].as_py() == t.column("y")[0].as_py()
         a, b = [], []
-        for i in q.tolist():
-            to = m[(ids[m] > ids[i]) & (c[m] != c[i]) & (100 * np.minimum(n[m], n[i]) >= percent * np.maximum(n[m], n[i]))]
-            differ = np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            to = to[_fits(n[i], n[to], n[i] + n[to] - differ, percent)]
-            a.append(np.full(len(to), ids[i]))
-            b.append(ids[to])
+        for i in range(len(ids)):
+            to = (np.arange(i + 1, len(ids)) if one else np.flatnonzero(own > own[i]))
+            to = to[(ids[to] != ids[i]) & (c[to] != c[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
+            for k in np.unique(width[to]).tolist():  # of two widths the smaller one
+                some = to[width[to] == k]
+                k = min(k, int(width[i]))
+                differ = np.bitwise_count(wide[k][some] ^ wide[k][i]).sum(axis=1, dtype=np.int64)
+                some = some[_fits(n[i], n[some], differ, percent)]
+                a.append(np.minimum(ids[i], ids[some]))
+                b.append(np.maximum(ids[i], ids[some]))
         return pa.table({"a": np.concatenate(a) if a else ids[:0], "b": np.concatenate(b) if b else ids[:0]})
 
-    return sides.groupBy("gid", "x", "y").applyInArrow(tile, "a long, b long").distinct()
+    return dealt.groupBy("gid", "x", "y").applyInArrow(tile, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -258,14 +295,17 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     found = written(_groups(docs, percent, size), "shared-keys")
     groups = written(found.filter("members IS NOT NULL").select("members", "sizes").distinct()
                      .withColumn("gid", F.monotonically_increasing_id()), "groups")
-    sets = written(_sets(docs, groups.select(F.explode("members").alias("id")).distinct(), size), "sets")
+    bits = found.filter("bits IS NOT NULL").select("id", "n", "bits")
+    name = _sets(docs, groups.select(F.explode("members").alias("id")).distinct(), size)
+    sets = docs.sparkSession.table(name)
     near = F.explode(F.arrays_zip("members", "sizes")).alias("m")
     first = groups.select(F.col("members")[0].alias("a"), F.col("sizes")[0].alias("n"), near).filter(
         (F.col("m.members") != F.col("a")) & (F.least("n", "m.sizes") * 100 >= F.greatest("n", "m.sizes") * percent)).select("a", F.col("m.members").alias("b")).distinct()
     same = found.filter("same IS NOT NULL").select(F.col("id").alias("a"), F.col("same").alias("b"))
-    links = written(_verified(first, sets, percent).union(same), "links")
+    links = written(_verified(_possible(first, bits, percent), sets, percent).union(same), "links")
     comp = components(links)
-    more = written(_verified(_across(groups, comp, sets, percent), sets, percent), "links")
+    more = written(_verified(_across(groups, comp, bits, percent), sets, percent), "links")
+    docs.sparkSession.sql(f"DROP TABLE {name}")
     return found.filter("n IS NOT NULL").select("id", "n"), components(links.union(more))
 
 
