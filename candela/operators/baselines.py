@@ -32,3 +32,16 @@ def ma_predictions(feats: DataFrame, n: int = 60, wf: fo.WalkForward = fo.PLAIN_
     t = fo.assign_test(fo.with_date_ordinal(df, cal), fo.folds(cal, wf))
     return t.select(F.lit("MovingAverage").alias("model"), "fold_id", "Ticker", "Date", "Target",
                     (F.col("Close") > F.col(f"MA_{n}")).cast("int").alias("Predictions"), "fwd_return")
+
+
+def rule_predictions(df: DataFrame, wf: fo.WalkForward, ratio: str = "Close_Ratio_60") -> DataFrame:
+    """M1 and M2 on the very rows, calendar and folds that a model's back-test of ``df`` uses.
+
+    ``ratio`` is Close over its moving average, so the moving-average rule is ``ratio > 1``.
+    """
+    cal = fo.calendar(df)
+    t = fo.assign_test(fo.with_date_ordinal(df, cal), fo.folds(cal, wf))
+    w = Window.partitionBy("Ticker", "fold_id").orderBy("Date")
+    keep = ["fold_id", "Ticker", "Date", "Target", F.lit(None).cast("double").alias("probability")]
+    naive = t.select(F.lit("NaiveBaseline").alias("model"), *keep, F.lag("Target", 1, 0).over(w).cast("int").alias("Predictions"), "fwd_return")
+    return naive.unionByName(t.select(F.lit("MovingAverage").alias("model"), *keep, (F.col(ratio) > 1).cast("int").alias("Predictions"), "fwd_return"))

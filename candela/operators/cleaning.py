@@ -45,14 +45,15 @@ def dedup_keep_first(df: DataFrame) -> DataFrame:
     Uses the series partitioning (``Ticker``) ordered by (Date, ingest order)
     and keeps a row when the previous row has another date. The following
     feature windows (partitioned by Ticker, ordered by Date) then reuse this
-    exchange and sort instead of shuffling again.
+    exchange and sort instead of shuffling again. A null date is a date of its own.
     """
     tie = _order_cols(df) if "_ord" in df.columns else [
         c for c in ("Open", "High", "Low", "Close", "Volume") if c in df.columns]
     w = Window.partitionBy("Ticker").orderBy("Date", *tie)
-    prev = F.lag("Date", 1).over(w)
+    # the default marks the first row, so that null dates compare as equal
+    prev = F.lag(F.struct("Date"), 1).over(w)
     return (df.withColumn("_prev_date", prev)
-              .where(F.col("_prev_date").isNull() | (F.col("_prev_date") != F.col("Date")))
+              .where(F.col("_prev_date").isNull() | ~F.col("_prev_date.Date").eqNullSafe(F.col("Date")))
               .drop("_prev_date"))
 
 
@@ -127,7 +128,7 @@ def type_report_df(df: DataFrame, expected: dict | None = None) -> DataFrame:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Per ticker, rows whose (Ticker, Date) was already seen."""
     return (df.groupBy("Ticker")
-              .agg((F.count(F.lit(1)) - F.count_distinct("Date")).cast("bigint").alias("duplicate_count")))
+              .agg((F.count(F.lit(1)) - F.count_distinct(F.struct("Date"))).cast("bigint").alias("duplicate_count")))
 
 
 def _iqr_bounds(q: Column, k: float = 1.5) -> tuple[Column, Column]:
@@ -239,7 +240,7 @@ def quality_report(df: DataFrame, window: int = 252, rows_per_task: int | None =
     rep = flagged.groupBy("Ticker").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_rows"),
         F.sum(missing_row).cast("bigint").alias("missing_total"),
-        (F.count(F.lit(1)) - F.count_distinct("Date")).cast("bigint").alias("duplicate_count"),
+        (F.count(F.lit(1)) - F.count_distinct(F.struct("Date"))).cast("bigint").alias("duplicate_count"),
         F.count_if(any_flag(flags)).cast("bigint").alias("outlier_count"),
         F.count_if(F.coalesce(inconsistent_mask(), F.lit(False))).cast("bigint").alias("inconsistent_count"),
     )

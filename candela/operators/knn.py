@@ -110,9 +110,14 @@ def knn_backtest(df: DataFrame, cols: list[str], wf, k: int = 10, metric: str =
     for r in fold_table.collect():
         tr = fo.train_rows(data, r["train_end"]).select("Ticker", "Date", "Target", *cols)
         te = tests.where(F.col("fold_id") == r["fold_id"])
+        if tr.limit(k).count() < k:
+            raise ValueError(f"fold {r['fold_id']} has fewer than k = {k} training rows")
         pr = knn_fold(tr, te.select("Ticker", "Date", *cols), cols, k, metric, weights)
         part = te.join(pr, ["Ticker", "Date"]).select(
             F.lit(name).alias("model"), "fold_id", "Ticker", "Date", "Target", "probability",
             (F.col("probability") >= threshold).cast("int").alias("Predictions"))
         out = part if out is None else out.unionByName(part)
-    return out
+    # no fold survives its rules: an empty table of the same columns
+    return out if out is not None else tests.select(
+        F.lit(name).alias("model"), "fold_id", "Ticker", "Date", "Target", F.lit(None).cast("double").alias("probability"),
+        F.lit(None).cast("int").alias("Predictions")).limit(0)

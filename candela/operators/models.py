@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable
 
 from pyspark.ml import Pipeline
@@ -35,6 +36,11 @@ from pyspark.sql import functions as F
 from candela.operators import folds as fo
 
 
+#: the long table that every back-test returns
+PREDICTION_SCHEMA = ("model string, fold_id int, Ticker string, Date date, Target int, probability double, "
+                     "Predictions int, fwd_return double")
+
+
 @dataclass(frozen=True)
 class FitContext:
     n_train: int          # training rows
@@ -58,13 +64,13 @@ class ModelSpec:
 
 def _rf(n, depth, leaf=1, bootstrap=True):
     return lambda ctx: RandomForestClassifier(
-        numTrees=n, maxDepth=min(depth, 30), minInstancesPerNode=leaf, featureSubsetStrategy="sqrt",
+        numTrees=n, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt",
         bootstrap=bootstrap, seed=42, labelCol="label")
 
 
 def _gbt(n, depth, lr, bins=32, subsample=1.0):
     return lambda ctx: GBTClassifier(
-        maxIter=n, maxDepth=min(depth, 30), stepSize=lr, maxBins=bins, subsamplingRate=subsample,
+        maxIter=n, maxDepth=depth, stepSize=lr, maxBins=bins, subsamplingRate=subsample,
         seed=42, labelCol="label")
 
 
@@ -128,7 +134,9 @@ AR_MODEL = ModelSpec("ARDrift", 30, lambda ctx: LinearRegression(regParam=0.0, s
                      output="sign", has_probability=False, label="_next_change")
 
 def _svc(c):
-    return lambda ctx: LinearSVC(regParam=1.0 / (c * max(ctx.n_train, 1)), maxIter=200, labelCol="label")
+    # the random features are the kernel map already: rescaling them would change the kernel
+    return lambda ctx: LinearSVC(regParam=1.0 / (c * max(ctx.n_train, 1)), maxIter=200, standardization=False,
+                                 labelCol="label")
 
 
 def _l2_linear(reg_fn, intercept=True):
@@ -141,7 +149,7 @@ MODULE_SPECS = [
     ModelSpec("LogisticRegressionBalanced", 40, _logistic(1000), balanced=True),
     # M16-M19 re-aimed: random Fourier features of the z-scored inputs, then a linear model
     ModelSpec("SVC", 7, _svc(1.0), balanced=True, scale="pop", rff=(200, None, 42), platt=True),
-    ModelSpec("SVR", 41, _l2_linear(lambda ctx: 1.0 / max(ctx.n_train, 1)), output="score",
+    ModelSpec("SVR", 41, _l2_linear(lambda ctx: (ctx.label_std or 1.0) / max(ctx.n_train, 1)), output="score",
               has_probability=False, scale="pop", rff=(200, None, 42)),
     ModelSpec("KernelRidge", 42, _l2_linear(lambda ctx: (ctx.label_std or 1.0) / max(ctx.n_train, 1), False),
               output="score", has_probability=False, scale="pop", rff=(200, 0.1, 42)),
@@ -329,13 +337,8 @@ def backtest(df: DataFrame, predictors: list[str], specs: list[ModelSpec],
     with ThreadPoolExecutor(max_workers=max_parallel) as ex:
         parts = list(ex.map(run, jobs))
     if not parts:
-        schema = ("model string, fold_id int, Ticker string, Date date, Target int, probability double, "
-                  "Predictions int, fwd_return double")
-        return df.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return df.sparkSession.createDataFrame([], PREDICTION_SCHEMA)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def registry_frame(spark, specs: list[ModelSpec]) -> DataFrame:
@@ -411,7 +414,4 @@ def sarima_hr_backtest(df: DataFrame, exog: list[str] | None = None, wf: fo.Walk
                                F.lit(None).cast("double").alias("probability"),
                                ((F.col("prediction") + F.col("d_back")) > 0).cast("int").alias("Predictions"),
                                "fwd_return"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], PREDICTION_SCHEMA)

@@ -102,21 +102,21 @@ def q_dim_search_symbol(spark, d):
 
 
 @register("alias_resolve", """
-SELECT s_suppkey, 'NATION_' || CAST(s_nationkey AS VARCHAR) AS symbol,
-       coalesce(a.vendor_symbol, 'NATION_' || CAST(s_nationkey AS VARCHAR)) AS resolved
-FROM supplier LEFT JOIN (
+SELECT s_suppkey, s.symbol, coalesce(a.vendor_symbol, s.symbol) AS resolved
+FROM (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN s_name ELSE 'NATION_' || CAST(s_nationkey AS VARCHAR) END AS symbol FROM supplier) s
+LEFT JOIN (
   SELECT n_name AS symbol, r_name || '/' || n_name AS vendor_symbol
-  FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA') a
-ON 'NATION_' || CAST(s_nationkey AS VARCHAR) = a.symbol""")
+  FROM nation JOIN region ON n_regionkey = r_regionkey) a
+ON s.symbol = a.symbol""")
 def q_alias_resolve(spark, d):
-    """Resolve requested symbols through an alias map (broadcast left join + coalesce).
+    """Resolve requested symbols through an alias map (left join + coalesce).
 
-    Nations of one region have no alias, so their symbols fall through unchanged.
+    Suppliers in debt are asked for by their own name, which has no alias and stays.
     """
     sup = spark.read.parquet(f"{d}/supplier.parquet").select(
-        "s_suppkey", F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string")).alias("symbol"))
-    aliases = ref.nation_aliases(spark, d).where(~F.col("vendor_symbol").startswith("ASIA/"))
-    return ref.resolve_aliases(sup, aliases, "symbol", "resolved")
+        "s_suppkey", F.when(F.col("s_acctbal") < 0, F.col("s_name")).otherwise(
+            F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string"))).alias("symbol"))
+    return ref.resolve_aliases(sup, ref.nation_aliases(spark, d), "symbol", "resolved")
 
 
 @register("bday_calendar", f"""
@@ -154,8 +154,8 @@ def q_clean_ohlc(spark, d):
 
 @register("dedup_keep_first", f"""
 SELECT * EXCLUDE (_pd) FROM (
-  SELECT *, lag(Date) OVER (PARTITION BY Ticker ORDER BY Date, _ord) AS _pd FROM ({RAW_SQL}) r) x
-WHERE _pd IS NULL OR _pd <> Date""")
+  SELECT *, lag({{'d': Date}}) OVER (PARTITION BY Ticker ORDER BY Date, _ord) AS _pd FROM ({RAW_SQL}) r) x
+WHERE _pd IS NULL OR _pd.d IS DISTINCT FROM Date""")
 def q_dedup(spark, d):
     """B2: first row per (Ticker, Date) by ingest order."""
     return cl.dedup_keep_first(_raw(spark, d))
@@ -190,7 +190,7 @@ def q_type_report(spark, d):
 
 
 @register("dup_count", f"""
-SELECT Ticker, CAST(count(*) - count(DISTINCT Date) AS BIGINT) AS duplicate_count
+SELECT Ticker, CAST(count(*) - count(DISTINCT {{'d': Date}}) AS BIGINT) AS duplicate_count
 FROM ({RAW_SQL}) r GROUP BY Ticker""")
 def q_dup_count(spark, d):
     """Duplicate dates per ticker."""
@@ -271,7 +271,7 @@ SELECT Ticker, CAST(count(*) AS BIGINT) AS n_rows,
        + CAST(Volume IS NULL AS INT)) AS BIGINT) AS missing_total,
   sum(CAST(Date IS NULL AS INT) + CAST(Open IS NULL AS INT) + CAST(High IS NULL AS INT)
       + CAST(Low IS NULL AS INT) + CAST(Close IS NULL AS INT) + CAST(Volume IS NULL AS INT)) > 0 AS has_missing,
-  CAST(count(*) - count(DISTINCT Date) AS BIGINT) AS duplicate_count,
+  CAST(count(*) - count(DISTINCT {{'d': Date}}) AS BIGINT) AS duplicate_count,
   CAST(count_if(Open_outlier OR High_outlier OR Low_outlier OR Close_outlier) AS BIGINT) AS outlier_count,
   CAST(count_if(coalesce(Low > Open OR High < Open OR Low > Close OR High < Close, false)) AS BIGINT) AS inconsistent_count,
   CAST(0 AS BIGINT) AS type_mismatches,
@@ -287,10 +287,10 @@ def q_quality_report(spark, d):
 def _clean_data_sql(src_sql: str) -> str:
     return f"""
 SELECT Ticker, Date, Open, High, Low, Close, Volume, _ord FROM (
-  SELECT *, lag(Date) OVER (PARTITION BY Ticker ORDER BY Date, _ord) AS _pd
+  SELECT *, lag({{'d': Date}}) OVER (PARTITION BY Ticker ORDER BY Date, _ord) AS _pd
   FROM ({_iqr_rolling_sql(src_sql)}) f
   WHERE NOT (Open_outlier OR High_outlier OR Low_outlier OR Close_outlier)) x
-WHERE _pd IS NULL OR _pd <> Date"""
+WHERE _pd IS NULL OR _pd.d IS DISTINCT FROM Date"""
 
 
 @register("clean_data", _clean_data_sql(RAW_SQL))
@@ -566,20 +566,20 @@ def q_model_ar_drift(spark, d):
     return mo.backtest(x, preds, [mo.AR_MODEL])
 
 
-FAST_MODELS = ["LogisticRegression", "Ridge", "LinearRegression", "Lasso", "ElasticNet"]
+#: the linear family; the whole registry is compared by ``comparison_all``
+LINEAR_FAMILY = ["LogisticRegression", "Ridge", "LinearRegression", "Lasso", "ElasticNet"]
 
 
 @register("model_comparison")
 def q_model_comparison(spark, d):
-    """E13/D-21: metrics and precision rank of the linear-family models and both baselines."""
-    preds = mo.backtest(_model_input(spark, d), PIPE_PREDICTORS, [mo.REGISTRY[n] for n in FAST_MODELS])
-    base = _base_preds(spark, d).withColumn("probability", F.lit(None).cast("double"))
-    allp = preds.unionByName(base.select(*preds.columns))
-    m = me.classification_metrics(allp, with_sharpe=True).drop("confusion_matrix")
-    specs = [mo.REGISTRY[n] for n in FAST_MODELS]
-    reg = spark.createDataFrame([(s.name, s.ordinal) for s in specs] + [("NaiveBaseline", 100), ("MovingAverage", 101)],
-                                "model string, ordinal int")
-    return me.rank_models(m.join(F.broadcast(reg), "model"), "precision")
+    """E13/D-21: metrics and precision rank of the linear family and both baselines, on the same rows and folds."""
+    return ev.compare_models(_model_input(spark, d), PIPE_PREDICTORS, [mo.REGISTRY[n] for n in LINEAR_FAMILY])
+
+
+@register("comparison_all")
+def q_comparison_all(spark, d):
+    """E13/D-21: metrics and precision rank of the whole pipeline registry and both baselines."""
+    return ev.compare_models(_model_input(spark, d), PIPE_PREDICTORS, mo.PIPELINE_REGISTRY)
 
 
 # ------------------------------------------------------------------ forecast
@@ -686,6 +686,21 @@ def q_forecast_model_trees(spark, d):
     return fc.price_path(state, dirs, H, "pipeline")
 
 
+@register("forecast_winner")
+def q_forecast_winner(spark, d):
+    """D-22/F1-F7: the best model of the linear family, refitted, forecasts 30 steps."""
+    df = _model_input(spark, d)
+    return ev.winner_forecast(df, PIPE_PREDICTORS, [mo.REGISTRY[n] for n in LINEAR_FAMILY], [5, 60], H)[1]
+
+
+@register("result_winner")
+def q_result_winner(spark, d):
+    """The result document of the winner's forecast."""
+    df = _model_input(spark, d)
+    comp, path = ev.winner_forecast(df, PIPE_PREDICTORS, [mo.REGISTRY[n] for n in LINEAR_FAMILY], [5, 60], H)
+    return rp.result_lines(df.select("Ticker", "Date", "Close"), path, comp, _headline(df, path))
+
+
 @register("forecast_stitch")
 def q_forecast_stitch(spark, d):
     """History and forecast in one table with a connector row."""
@@ -837,12 +852,12 @@ def q_metric_bars(spark, d):
 
 @register("result_json")
 def q_result_json(spark, d):
-    """Result document as JSON lines (historical, predictions, comparison, best)."""
+    """Result document as JSON lines (historical, predictions, metrics, comparison, best)."""
     df, state, naive = _state_and_naive(spark, d)
     path = fc.price_path(state, fc.fixed_directions(state, naive, H), H, "pipeline")
     m = me.classification_metrics(_base_preds(spark, d), with_sharpe=True)
     comp = me.rank_models(m.join(F.broadcast(_ordinals(spark)), "model"), "precision")
-    return rp.result_lines(df.select("Ticker", "Date", "Close"), path, comp)
+    return rp.result_lines(df.select("Ticker", "Date", "Close"), path, comp, _headline(df, path))
 
 
 # ------------------------------------------------------------------ single-indicator views
@@ -945,7 +960,7 @@ def fold_zscore_stats(df, predictors, wf):
             len(predictors), ", ".join(f"'{c}', m{i}, s{i} + 1e-8" for i, c in enumerate(predictors)))
         part = a.selectExpr(f"{r['fold_id']} as fold_id", stack)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else df.sparkSession.createDataFrame([], "fold_id int, feature string, mean double, std double")
 
 
 _BACK_PREDS = [c for c in ["Returns_1d", "Returns_3d", "Returns_5d", "Returns_10d", "Returns_21d", "Log_Returns",
@@ -1032,8 +1047,8 @@ from candela.plans import evaluate as ev  # noqa: E402
 
 _DEDUP_RAW_SQL = f"""
 SELECT Ticker, Date, Open, High, Low, Close, Volume FROM (
-  SELECT *, lag(Date) OVER (PARTITION BY Ticker ORDER BY Date, _ord) AS _pd FROM ({RAW_SQL}) r) x
-WHERE _pd IS NULL OR _pd <> Date"""
+  SELECT *, lag({{'d': Date}}) OVER (PARTITION BY Ticker ORDER BY Date, _ord) AS _pd FROM ({RAW_SQL}) r) x
+WHERE _pd IS NULL OR _pd.d IS DISTINCT FROM Date"""
 _PROC_SQL, _PROC_ROUND = sq.features(_DEDUP_RAW_SQL, "prep")
 
 
@@ -1053,7 +1068,10 @@ JOIN (SELECT Ticker, arg_max(Close, step) AS end_price FROM p GROUP BY Ticker) e
 def q_headline(spark, d):
     """D-12: last price, forecast end price and change in percent per ticker."""
     df, state, naive = _state_and_naive(spark, d)
-    path = fc.price_path(state, fc.fixed_directions(state, naive, H), H, "pipeline")
+    return _headline(df, fc.price_path(state, fc.fixed_directions(state, naive, H), H, "pipeline"))
+
+
+def _headline(df, path):
     last = df.groupBy("Ticker").agg(F.max_by("Close", "Date").alias("last_price"))
     end = path.groupBy("Ticker").agg(F.max_by("Close", "step").alias("end_price"))
     return last.join(end, "Ticker").withColumn(
@@ -1102,7 +1120,7 @@ def q_forecast_fallback_legacy(spark, d):
 @register("evaluate_models")
 def q_evaluate_models(spark, d):
     """Linear-family registry evaluated with guards; failures are rows."""
-    return ev.evaluate_models(_model_input(spark, d), PIPE_PREDICTORS, [mo.REGISTRY[n] for n in FAST_MODELS])
+    return ev.evaluate_models(_model_input(spark, d), PIPE_PREDICTORS, [mo.REGISTRY[n] for n in LINEAR_FAMILY])
 
 
 # ------------------------------------------------------------------ exact KNN

@@ -114,10 +114,10 @@ def clean(raw_sql: str, has_ord: bool = False) -> str:
     nn = ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in ("Open", "High", "Low", "Close"))
     return f"""
 SELECT Ticker, Date, Open, High, Low, Close, Volume FROM (
-  SELECT *, lag(Date) OVER (PARTITION BY Ticker ORDER BY Date, {order}) AS _pd
+  SELECT *, lag({{'d': Date}}) OVER (PARTITION BY Ticker ORDER BY Date, {order}) AS _pd
   FROM (SELECT * REPLACE ({nn}) FROM ({raw_sql}) _r0) _r
 ) _c
-WHERE (_pd IS NULL OR _pd <> Date)
+WHERE (_pd IS NULL OR _pd.d IS DISTINCT FROM Date)
   AND Low <= High AND Low <= Open AND Low <= Close AND High >= Open AND High >= Close
   AND Ticker IS NOT NULL AND Date IS NOT NULL AND Volume IS NOT NULL"""
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.schema import ALIAS, DIM
-from candela.operators.joins import broadcast_if_small
 
 # The default ticker dimension (symbol, name, sector).
 DEFAULT_STOCKS = [
@@ -54,14 +53,12 @@ def search_dimension(dim: DataFrame, query: str) -> DataFrame:
 
 
 def resolve_aliases(df: DataFrame, aliases: DataFrame, col: str = "symbol",
-                    out: str = "resolved", max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                    out: str = "resolved") -> DataFrame:
     """Replace ``col`` by its vendor alias where one exists (left join + coalesce).
 
-    The alias map is broadcast only when its row count is under the bound;
-    otherwise the planner shuffles both sides.
+    The planner chooses the join from the sizes that adaptive execution measures.
     """
     a = aliases.select(F.col("symbol").alias("_alias_key"), F.col("vendor_symbol").alias("_alias_val"))
-    a = broadcast_if_small(a, max_broadcast_rows)
     j = df.join(a, df[col] == a["_alias_key"], "left")
     return j.withColumn(out, F.coalesce(F.col("_alias_val"), F.col(col))).drop("_alias_key", "_alias_val")
 
