@@ -173,7 +173,8 @@ def link_counts(vec: DataFrame, comp: DataFrame, threshold: float) -> DataFrame:
         n = (unit[q] @ unit[m].T >= threshold).sum(axis=1)
         return pa.table({"vec_id": tab.column("vec_id").take(pa.array(q)), "n": n})
 
-    tiles = both.groupBy("component_id", "x", "y").applyInArrow(tile, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    # dealt anew: the joins above left all tiles of a component in one partition
+    tiles = both.repartition("component_id", "x", "y").groupBy("component_id", "x", "y").applyInArrow(tile, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("n"))
     # a tile's counts hold the vector itself
     links = F.when(wide, F.col("size") - F.col("met") + F.col("n")).otherwise(F.col("size")) - 1
     return member.drop("v").join(tiles, "vec_id", "left").select("vec_id", "component_id", links.alias("n_links"))
@@ -191,3 +192,12 @@ def near_duplicates(vec: DataFrame, column: str = "embedding", threshold: float
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE x = vec_id)::BIGINT AS n_links, min(root)::BIGINT AS component_id, min(root) = vec_id AS kept
+FROM v JOIN r ON id = vec_id GROUP BY vec_id"""
