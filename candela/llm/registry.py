@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_chat": chat.OP1_SQL,
+    "op3_jaccard": jaccard.OP3_SQL,
+    "op7_vectors": vectors.OP7_SQL,
     "op10_passages": passages.OP10_SQL,
 }
