@@ -525,6 +525,35 @@ def q_best_model(spark, d):
     return me.best_model(m.join(F.broadcast(_ordinals(spark)), "model"), "precision")
 
 
+@register("top_models", f"""
+WITH m AS ({METRICS_SQL}), o AS ({_ORD_SQL})
+SELECT * FROM (SELECT m.*, o.ordinal, CAST(row_number() OVER (ORDER BY f1 DESC NULLS LAST, o.ordinal) AS INTEGER) AS rank
+FROM m JOIN o USING (model)) r WHERE rank <= 5""", _MCOLS)
+def q_top_models(spark, d):
+    """D-23: the five best models by F1."""
+    m = me.classification_metrics(_base_preds(spark, d)).drop("confusion_matrix")
+    return me.top_k(m.join(_ordinals(spark), "model"), 5, "f1")
+
+
+@register("benchmark_report", f"""
+WITH m AS ({METRICS_SQL})
+SELECT model, round(accuracy, 4) AS accuracy, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1,
+       total_trades, round(roc_auc, 4) AS roc_auc, tp, fp, fn, tn FROM m""")
+def q_benchmark_report(spark, d):
+    """D-28: the extended benchmark table, rounded."""
+    return me.report_table(me.classification_metrics(_base_preds(spark, d)), extended=True)
+
+
+@register("metrics_all_models", f"""
+WITH m AS ({METRICS_SQL}), o AS ({_ORD_SQL} UNION ALL SELECT 'NoPredictions', 2)
+SELECT model, ordinal, coalesce(accuracy, 0) AS accuracy, directional_accuracy, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall,
+       coalesce(f1, 0) AS f1, roc_auc, coalesce(total_trades, 0) AS total_trades, tp, fp, fn, tn FROM o LEFT JOIN m USING (model)""", _MCOLS)
+def q_metrics_all_models(spark, d):
+    """D-7: a registered model without predictions scores 0 and keeps its row."""
+    models = _ordinals(spark).union(spark.createDataFrame([("NoPredictions", 2)], "model string, ordinal int"))
+    return me.empty_safe(me.classification_metrics(_base_preds(spark, d)).drop("confusion_matrix"), models)
+
+
 # ------------------------------------------------------------------ model back-tests (rows-only checks)
 
 from candela.operators import models as mo  # noqa: E402
@@ -701,7 +730,12 @@ def q_result_winner(spark, d):
     return rp.result_lines(df.select("Ticker", "Date", "Close"), path, comp, _headline(df, path))
 
 
-@register("forecast_stitch")
+@register("forecast_stitch", f"""
+WITH b AS ({PIPE_ENG_SQL}), p AS ({_forecast_sql("pipeline")}),
+l AS (SELECT Ticker, max(Date) AS Date, arg_max(Close, Date) AS Close FROM b GROUP BY Ticker)
+SELECT Ticker, Date, Close, 'history' AS kind, CAST(NULL AS INTEGER) AS step, CAST(NULL AS DOUBLE) AS Upper, CAST(NULL AS DOUBLE) AS Lower FROM b
+UNION ALL SELECT Ticker, Date, Close, 'forecast', 0, Close, Close FROM l
+UNION ALL SELECT Ticker, Date, Close, 'forecast', step, Upper, Lower FROM p""", _FC_ROUND)
 def q_forecast_stitch(spark, d):
     """History and forecast in one table with a connector row."""
     df, state, naive = _state_and_naive(spark, d)
