@@ -7,8 +7,6 @@ last bit where both evaluate the same operations in the same order.
 
 from __future__ import annotations
 
-from candela.functions.expr import ema_lookback
-
 W = "PARTITION BY Ticker ORDER BY Date"
 
 
@@ -38,9 +36,9 @@ def roll(fn: str, x: str, n: int, shift: int = 0, w: str = W) -> str:
 
 
 def ema(x: str, span: int, w: str = W) -> str:
+    # the whole history: the recursion itself, whatever frame the Spark side takes
     alpha = 2.0 / (span + 1.0)
-    k = ema_lookback(span)
-    return (f"list_reduce(list({x}) OVER ({w} ROWS BETWEEN {k} PRECEDING AND CURRENT ROW), "
+    return (f"list_reduce(list({x}) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
             f"lambda acc, v: {dbl(alpha)} * v + {dbl(1.0 - alpha)} * acc)")
 
 
