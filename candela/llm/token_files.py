@@ -68,14 +68,20 @@ class Words(dict):
         rest = [b for b in range(256) if b not in own]
         self.byte_level = {b: 256 + i for i, b in enumerate(rest)}
 
+    @staticmethod
+    def _plain(s: str) -> bool:
+        """Letters alone, which the tokenizer's normaliser leaves as they are."""
+        return s.isalpha() and (s.isascii() or s.lower() == s and unicodedata.is_normalized("NFC", s))
+
     def _ids(self, s: str) -> bytes:
         lower = s.lower() if s.isascii() else s
         if lower != s:  # the tokenizer lower-cases
             return self[lower]
-        if s[-1] in ".,!?;:" and s[:-1].isalpha():  # letters and marks are never one piece
-            return self[s[:-1]] + self[s[-1]]
-        if s.isalpha() and (s.isascii() or s.lower() == s and unicodedata.is_normalized("NFC", s)):
-            ids = [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.byte_level))]
+        body = s.rstrip(".,!?;:")
+        if len(body) < len(s) and self._plain(body):  # letters and marks are never one piece
+            return self[body] + self[s[len(body):]]
+        if self._plain(s):
+            ids = [t.id for t in self.model.tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(self.byte_level))]
         else:
             ids = self.tokenizer.encode(s, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)

@@ -29,7 +29,7 @@ def test_files_equal_library(spark):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(token_files.default_tokenizer())
     t.encode_special_tokens = True
-    texts = ["The x. don't THE ÀÉ ΑΣ.", None, "", "a<|endoftext|>b &&&. 12.5 é.́", "\x1c a\x1fb　c\x85", "word, " * 50_000, "x²! ≮ ≮", "İI", "Ⅷ."]
+    texts = ["İ. İ", "The x. don't THE ÀÉ ΑΣ.", None, "", "a<|endoftext|>b &&&. 12.5 é.́", "\x1c a\x1fb　c\x85", "word, " * 50_000, "x²! ≮ ≮", "İI", "Ⅷ."]
     rows = [(i // 2 if i < 4 else i, x, "clash", 7) for i, x in enumerate(texts)] + [(None, "null id", "", 0), (1, "tie", "", 0), (1, "tie", "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, file string, block int").repartition(3)
     out = token_files.read_token_files(spark, token_files.write_token_files(df), with_ids=True).collect()
