@@ -29,6 +29,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -44,17 +45,40 @@ SHINGLE, PERCENT, TILE = 4, 85, 1024
 _TWO = np.uint64(0x8BB84B93962EACC9)
 
 
+def _spare(n: int, k: int) -> int:
+    """How many empty segments to allow for sets of n elements of which k may differ: the fewest that
+    all but about one set in a thousand stay within (their number is about Poisson)."""
+    def tail(c: int) -> float:
+        s = k + 1 + c
+        mean = s * math.exp(n * math.log1p(-1 / s))
+        term, total = math.exp(-mean), 0.0
+        for i in range(c + 1):
+            total += term
+            term *= mean / (i + 1)
+        return 1 - total
+
+    if k <= 300:
+        rest = [tail(c) for c in range(1, k + 3)]
+        good = [c for c, t in enumerate(rest, 1) if t < 1e-3]
+        return good[0] if good else 1 + int(np.argmin(rest))
+    c = 0.0
+    for _ in range(50):  # mean plus four deviations
+        mean = (k + 1 + c) * math.exp(-n / (k + 1 + c))
+        c = min(mean + 4 * math.sqrt(mean), float(k))
+    return math.ceil(c)
+
+
 class Bands:
     """Size bands and, per band, the segments of its tile and how many of them may be empty."""
 
     def __init__(self, percent: int):
         edges = [1]
-        while edges[-1] < 1 << 40:
+        while edges[-1] < 1 << 31:
             edges.append(edges[-1] * 100 // percent + 1)
         self.edges = np.array(edges)
         top = self.edges[1:] - 1  # the band's largest size; its partner has 100 / percent times that at most
         differ = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
-        self.spare = 2 + differ // 32
+        self.spare = np.array([_spare(n, k) for n, k in zip(edges, differ.tolist())])
         self.segments = differ + 1 + self.spare
         self.width = 1 << np.maximum(8, np.ceil(np.log2(4 * differ + 1)).astype(int))
 
