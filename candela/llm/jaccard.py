@@ -244,9 +244,10 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> str:
                 x = b.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array([s.tobytes() for s in shingle_sets(x.column(1), size)], pa.binary())], ["id", "hashes"])
 
+    # the ids grow with the corpus, so they are joined by a shuffle at every size
     spark = docs.sparkSession
     name = f"sets_{uuid.uuid4().hex}"
-    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, hashes binary")
+    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, hashes binary")
     some.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortBy("id").option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
     return name
 
