@@ -9,8 +9,8 @@ Documents link when ``100 * intersection >= 85 * union``; no link is lost.
   largest size). Hash space is cut into K + 1 + c equal segments, and a segment's elements
   are hashed to one key; by the pigeonhole principle linked sets agree on c + 1
   segments at least. Sets with more than c empty segments send these too, the others none, so linked
-  sets share a key of a tile. Keys travel to hash buckets in blobs, one per map
-  batch and bucket; equal sets of a batch send one.
+  sets share a key of a tile. Keys travel to hash buckets in blobs, one per strip
+  of ``STRIP`` bytes and bucket; equal sets of a strip send one.
 * Sets that share a key are candidates. Bitmap signatures sort most out: a shingle flips one of a
   set's bits (a power of two, four times K or more), so two sets differ in ``popcount(a XOR b)``
   elements or more, and ``|A| + |B|`` less that bounds twice the intersection from above.
@@ -42,6 +42,8 @@ from candela.llm.common import buckets_for, components, expanded, gram_hashes, m
 from candela.session import checkpoint_dir
 
 SHINGLE, PERCENT, TILE = 4, 85, 1024
+#: bytes of text whose sets a map task holds at once
+STRIP = 8 << 20
 _TWO = np.uint64(0x8BB84B93962EACC9)
 
 
@@ -141,7 +143,7 @@ def _fits(na, nb, differ, percent: int):
 
 
 def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Rows of three kinds: ``id, n, bits`` (a document; bits where its set is the batch's first of its kind),
+    """Rows of three kinds: ``id, n, bits`` (a document; bits where its set is its strip's first of its kind),
     ``id, same`` (its set equals that of ``same``), ``members, sizes`` (sets that share a key of a tile)."""
     buckets, bands = buckets_for(docs), Bands(percent)
     names = ["bucket", "blob", "id", "n", "same", "bits"]
@@ -192,8 +194,9 @@ def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
     def run(batches):
         for b in batches:
             b = b.filter(b.column(0).is_valid())
-            if b.num_rows:
-                yield from batch(b.column(0).cast(pa.int64()).to_numpy(), b.column(1))
+            for i, j in slices(text_bytes(b.column(1))[1], STRIP):
+                part = b.slice(i, j - i)
+                yield from batch(part.column(0).cast(pa.int64()).to_numpy(), part.column(1))
 
     def read(blob: bytes):
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
