@@ -161,10 +161,13 @@ def _spans(off: np.ndarray):
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Cnn | None:
     """Fit on the rows of ``docs`` that are not held out and have a language."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    # the sampled rows, then of each only short windows at hashed places
-    rows = rows.orderBy("h", "lang", "text").limit(sample)
+    n = rows.count()
+    # rows of small hashes only, about half as many again as are wanted, so that tasks send the driver few rows
+    few = rows.filter(F.shiftrightunsigned("h", 2) < int(min(1.0, 1.5 * sample / max(n, 1)) * (1 << 62)))
+    # of each one short windows at hashed places
     cuts = [F.substr("text", (F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]
-    got = rows.select("lang", F.array(*cuts).alias("cuts")).collect()
+    rows = few.select("lang", "h", F.array(*cuts).alias("cuts")).orderBy("h", "lang", "cuts").limit(sample)
+    got = rows.select("lang", "cuts").collect()
     langs = sorted({r["lang"] for r in got})
     if not langs:
         return None
