@@ -65,3 +65,19 @@ def test_components_of_a_path_and_a_star(spark):
     star = [(1000, i) for i in range(1001, 1400)]
     got = {r.id: r.component_id for r in components(spark.createDataFrame(path + star + [(5000, 5000)], "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1400)}}
+
+
+def test_dense_source(spark):
+    """20,000 vectors of mean cosine 0.8 with planted pairs: no link is lost."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre, n, planted = unit(rng.standard_normal(64)), 18_000, 2_000
+    rows = np.sqrt(0.8) * centre + np.sqrt(0.2) * unit(rng.standard_normal((n, 64)))
+    side = rng.standard_normal((planted, 64))
+    side = unit(side - (side * rows[:planted]).sum(1, keepdims=True) / (rows[:planted] ** 2).sum(1, keepdims=True) * rows[:planted])
+    rows = unit(np.concatenate([rows, rows[:planted] * np.sqrt(0.92) + side * np.sqrt(0.08) * np.linalg.norm(rows[:planted], axis=1, keepdims=True)]))
+    want = sum(int((rows[i: i + 2000] @ rows.T >= 0.95).sum()) for i in range(0, len(rows), 2000)) - len(rows)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
+    found = sum(v[0] for v in result(df).values())
+    print("links", found, want)
+    assert want >= 2 * planted and 0.999 * want <= found <= want
