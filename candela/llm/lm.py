@@ -3,7 +3,8 @@
 Tokens: words, A-Z lower-cased, then one end token per text; a text's first token has the
 end token as its context. ``P(w | v) = l(b) c(v, w) / c(v) + (1 - l(b)) U(w)`` with
 ``U`` the unigram estimate with 0.1 added to each count, ``b`` the bucket of the
-context's frequency (the bit length of ``c(v)``; 0 for unseen contexts, where l = 0).
+context's frequency (the bit length of ``c(v)``; 0 for unseen contexts, where l = 0). A bucket that no tuning row falls
+into has the weight of the nearest learned bucket below (else above); without tuning documents all weights are 0.
 The weights ``l`` come from expectation-maximisation on held-out counts: counts of one
 tenth of the documents against estimates from the other training documents; then all training counts enter the model.
 
@@ -204,6 +205,12 @@ def _tune(docs: DataFrame, answers: DataFrame, buckets: int, n: int, v: int) ->
             if done:
                 break
         weights[b] = w
+    # a bucket without tuning rows takes the weight of the nearest learned one below, or else above: the
+    # scores' counts are larger than the fitting ones, so a context may lie above all learned buckets
+    learned = [b for b in range(1, 65) if weights[b]]
+    for b in range(1, 65):
+        if learned and not weights[b]:
+            weights[b] = weights[max([x for x in learned if x < b], default=learned[0])]
     return weights
 
 

@@ -55,3 +55,14 @@ def test_documents(spark, monkeypatch):
     held = [g for g in got if g[2]]
     assert sum(g[7] for g in held) > sum(g[6] for g in held)
     assert 0 < max(model.weights) < 1
+
+
+def test_top_context_crosses_a_power_of_two(spark):
+    part = lambda i: zlib.crc32(str(i).encode()) % 10
+    fitted = lambda n: sum(part(i) > 1 for i in range(n))
+    seen = lambda n: sum(part(i) > 0 for i in range(n))
+    n = next(n for n in range(20, 2000) if fitted(n).bit_length() < seen(n).bit_length() and any(part(i) == 1 for i in range(n)))
+    df = written(spark.createDataFrame([(i, f"the same w{i}") for i in range(n)], "doc_id long, text string"), "t")
+    model, got = check(df)
+    assert model.weights[seen(n).bit_length()] == model.weights[fitted(n).bit_length()] > 0 == model.weights[0]
+    assert all(g[7] > g[6] for g in got if g[2])  # bigrams after "the" and the end token count
