@@ -11,10 +11,10 @@ Fisher's method joins the three p-values into one, ``p``.
 
 False-discovery control, aware of length: truly random tokens have uniform ``p``,
 others pile up near 0, the more the longer they are. So for each encoding and
-length band (powers of two) the tokens with ``p >= 1/2`` tell the density of
+length band (powers of two) the distinct tokens (by a 64-bit hash) with ``p >= 1/2`` tell the density of
 random tokens, and the band's threshold is the lowest ``t`` of 0.05, 0.10, ...
 at which the estimated share of others among tokens with ``p >= t`` is at most
-``fdr``. The histogram of all tokens (encodings x bands x 20 cells, a bounded
+``fdr``. The histogram of all distinct tokens (encodings x bands x 20 cells, a bounded
 table) is all that reaches the driver. A band in which no token passes gets none.
 
 Defined cases: null text counts as empty and has no spans; null or repeated
@@ -137,7 +137,8 @@ def _stages(tokens: Column) -> Column:
     def joined(y: Column) -> Column:
         x, h = y["x"], y["h"]
         return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["enc"].alias("enc"),
-                        F.floor(F.log2(y["n"])).cast("int").alias("band"), (F.exp(-h) * (1 + h + h * h / 2)).alias("p"))
+                        F.floor(F.log2(y["n"])).cast("int").alias("band"), (F.exp(-h) * (1 + h + h * h / 2)).alias("p"),
+                        F.xxhash64(F.rtrim(x["s"], F.lit("="))).alias("token"))
 
     for f in (coded, counted, summed, scored, tails, joined):
         tokens = F.transform(tokens, f)
@@ -154,7 +155,7 @@ def _encoding(token: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` (base spans by start, then kind) and ``candidates``
-    (place, encoding, length band, p). One narrow pass over the texts."""
+    (place, encoding, length band, p, hash). One narrow pass over the texts."""
     docs = docs.drop("base", "candidates", "spans", "_a", "_k", "_h", "_c")
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_a", spans_of(text, ASSIGN, 0, 2)).withColumn("_k", spans_of(text, ACCESS, 1)) \
@@ -167,15 +168,16 @@ def scan(docs: DataFrame) -> DataFrame:
                      lambda x: x["enc"].isNotNull())
     df = df.withColumn("_c", F.when(F.size("_c") > 0, known))
 
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,enc:int,band:int,p:double>>")
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,enc:int,band:int,p:double,token:bigint>>")
     return df.withColumn("candidates", F.when(F.size("_c") > 0, _stages(F.col("_c"))).otherwise(none)).drop("_a", "_k", "_h", "_c")
 
 
 def thresholds(scanned: DataFrame, fdr: float = 0.1) -> dict[tuple[int, int], float]:
     """Per (encoding, length band) the lowest p that keeps the false-discovery rate."""
     cell = F.least(F.floor(F.col("c.p") * CELLS), F.lit(CELLS - 1)).cast("int")
-    rows = (scanned.select(F.explode("candidates").alias("c")).groupBy("c.enc", "c.band", cell.alias("cell"))
-            .count().collect())
+    # a repeated token is one test, however many copies it has; copies are combined before the shuffle
+    tokens = scanned.select(F.explode("candidates").alias("c")).select("c.enc", "c.band", cell.alias("cell"), "c.token").distinct()
+    rows = tokens.groupBy("enc", "band", "cell").count().collect()
     hist: dict[tuple[int, int], list[int]] = {}
     for r in rows:
         hist.setdefault((r["enc"], r["band"]), [0] * CELLS)[r["cell"]] = r["count"]

@@ -62,3 +62,18 @@ def test_redaction_merges_and_digest(spark):
     assert got[1] == ("[SECRET] end", "assign:0:41,hex:9:41") and got[2] == (None, "") and got[3] == ("plain", "")
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
     assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_token_are_one_test(spark):
+    rng = random.Random(8)
+    alphabet = secrets.ENCODINGS[5][1]
+    rows = [(i, "key " + "".join(rng.choice(alphabet) for _ in range(39)) + "7") for i in range(200)]
+    rows += [(200 + i, f"route/of/some/long/path/to/{i}/aaaaaaaaaaaaaaa1") for i in range(50)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    p = {r.doc_id: r.candidates[0].p for r in found.collect() if r.candidates and r.candidates[0].enc == 5}
+    want = secrets.thresholds(found)
+    assert want
+    for low, high in ((0.2, 0.4), (0.6, 0.8)):
+        hot = next(i for i in sorted(p) if low < p[i] < high)
+        many = rows + [(1000 + i, rows[hot][1] + "=" * (i % 2)) for i in range(3000)]
+        assert secrets.thresholds(secrets.scan(spark.createDataFrame(many, "doc_id long, text string"))) == want
