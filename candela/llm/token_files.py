@@ -9,7 +9,8 @@ documents and closes at ``BLOCK_IDS`` ids or more.
 
 Encoding: the tokenizers library, on blank-separated stretches, which the
 tokenizer's own rules treat apart; stretches are memoised per worker (two
-generations of ``MEMO`` entries). Strings of special tokens in a text are ordinary text.
+generations of ``MEMO`` entries). A text that holds the string of a special token goes to the library whole, which
+makes it that token's id, as it does by default; with ``ordinary`` such strings are ordinary text.
 
 Defined cases: null text counts as empty (the end id alone); repeated doc_ids keep a
 row each, ordered by text; null doc_ids come first; an empty table gives no files'
@@ -54,12 +55,14 @@ class Words(dict):
     tokenizer's rules leave as they are, letters alone, go straight to the library's BPE model.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
+        special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.model = self.tokenizer.model
         self.old: dict = {}
         self.controls = re.compile("[\x1c-\x1f]")  # blanks for str.split, not for the tokenizer
@@ -98,16 +101,19 @@ class Words(dict):
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         parts = re.findall("[^ \t\n\r]+", text) if self.controls.search(text) else text.split()
         return b"".join(map(self.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Words:
-    return Words(path)
+def encoder(path: str, ordinary: bool = False) -> Words:
+    return Words(path, ordinary)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, path: str | None = None) -> str:
+def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, path: str | None = None, ordinary: bool = False) -> str:
     """Write the file set and return its path (a fresh one in the shared folder if not given)."""
     spark, tok = docs.sparkSession, tokenizer or default_tokenizer()
     path = path or f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -116,7 +122,7 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        words, no = encoder(tok), TaskContext.get().partitionId()
+        words, no = encoder(tok, ordinary), TaskContext.get().partitionId()
         ids, parts, block, first = [], [], 0, 0
 
         def close():

@@ -3,8 +3,10 @@
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from candela.llm import simple8b, token_files
 
@@ -25,14 +27,15 @@ def test_blocks_and_density():
     assert len(simple8b.encode(np.zeros(102_400, np.uint64))) < 102_400 / 60 * 8 * 1.2
 
 
-def test_files_equal_library(spark):
-    from tokenizers import Tokenizer
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_files_equal_library(spark, ordinary):
     t = Tokenizer.from_file(token_files.default_tokenizer())
-    t.encode_special_tokens = True
-    texts = ["İ. İ", "The x. don't THE ÀÉ ΑΣ.", None, "", "a<|endoftext|>b &&&. 12.5 é.́", "\x1c a\x1fb　c\x85", "word, " * 50_000, "x²! ≮ ≮", "İI", "Ⅷ."]
+    if ordinary:
+        t.encode_special_tokens = True
+    texts = ["İ. İ", "The x. don't THE ÀÉ ΑΣ.", None, "", "a<|endoftext|>b &&&. 12.5 é.́", "<|endoftext|> <|STARTOFTEXT|>x<|startoftext|> é\u0301<|endoftext|>", "\x1c a\x1fb　c\x85", "word, " * 50_000, "x²! ≮ ≮", "İI", "Ⅷ."]
     rows = [(i // 2 if i < 4 else i, x, "clash", 7) for i, x in enumerate(texts)] + [(None, "null id", "", 0), (1, "tie", "", 0), (1, "tie", "", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, file string, block int").repartition(3)
-    out = token_files.read_token_files(spark, token_files.write_token_files(df), with_ids=True).collect()
+    out = token_files.read_token_files(spark, token_files.write_token_files(df, ordinary=ordinary), with_ids=True).collect()
     assert len(out) == len(rows)
     got = sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.ids)) for r in out)
     want = sorted((-1 if i is None else i, np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, x, *_ in rows)
@@ -49,6 +52,6 @@ def test_files_equal_library(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40), st.text(alphabet="aAzéÉßİıſΣσςﬁǅÅK  .,'1²́ẛ", max_size=30))
 def test_any_text_equals_library(a, b):
-    words = token_files.encoder(token_files.default_tokenizer())
-    for text in (a, b, a + b):
-        assert np.frombuffer(words.encode(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+    words, library = token_files.encoder(token_files.default_tokenizer()), Tokenizer.from_file(token_files.default_tokenizer())
+    for text in (a, b, a + b, a + "<|endoftext|>" + b):
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
