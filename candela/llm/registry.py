@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candela.llm import bpe, chat, decontam, jaccard, langid, lm, passages, resample, secrets, token_files, vectors
+from candela.llm import bpe, chat, decontam, jaccard, langid, lm, packing, passages, resample, secrets, token_files, vectors
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm": lm.op9_lm,
     "op10_passages": passages.op10_passages,
     "op11_resample": resample.op11_resample,
+    "op12_packing": packing.op12_packing,
 }
 ORACLE = {
     "op1_chat": chat.OP1_SQL,
