@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candela.llm import bpe, chat, decontam, jaccard, langid, lm, packing, passages, resample, secrets, token_files, vectors
+from candela.llm import bpe, chat, decontam, jaccard, langid, lm, packing, passages, periods, resample, secrets, token_files, vectors
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_passages": passages.op10_passages,
     "op11_resample": resample.op11_resample,
     "op12_packing": packing.op12_packing,
+    "op13_periods": periods.op13_periods,
 }
 ORACLE = {
     "op1_chat": chat.OP1_SQL,
