@@ -192,8 +192,12 @@ def document_runs(data: np.ndarray, off: np.ndarray, least: int = LEAST, times:
         # each document is followed by a word of its own
         flat = np.concatenate([np.append(ids[d], len(number) + d) for d in group.tolist()])
         base = np.cumsum(n[group] + 1) - n[group] - 1
-        _, first, _ = grid_streaks(flat, longest, least, times)
-        hit = np.unique(np.searchsorted(base, first, "right") - 1)
+        _, first, last = grid_streaks(flat, longest, least, times)
+        # a streak may reach over several documents
+        touched = np.zeros(len(group) + 1, np.int64)
+        np.add.at(touched, np.searchsorted(base, first, "right") - 1, 1)
+        np.add.at(touched, np.searchsorted(base, last, "right"), -1)
+        hit = np.flatnonzero(np.cumsum(touched))
         if not len(hit):
             continue
         some = group[hit]
