@@ -61,8 +61,7 @@ class Words(dict):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
-        special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.old: dict = {}
         self.controls = re.compile("[\x1c-\x1f]")  # blanks for str.split, not for the tokenizer
@@ -101,7 +100,7 @@ class Words(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        if self.special and self.special.search(text):
+        if any(map(text.__contains__, self.special)):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         parts = re.findall("[^ \t\n\r]+", text) if self.controls.search(text) else text.split()
