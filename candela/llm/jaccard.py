@@ -12,12 +12,15 @@ Documents link when ``100 * intersection >= 85 * union``; no link is lost.
   sets share a key of a tile. Keys travel to hash buckets in blobs, one per strip
   of ``STRIP`` bytes and bucket; equal sets of a strip send one.
 * Sets that share a key are candidates. Bitmap signatures sort most out: a shingle flips one of a
-  set's bits (a power of two, four times K or more), so two sets differ in ``popcount(a XOR b)``
+  set's bits (a power of two, sixteen times K or more), so two sets differ in ``popcount(a XOR b)``
   elements or more, and ``|A| + |B|`` less that bounds twice the intersection from above.
 * First only the pairs with a group's first member are looked at, and components are formed
-  of those verified. Then, in groups that still span several components, tiles of at most ``TILE`` x ``TILE`` members
-  compare signatures; only pairs of different components that pass are verified. So a group of many near
-  copies costs one pair per member, and pairs inside a component are not formed.
+  of those verified: a group of many near copies costs one pair per member.
+* Then rounds: in each group that still spans several components, the members outside its largest component (probes) meet
+  all members, in tiles of about ``TILE`` probes and ``TILE`` members. A probe gives the candidates of other
+  components that its signature finds nearest, ``NEAREST[round]`` a tile at most; these are verified and components joined. Near
+  copies that missed the first member so join each other in one or two rounds of few pairs. The last
+  round gives all candidates that are left, so no link between components is lost.
 * Verification intersects the sorted arrays exactly. They lie in a table bucketed by id, so
   that a join moves the pairs, not the arrays of all candidates.
 
@@ -38,10 +41,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import buckets_for, components, expanded, gram_hashes, mix, slices, squeezed, table, text_bytes, word_hashes, words, written
+from candela.llm.common import components, expanded, gram_hashes, mix, slices, squeezed, table, text_bytes, word_hashes, words, written
 from candela.session import checkpoint_dir
 
 SHINGLE, PERCENT, TILE = 4, 85, 1024
+#: candidates of a probe in a tile, by round (None: all)
+NEAREST = (1, 4, None)
+#: bytes of text per bucket of keys, and the most buckets
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 14
 #: bytes of text whose sets a map task holds at once
 STRIP = 8 << 20
 _TWO = np.uint64(0x8BB84B93962EACC9)
@@ -82,7 +89,7 @@ class Bands:
         differ = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
         self.spare = np.array([_spare(n, k) for n, k in zip(edges, differ.tolist())])
         self.segments = differ + 1 + self.spare
-        self.width = 1 << np.maximum(8, np.ceil(np.log2(4 * differ + 1)).astype(int))
+        self.width = 1 << np.maximum(8, np.ceil(np.log2(16 * differ + 1)).astype(int))
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, "right") - 1
@@ -144,8 +151,10 @@ def _fits(na, nb, differ, percent: int):
 
 def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """Rows of three kinds: ``id, n, bits`` (a document; bits where its set is its strip's first of its kind),
-    ``id, same`` (its set equals that of ``same``), ``members, sizes`` (sets that share a key of a tile)."""
-    buckets, bands = buckets_for(docs), Bands(percent)
+    ``id, same`` (its set equals that of ``same``), ``gid, id, n, first, first_n`` (a member of a group of sets that share a key of a
+    tile, and the group's first member). Groups of the same members have one gid."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, bands = min(max(32, math.ceil(total / BUCKET_BYTES)), MOST_BUCKETS), Bands(percent)
     names = ["bucket", "blob", "id", "n", "same", "bits"]
 
     def batch(ids: np.ndarray, col):
@@ -206,14 +215,19 @@ def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
         at = code >> 1
         return np.cumsum(keys), ids[at], n[at], (code & 1).astype(bool)
 
+    kinds = {"id": pa.int64(), "n": pa.int64(), "same": pa.int64(), "bits": pa.binary(), "gid": pa.int64(), "first": pa.int64(), "first_n": pa.int64()}
+
+    def rows(**columns) -> pa.Table:
+        size = len(next(iter(columns.values())))
+        return pa.table({k: columns[k] if k in columns else pa.nulls(size, t) for k, t in kinds.items()})
+
     def meet(t: pa.Table) -> pa.Table:
         plain = t.filter(t.column("blob").is_null())
-        k = plain.num_rows
-        columns = [*(plain.column(c) for c in names[2:]), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int64()))]
-        out = [pa.table(columns, names=names[2:] + ["members", "sizes"])]
+        out = [rows(**{c: plain.column(c) for c in names[2:]})]
         blobs = [read(x.as_py()) for x in t.column("blob") if x.is_valid]
         if blobs:
             keys, ids, n, own = (np.concatenate(x) for x in zip(*blobs))
+            del blobs
             order = np.lexsort((n, ids, keys))
             keys, ids, n, own = keys[order], ids[order], n[order], own[order]
             fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (n[1:] != n[:-1])])
@@ -226,16 +240,14 @@ def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
             keep = np.zeros(len(at), bool)
             keep[once] = True
             keep &= good
-            inside = np.repeat(keep, count)
-            to = np.concatenate([[0], np.cumsum(count[keep])]).astype(np.int32)
-            m = int(keep.sum())
-            none = pa.nulls(m, pa.int64())
-            out.append(pa.table([none, none, none, pa.nulls(m, pa.binary()), pa.ListArray.from_arrays(to, ids[inside]), pa.ListArray.from_arrays(to, n[inside])],
-                                names=names[2:] + ["members", "sizes"]))
+            inside, count = np.repeat(keep, count), count[keep]
+            first = np.repeat(at[keep], count)
+            out.append(rows(id=ids[inside], n=n[inside], gid=np.repeat(lists[keep], count).view(np.int64), first=ids[first], first_n=n[first]))
         return pa.concat_tables(out)
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket long, blob binary, id long, n long, same long, bits binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "id long, n long, same long, bits binary, members array<long>, sizes array<long>")
+    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
+        meet, "id long, n long, same long, bits binary, gid long, first long, first_n long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> str:
@@ -284,57 +296,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _across(groups: DataFrame, comp: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a key and whose signatures allow the similarity."""
-    member = groups.select("gid", F.explode(F.arrays_zip("members", "sizes")).alias("m")).select("gid", F.col("m.members").alias("id"), F.col("m.sizes").alias("n"))
-    member = member.join(comp, "id", "left").select("gid", "id", "n", F.coalesce("component_id", "id").alias("comp"))
-    split = member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / TILE).alias("blocks")).filter("lo < hi").select("gid", "blocks")
+def _across(members: DataFrame, comp: DataFrame, bits: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Pairs of different components that share a key and whose signatures allow the similarity: per probe and
+    tile the ``nearest`` ones, or all."""
+    member = members.select("gid", "id", "n").join(comp.select(F.col("id"), F.col("component_id").alias("root")), "id", "left")
+    member = member.select("gid", "id", "n", F.coalesce("root", "id").alias("comp"))
+    per = member.groupBy("gid", "comp").agg(F.count("*").alias("k"))
+    split = per.groupBy("gid").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count("*").alias("comps"))
+    split = split.filter("comps > 1").select("gid", "major", F.ceil(F.col("all") / TILE).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / TILE).alias("hands"))
     member = member.join(split, "gid").join(bits, ["id", "n"])
-    # a member goes to the tiles of its block with every block: each two members meet in one tile
-    own, other = F.pmod(F.xxhash64("id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = member.select("gid", "id", "n", "comp", "bits", own.alias("own"), other).select(
-        "gid", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "comp", "bits")
+    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n)
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keep = ["gid", "id", "n", "comp", "bits"]
+    targets = member.select(*keep, deal("blocks", 0).alias("x"), up_to("hands").alias("y"), F.lit(False).alias("probe"))
+    probes = member.filter("comp <> major").select(*keep, up_to("blocks").alias("x"), deal("hands", 1).alias("y"), F.lit(True).alias("probe"))
 
     def tile(t: pa.Table) -> pa.Table:
-        own, ids, n, c = (t.column(k).to_numpy() for k in ("own", "id", "n", "comp"))
+        ids, n, c = (t.column(k).to_numpy() for k in ("id", "n", "comp"))
+        probe = t.column("probe").to_numpy(zero_copy_only=False)
         raw = t.column("bits").to_pylist()
-        least = min(map(len, raw))
-        wide = {k: np.array([_folded(r, k) if len(r) >= k else np.zeros(k // 8, np.uint64) for r in raw]) for k in {least, *map(len, raw)}}
         width = np.array([len(r) for r in raw])
-        one = t.column("x")[0].as_py() == t.column("y")[0].as_py()
+        target = np.flatnonzero(~probe)
+        folded: dict = {}
+
+        def of(k: int) -> np.ndarray:
+            if k not in folded:
+                folded[k] = np.array([_folded(raw[i], k) if len(raw[i]) >= k else np.zeros(k // 8, np.uint64) for i in target.tolist()])
+            return folded[k]
+
         a, b = [], []
-        for i in range(len(ids)):
-            to = (np.arange(i + 1, len(ids)) if one else np.flatnonzero(own > own[i]))
-            to = to[(ids[to] != ids[i]) & (c[to] != c[i]) & (100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i]))]
-            for k in np.unique(width[to]).tolist():  # of two widths the smaller one
-                some = to[width[to] == k]
-                k = min(k, int(width[i]))
-                differ = np.bitwise_count(wide[k][some] ^ wide[k][i]).sum(axis=1, dtype=np.int64)
-                some = some[_fits(n[i], n[some], differ, percent)]
+        for i in np.flatnonzero(probe).tolist():
+            to = np.flatnonzero((ids[target] != ids[i]) & (c[target] != c[i]) & (100 * np.minimum(n[target], n[i]) >= percent * np.maximum(n[target], n[i])))
+            found, gaps = [], []
+            for w in np.unique(width[target[to]]).tolist():  # of two widths the smaller one
+                some = to[width[target[to]] == w]
+                k = min(w, int(width[i]))
+                differ = np.bitwise_count(of(k)[some] ^ _folded(raw[i], k)).sum(axis=1, dtype=np.int64)
+                fits = _fits(n[i], n[target[some]], differ, percent)
+                found.append(target[some[fits]])
+                gaps.append(differ[fits])
+            if found:
+                some, gap = np.concatenate(found), np.concatenate(gaps)
+                if nearest is not None:
+                    some = some[np.lexsort((ids[some], gap))[:nearest]]
                 a.append(np.minimum(ids[i], ids[some]))
                 b.append(np.maximum(ids[i], ids[some]))
         return pa.table({"a": np.concatenate(a) if a else ids[:0], "b": np.concatenate(b) if b else ids[:0]})
 
-    return dealt.groupBy("gid", "x", "y").applyInArrow(tile, "a long, b long").distinct()
+    return targets.union(probes).groupBy("gid", "x", "y").applyInArrow(tile, "a long, b long").distinct()
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after new links between them."""
+    root = comp.select("id", "component_id")
+    ends = links
+    for k in "ab":
+        ends = ends.join(root.select(F.col("id").alias(k), F.col("component_id").alias(f"c{k}")), k, "left")
+    new = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    both = root.union(new.select("id", F.col("id").alias("component_id"))).distinct()
+    to = new.select(F.col("id").alias("component_id"), F.col("component_id").alias("to"))
+    return written(both.join(to, "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id")).distinct(), "components")
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """``(id, n)`` per row with a doc_id, and ``(id, component_id)`` of all linked documents."""
     found = written(_groups(docs, percent, size), "shared-keys")
-    groups = written(found.filter("members IS NOT NULL").select("members", "sizes").distinct()
-                     .withColumn("gid", F.monotonically_increasing_id()), "groups")
+    members = found.filter("gid IS NOT NULL").select("gid", "id", "n", "first", "first_n").distinct()
     bits = found.filter("bits IS NOT NULL").select("id", "n", "bits")
-    name = _sets(docs, groups.select(F.explode("members").alias("id")).distinct(), size)
-    sets = docs.sparkSession.table(name)
-    near = F.explode(F.arrays_zip("members", "sizes")).alias("m")
-    first = groups.select(F.col("members")[0].alias("a"), F.col("sizes")[0].alias("n"), near).filter(
-        (F.col("m.members") != F.col("a")) & (F.least("n", "m.sizes") * 100 >= F.greatest("n", "m.sizes") * percent)).select("a", F.col("m.members").alias("b")).distinct()
-    same = found.filter("same IS NOT NULL").select(F.col("id").alias("a"), F.col("same").alias("b"))
-    links = written(_verified(_possible(first, bits, percent), sets, percent).union(same), "links")
-    comp = components(links)
-    more = written(_verified(_across(groups, comp, bits, percent), sets, percent), "links")
-    docs.sparkSession.sql(f"DROP TABLE {name}")
-    return found.filter("n IS NOT NULL").select("id", "n"), components(links.union(more))
+    name = _sets(docs, members.select("id").distinct(), size)
+    try:
+        sets = docs.sparkSession.table(name)
+        near = F.least("n", "first_n") * 100 >= F.greatest("n", "first_n") * percent
+        first = members.filter((F.col("id") != F.col("first")) & near).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+        same = found.filter("same IS NOT NULL").select(F.col("id").alias("a"), F.col("same").alias("b"))
+        comp = components(written(_verified(_possible(first, bits, percent), sets, percent).union(same), "links"))
+        for nearest in NEAREST:
+            links = written(_verified(_across(members, comp, bits, percent, nearest), sets, percent), "links")
+            comp = _joined(comp, links)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    return found.filter("n IS NOT NULL AND gid IS NULL").select("id", "n"), comp
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
