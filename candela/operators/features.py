@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candela.functions.expr import (
-    ema, ema_lookback, fdiv, pct_change, rolling_mean, rolling_std, rolling_sum, series_window,
+    fdiv, pct_change, rolling_mean, rolling_std, rolling_sum, series_window,
 )
+from candela.operators.scan import affine_scan, ema_map
 
 DEFAULT_HORIZONS = (2, 5, 60, 250)
 
@@ -117,12 +118,18 @@ def cum_return(r: str, w: WindowSpec | None = None) -> Column:
     return F.when(wiped, F.lit(0.0)).otherwise(F.exp(F.sum(F.log1p(F.col(r))).over(run)))
 
 
+def with_emas(bars: DataFrame, position: str | None = None, spread: bool = False) -> DataFrame:
+    """``EMA_12``, ``EMA_26`` and ``_signal``, the EMA-9 of their difference, by affine scans over whole series."""
+    x = affine_scan(bars, {"EMA_12": ema_map(F.col("Close"), 12), "EMA_26": ema_map(F.col("Close"), 26)}, position=position, spread=spread)
+    return affine_scan(x, {"_signal": ema_map(F.col("EMA_12") - F.col("EMA_26"), 9)}, position=position, spread=spread)
+
+
 # ------------------------------------------------------------------ profiles
 
 def technical_features(bars: DataFrame, profile: Profile = PIPELINE, keys: tuple = ("Ticker",)) -> DataFrame:
     """C1-C25, C28 for the ``pipeline``, ``prep`` and ``app`` profiles.
 
-    Stages: (1) window values read once each (lags, lead, EMAs, rolling
+    ``bars`` come from ``with_emas``. Stages: (1) window values read once each (lags, lead, rolling
     means); (2) row arithmetic on them; (3) windows over stage-2 columns;
     (4) final arithmetic. Each window aggregate is evaluated exactly once.
     ``keys`` partitions the windows (``halo_features`` adds a bucket key).
@@ -134,8 +141,6 @@ def technical_features(bars: DataFrame, profile: Profile = PIPELINE, keys: tuple
         F.lag("Close", 1).over(w).alias("_pc"),
         F.lag("Volume", 1).over(w).alias("_pv"),
         F.lead("Close", 1).over(w).alias("_nc"),
-        ema(F.col("Close"), 12, w).alias("EMA_12"),
-        ema(F.col("Close"), 26, w).alias("EMA_26"),
         rolling_mean(F.col("Close"), 20, w).alias("BB_Middle"),
         rolling_std(F.col("Close"), 20, w).alias("BB_Std"),
         *[rolling_mean(F.col("Close"), h, w).alias(f"_m{h}") for h in p.horizons],
@@ -163,7 +168,7 @@ def technical_features(bars: DataFrame, profile: Profile = PIPELINE, keys: tuple
         rolling_mean(F.col("_gain"), 14, w).alias("_ag"),
         rolling_mean(F.col("_loss"), 14, w).alias("_al"),
         rolling_std(F.col("_ret"), 10, w).alias("Volatility_10"),
-        ema(F.col("MACD"), 9, w).alias(p.signal),
+        F.col("_signal").alias(p.signal),
         *[trend(h, p.trend_shift, w).alias(f"Trend_{h}") for h in p.horizons],
     )
     s4 = s3.withColumn("RSI", rsi_from(F.col("_ag"), F.col("_al"))).withColumnRenamed("_ret", p.returns)
@@ -184,9 +189,8 @@ def technical_features(bars: DataFrame, profile: Profile = PIPELINE, keys: tuple
     return out.na.drop() if p.dropna_all else out.na.drop(subset=["Target"])
 
 
-# Longest nested lookback of the technical features: the signal EMA (166 rows)
-# over MACD, whose EMA-26 reads 479 rows; one more row for the lags.
-TECH_LOOKBACK = ema_lookback(9) + ema_lookback(26) + 8
+# Longest lookback of the windows: 250 rows of a trend, shifted by 2, and some rows for lags. EMAs are scanned before.
+TECH_LOOKBACK = max(DEFAULT_HORIZONS) + 10
 
 
 from candela.operators.halo import global_row_index, halo_parts  # noqa: E402
@@ -196,11 +200,12 @@ def halo_features(bars: DataFrame, profile: str = "pipeline", rows_per_bucket: i
                   lookback: int = TECH_LOOKBACK) -> DataFrame:
     """``technical_features`` computed on buckets of ``rows_per_bucket`` rows
     per series, each with a copy of the ``lookback`` rows before it and of the
-    first row after it. Every real row sees the same frames as in the
+    first row after it. EMAs, which have no finite lookback, are scanned over whole series before. Every real row sees the same frames as in the
     unbucketed series, so results are identical, while one long series is
     spread over many tasks (a hot ticker no longer lands in one task).
     """
-    parts = halo_parts(bars, lookback, rows_per_bucket, "Date")
+    placed = global_row_index(bars, "Date").withColumnRenamed("_g", "_place")
+    parts = halo_parts(with_emas(placed, "_place", spread=True).drop("_place"), lookback, rows_per_bucket, "Date")
     if profile == "backend":
         return backend_features(parts, keys=("Ticker", "_bucket"))
     return technical_features(parts.drop("_lead_halo"), PROFILES[profile], keys=("Ticker", "_bucket"))
@@ -226,8 +231,6 @@ def backend_features(bars: DataFrame, keys: tuple = ("Ticker",)) -> DataFrame:
         *[F.lag("Close", k).over(w).alias(f"_c{k}") for k in lags],
         F.lead("Close", 1).over(w).alias("_nc"),
         F.lag(fdiv(F.col("High") - F.col("Low"), F.col("Close")), 1).over(w).alias("High_Low_Pct"),
-        ema(F.col("Close"), 12, w).alias("_ema12"),
-        ema(F.col("Close"), 26, w).alias("_ema26"),
         rolling_mean(F.col("Close"), 20, w).alias("_bb_mid"),
         rolling_std(F.col("Close"), 20, w).alias("_bb_std"),
         rolling_mean(F.col("Volume"), 20, w).alias("_vol_mean"),
@@ -246,7 +249,7 @@ def backend_features(bars: DataFrame, keys: tuple = ("Ticker",)) -> DataFrame:
         F.when(delta < 0, -delta).otherwise(F.lit(0.0)).alias("_loss"),
         F.coalesce(F.signum(delta) * F.col("Volume"), F.lit(0.0)).alias("_obv_step"),
         fdiv(F.col("Open") - pc, pc).alias("_gap"),
-        (F.col("_ema12") - F.col("_ema26")).alias("_macd"),
+        (F.col("EMA_12") - F.col("EMA_26")).alias("_macd"),
         fdiv(F.col("Close") - lower, upper - lower).alias("_bb_pos"),
         fdiv(upper - lower, F.col("_bb_mid")).alias("_bb_width"),
         fdiv(F.col("Volume"), F.col("_vol_mean")).alias("_vol_ratio"),
@@ -272,7 +275,6 @@ def backend_features(bars: DataFrame, keys: tuple = ("Ticker",)) -> DataFrame:
         *[rolling_std(F.col("Returns_1d"), k, w, shift=1).alias(f"Volatility_{k}d") for k in BACKEND_VOL_WINDOWS],
         rolling_mean(F.col("_gain"), 14, w).alias("_ag"),
         rolling_mean(F.col("_loss"), 14, w).alias("_al"),
-        ema(F.col("_macd"), 9, w).alias("_signal"),
         running.alias("OBV"),
         F.lag("_gap", 1).over(w).alias("Gap_Pct"),
     )
@@ -319,8 +321,8 @@ def features(bars: DataFrame, profile: str = "pipeline", rows_per_task: int | No
         if longest > rows_per_task:
             return halo_features(bars, profile, rows_per_bucket=rows_per_task)
     if profile == "backend":
-        return backend_features(bars)
-    return technical_features(bars, PROFILES[profile])
+        return backend_features(with_emas(bars))
+    return technical_features(with_emas(bars), PROFILES[profile])
 
 
 def backend_predictors(df: DataFrame) -> list[str]:

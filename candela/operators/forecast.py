@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from candela.functions.expr import clamp, pct_change
 from candela.operators import folds as fo
 from candela.operators.features import w_series
+from candela.operators.trees import Ensemble
 from candela.session import checkpoint_dir
 from candela.sources.reference import business_days
 
@@ -179,31 +180,34 @@ def stitch(history: DataFrame, forecast: DataFrame) -> DataFrame:
     return h.unionByName(conn).unionByName(f)
 
 
-def linear_recursive_directions(spec, model, last_rows: DataFrame, state: DataFrame, predictors: list[str],
-                                horizons: list[int], horizon: int = 30, threshold: float = 0.51,
-                                variant: str = "pipeline") -> DataFrame:
-    """F2/F7 for linear models in one pass: the whole step recursion is a fold
-    (``aggregate`` over ``sequence(1, H)``) whose state is the evolving
-    Close_Ratio/Trend values; the fitted coefficients are literals. The margin
+def folded_directions(spec, model, last_rows: DataFrame, state: DataFrame, predictors: list[str],
+                      horizons: list[int], horizon: int = 30, threshold: float = 0.51,
+                      variant: str = "pipeline") -> DataFrame:
+    """F2/F7 for models that are an expression (linear ones, tree ensembles) in one pass: the whole step recursion
+    is a fold (``aggregate`` over ``sequence(1, H)``) whose state is the evolving
+    Close_Ratio/Trend values; coefficients or tree arrays are literals. A linear margin
     is computed as the fitted model does (dot product, then intercept); the
     probabilities agree with ``model.transform`` to about one ulp.
     """
-    est = model.stages[-1]
-    w = [float(v) for v in est.coefficients.toArray()]
-    b = float(est.intercept)
+    trees = isinstance(model.model, Ensemble)
+    if not trees:
+        est = model.stages[-1]
+        w = [float(v) for v in est.coefficients.toArray()]
+        b = float(est.intercept)
     x = last_rows.join(state.select("Ticker", "start", "mu", "sigma", "hist_avg", "r20"), "Ticker")
     feats = [c for h in horizons for c in (f"Close_Ratio_{h}", f"Trend_{h}")]
     empty = F.array().cast("array<struct<step:int,Prediction:int,Probability:double>>")
     init = F.struct(*[F.col(c).cast("double").alias(c) for c in feats], empty.alias("out"))
 
     def merge(acc, i):
-        dot = None
-        for c, wc in zip(predictors, w):
-            term = acc[c] * F.lit(wc)
-            dot = term if dot is None else dot + term
-        margin = dot + F.lit(b)
-        if spec.output == "proba":
-            prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+        if not trees:
+            dot = None
+            for c, wc in zip(predictors, w):
+                term = acc[c] * F.lit(wc)
+                dot = term if dot is None else dot + term
+            margin = dot + F.lit(b)
+        if trees or spec.output == "proba":
+            prob = model.model.probability([acc[c] for c in predictors]) if trees else F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
             up = prob >= threshold
         else:
             prob = F.lit(None).cast("double")
@@ -229,9 +233,8 @@ LINEAR_MODELS = ("LogisticRegressionModel", "LinearRegressionModel")
 def model_directions(spec, model, last_rows: DataFrame, state: DataFrame, predictors: list[str],
                      horizons: list[int], horizon: int = 30, threshold: float = 0.51,
                      variant: str = "pipeline") -> DataFrame:
-    """one-pass fold for linear models, step loop for everything else."""
+    """one-pass fold for linear models and tree ensembles, step loop for everything else."""
     plain = not model.prep and model.rff is None and model.calib is None
-    if plain and type(model.stages[-1]).__name__ in LINEAR_MODELS:
-        return linear_recursive_directions(spec, model, last_rows, state, predictors, horizons, horizon,
-                                           threshold, variant)
+    if isinstance(model.model, Ensemble) or plain and not spec.knn and type(model.stages[-1]).__name__ in LINEAR_MODELS:
+        return folded_directions(spec, model, last_rows, state, predictors, horizons, horizon, threshold, variant)
     return recursive_directions(spec, model, last_rows, state, horizons, horizon, threshold, variant)

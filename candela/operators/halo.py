@@ -29,11 +29,12 @@ def global_row_index(df: DataFrame, order: str = "Date", chunk: Column | None =
     chunk = chunk if chunk is not None else F.date_trunc("month", F.col(order))
     c = df.withColumn("_chunk", chunk)
     counts = c.groupBy("Ticker", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("Ticker", "_chunk", F.coalesce(F.sum("_n").over(
+    offs = counts.select(F.col("Ticker").alias("_off_t"), F.col("_chunk").alias("_off_c"), F.coalesce(F.sum("_n").over(
         Window.partitionBy("Ticker").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
     rn = F.row_number().over(Window.partitionBy("Ticker", "_chunk").orderBy(order)) - 1
-    return c.join(offs, ["Ticker", "_chunk"]).withColumn("_g", F.col("_off") + rn).drop("_chunk", "_off")
+    same = F.col("Ticker").eqNullSafe(F.col("_off_t")) & F.col("_chunk").eqNullSafe(F.col("_off_c"))  # a null ticker is a series too
+    return c.join(offs, same).withColumn("_g", F.col("_off") + rn).drop("_chunk", "_off", "_off_t", "_off_c")
 
 
 def halo_parts(df: DataFrame, lookback: int, rows_per_bucket: int, order: str = "Date",

@@ -1,15 +1,18 @@
-"""Model registry (M3-M14) and the walk-forward back-test for pyspark.ml models.
+"""Model registries (M3-M19) and the walk-forward back-test.
 
-A model is ``ModelSpec``: a factory for a ``pyspark.ml`` estimator plus how
-its output becomes a 0/1 prediction:
+A model is a ``ModelSpec``: what fits it, plus how its output becomes a 0/1 prediction:
 
 * ``proba``: P(class 1) >= threshold (classifiers with probabilities),
 * ``score``: regression score >= threshold (linear/lasso/elastic net on 0/1),
 * ``sign``:  regression score > 0 on labels in {-1, 1} (ridge classifier).
 
+``build`` makes a ``pyspark.ml`` estimator; ``trees`` names a ``Boost`` or a ``Forest``, which
+``operators.boosting`` and ``operators.forest`` grow for all models and folds of a call together; ``knn`` is
+the exact neighbour vote of ``operators.knn``.
+
 Fits are pooled over the panel: one fit per (model, fold) on every ticker's
 rows with ``d < train_end``. Fits are distributed Spark jobs; the driver only
-loops over the (model, fold) pairs, whose number is bounded by the registry
+loops over the (model, fold) pairs of ``pyspark.ml`` models, whose number is bounded by the registry
 and the calendar, and submits them from a small thread pool.
 """
 
@@ -24,8 +27,7 @@ from pyspark.ml import Pipeline
 import math
 
 import numpy as np
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,7 +35,15 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candela.operators import boosting as bo
 from candela.operators import folds as fo
+from candela.operators import forest as fr
+from candela.operators import knn as kn
+from candela.operators import trees as tr
+from candela.operators.boosting import Boost
+from candela.operators.forest import Forest
+from candela.operators.trees import Ensemble, Fold
+from candela.session import written
 
 
 #: the long table that every back-test returns
@@ -51,10 +61,11 @@ class FitContext:
 class ModelSpec:
     name: str
     ordinal: int
-    build: Callable[[FitContext], object] = field(repr=False)
+    build: Callable[[FitContext], object] | None = field(repr=False, default=None)
     output: str = "proba"          # proba | score | sign | state
     has_probability: bool = True
-    key: tuple = ()                # identical keys share one fit per fold
+    trees: object = None           # Boost or Forest
+    knn: tuple | None = None       # (k, metric, weights)
     label: str | None = None       # regression target column (default: Target)
     balanced: bool = False         # class weights n / (2 n_class) on each training fold
     scale: str | None = None       # 'pop' (ddof 0), 'samp' (ddof 1 + 1e-8) per-fold z-score
@@ -62,18 +73,6 @@ class ModelSpec:
     platt: bool = False            # calibrate a margin to a probability with a logistic fit
 
 
-def _rf(n, depth, leaf=1, bootstrap=True):
-    return lambda ctx: RandomForestClassifier(
-        numTrees=n, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt",
-        bootstrap=bootstrap, seed=42, labelCol="label")
-
-
-def _gbt(n, depth, lr, bins=32, subsample=1.0):
-    return lambda ctx: GBTClassifier(
-        maxIter=n, maxDepth=depth, stepSize=lr, maxBins=bins, subsamplingRate=subsample,
-        seed=42, labelCol="label")
-
-
 def _logistic(max_iter, c=1.0):
     # L2 with C: regParam = 1/(C n) on the mean loss; no internal standardization
     return lambda ctx: LogisticRegression(
@@ -107,19 +106,6 @@ def _elastic(alpha, l1_ratio):
     return build
 
 
-# The 'pipeline' registry presets, in registry order.
-PIPELINE_REGISTRY = [
-    ModelSpec("RandomForest", 0, _rf(200, 15, leaf=10)),
-    ModelSpec("GradientBoosting", 1, _gbt(150, 8, 0.1)),
-    ModelSpec("ExtraTrees", 2, _rf(200, 15, bootstrap=False)),
-    ModelSpec("HistGradientBoosting", 3, _gbt(200, 10, 0.1, bins=255)),
-    ModelSpec("LogisticRegression", 4, _logistic(1000)),
-    ModelSpec("Ridge", 5, _ridge(1.0), output="sign", has_probability=False),
-    ModelSpec("XGBoost", 8, _gbt(200, 8, 0.1), key=("gbt", 200, 8, 0.1)),
-    ModelSpec("LightGBM", 9, _gbt(200, 8, 0.1), key=("gbt", 200, 8, 0.1)),
-    ModelSpec("CatBoost", 10, _gbt(200, 8, 0.1), key=("gbt", 200, 8, 0.1)),
-]
-
 # Module-level models (linear family with the single-model presets).
 MODULE_MODELS = [
     ModelSpec("LinearRegression", 20, _linear(), output="score", has_probability=False),
@@ -144,11 +130,49 @@ def _l2_linear(reg_fn, intercept=True):
                                         fitIntercept=intercept, solver="normal", labelCol="label")
 
 
-# Per-module presets (balanced logistic; scaled kernel models).
+SVC_RFF = (200, None, 42)
+
+
+def _pipeline_svc():
+    # M16 re-aimed: random Fourier features of the z-scored inputs, a linear SVM, Platt's calibration
+    return ModelSpec("SVC", 7, _svc(1.0), scale="pop", rff=SVC_RFF, platt=True)
+
+
+# The 'pipeline' registry presets, in registry order; what the libraries default to is spelt out.
+PIPELINE_REGISTRY = [
+    ModelSpec("RandomForest", 0, trees=Forest(200, 15, leaf=10, split=20)),
+    ModelSpec("GradientBoosting", 1, trees=Boost(150, 8, first_order=True)),
+    ModelSpec("ExtraTrees", 2, trees=Forest(200, 15, bootstrap=False, random_cuts=True)),
+    ModelSpec("HistGradientBoosting", 3, trees=Boost(200, 10, growth="leaf", leaves=31, leaf=20)),
+    ModelSpec("LogisticRegression", 4, _logistic(1000)),
+    ModelSpec("Ridge", 5, _ridge(1.0), output="sign", has_probability=False),
+    ModelSpec("KNN", 6, knn=(10, "euclidean", "uniform")),
+    _pipeline_svc(),
+    ModelSpec("XGBoost", 8, trees=Boost(200, 8, l2=1.0, hessian=1.0)),
+    ModelSpec("LightGBM", 9, trees=Boost(200, 8, growth="leaf", leaves=31, leaf=20, hessian=1e-3)),
+    ModelSpec("CatBoost", 10, trees=Boost(200, 8, growth="oblivious", l2=3.0, prior=False)),
+]
+
+# The presets of the comparison runner.
+COMPARISON_REGISTRY = [
+    ModelSpec("RandomForest", 0, trees=Forest(300, 18, leaf=15, split=30)),
+    ModelSpec("GradientBoosting", 1, trees=Boost(200, 10, first_order=True)),
+    ModelSpec("ExtraTrees", 2, trees=Forest(300, 18, bootstrap=False, random_cuts=True)),
+    ModelSpec("HistGradientBoosting", 3, trees=Boost(250, 12, growth="leaf", leaves=31, leaf=20)),
+    ModelSpec("LogisticRegression", 4, _logistic(2000)),
+    ModelSpec("RidgeClassifier", 5, _ridge(1.0), output="sign", has_probability=False),
+    ModelSpec("KNN", 6, knn=(15, "euclidean", "distance")),
+    _pipeline_svc(),
+    ModelSpec("XGBoost", 8, trees=Boost(250, 10, l2=1.0, hessian=1.0)),
+    ModelSpec("LightGBM", 9, trees=Boost(250, 10, growth="leaf", leaves=31, leaf=20, hessian=1e-3)),
+    ModelSpec("CatBoost", 10, trees=Boost(250, 10, growth="oblivious", l2=3.0, prior=False)),
+]
+
+# Per-module presets (balanced logistic and forests, scaled kernel models, slower boosting).
 MODULE_SPECS = [
     ModelSpec("LogisticRegressionBalanced", 40, _logistic(1000), balanced=True),
     # M16-M19 re-aimed: random Fourier features of the z-scored inputs, then a linear model
-    ModelSpec("SVC", 7, _svc(1.0), balanced=True, scale="pop", rff=(200, None, 42), platt=True),
+    ModelSpec("SVCBalanced", 46, _svc(1.0), balanced=True, scale="pop", rff=SVC_RFF, platt=True),
     ModelSpec("SVR", 41, _l2_linear(lambda ctx: (ctx.label_std or 1.0) / max(ctx.n_train, 1)), output="score",
               has_probability=False, scale="pop", rff=(200, None, 42)),
     ModelSpec("KernelRidge", 42, _l2_linear(lambda ctx: (ctx.label_std or 1.0) / max(ctx.n_train, 1), False),
@@ -156,6 +180,14 @@ MODULE_SPECS = [
     ModelSpec("GaussianProcess", 43, _logistic(1000), scale="pop", rff=(200, 0.5, 42)),
     # backend profile: per-fold z-score with ddof 1 and +1e-8
     ModelSpec("LogisticRegressionZ", 44, _logistic(2000), balanced=True, scale="samp"),
+    ModelSpec("RandomForestModule", 50, trees=Forest(200, 10, leaf=15, split=30, balanced=True, seed=1)),
+    ModelSpec("ExtraTreesModule", 51, trees=Forest(500, 20, leaf=15, split=30, bootstrap=False, random_cuts=True, balanced=True, seed=1)),
+    ModelSpec("GradientBoostingModule", 52, trees=Boost(200, 5, 0.05, first_order=True, rows=0.8, split=20, leaf=10, seed=1)),
+    ModelSpec("HistGradientBoostingModule", 53, trees=Boost(200, 6, 0.05, growth="leaf", leaves=31, leaf=20, l2=1.0, seed=1)),
+    ModelSpec("XGBoostModule", 54, trees=Boost(500, 6, 0.05, rows=0.8, columns=0.8, hessian=5.0, gain=0.1, l1=0.1, l2=1.0, seed=1)),
+    # row sampling without a sampling frequency stays off in this library
+    ModelSpec("LightGBMModule", 55, trees=Boost(500, 6, 0.05, growth="leaf", leaves=31, columns=0.8, leaf=20, hessian=1e-3, l1=0.1, l2=1.0, seed=1)),
+    ModelSpec("CatBoostModule", 56, trees=Boost(500, 6, 0.05, growth="oblivious", l2=3.0, prior=False, seed=1)),
 ]
 
 # M20 re-aimed: a 3-component Gaussian mixture (full covariance) as the regime
@@ -192,7 +224,7 @@ def _label(spec: ModelSpec) -> F.Column:
 class Fitted:
     """A fitted model plus the column preparation learnt on its training fold."""
     spec: ModelSpec
-    model: object
+    model: object                                # a pyspark.ml pipeline, an Ensemble, or the rows that vote (KNN)
     inputs: list[str]
     prep: dict = field(default_factory=dict)     # column name -> expression (per-fold scaling)
     rff: tuple | None = None                     # (omega p x D, phase D) of the random-feature map
@@ -257,7 +289,18 @@ def _features(df: DataFrame, prep: dict, inputs: list[str], rff) -> DataFrame:
 
 
 def fit(spec: ModelSpec, train: DataFrame, predictors: list[str]) -> Fitted:
-    """Fit preparation + features + estimator on ``train`` (one training fold)."""
+    """Fit preparation + features + estimator on ``train`` (one training fold; ``Ticker`` and ``Date`` name its rows)."""
+    if spec.trees:
+        rows, one = train.withColumn("d", F.lit(0)), [Fold(0, 1)]
+        if isinstance(spec.trees, Boost):
+            fitted = bo.boost(rows, predictors, [spec.trees], one, ["Ticker", "Date"])
+            fitted[-1].unpersist()
+            return Fitted(spec, bo.ensembles(fitted, len(predictors))[0][0], predictors)
+        trees, edges, blocks = fr.grow(rows, predictors, [spec.trees], one, ["Ticker", "Date"])
+        blocks.unpersist()
+        return Fitted(spec, fr.ensembles(trees, [spec.trees], edges, len(predictors))[0][0], predictors)
+    if spec.knn:
+        return Fitted(spec, train.select("Ticker", "Date", "Target", *predictors), predictors)
     base = train.select(*predictors, _label(spec).alias("label")).where(F.col("label").isNotNull())
     prep, inputs, rff = _prepare(spec, base, predictors)
     t = _features(base, prep, inputs, rff).select("features", "label")
@@ -283,6 +326,14 @@ def fit(spec: ModelSpec, train: DataFrame, predictors: list[str]) -> Fitted:
 
 def score(spec: ModelSpec, fitted, rows: DataFrame, threshold: float = 0.51) -> DataFrame:
     """Append ``probability`` (P(class 1), null without one) and ``Predictions``."""
+    if spec.trees or spec.knn:
+        if spec.trees:
+            out = rows.withColumn("probability", fitted.model.probability([F.col(c) for c in fitted.inputs]))
+        else:  # rows are named by ticker alone
+            k, metric, weights = spec.knn
+            asked = rows.select("Ticker", F.lit("1970-01-01").cast("date").alias("Date"), *fitted.inputs)
+            out = rows.join(kn.knn_fold(fitted.model, asked, fitted.inputs, k, metric, weights).drop("Date"), "Ticker")
+        return out.withColumn("Predictions", (F.col("probability") >= threshold).cast("int"))
     out = fitted.model.transform(_features(rows, fitted.prep, fitted.inputs, fitted.rff))
     out = out.drop("features")
     if fitted.calib is not None:
@@ -311,7 +362,8 @@ def backtest(df: DataFrame, predictors: list[str], specs: list[ModelSpec],
     """Walk-forward predictions of every model, as one long table.
 
     ``df`` must hold ``Ticker, Date, Target, fwd_return`` and the predictors.
-    It is persisted once; every fit and test scan reads the cached rows.
+    It is persisted while the models are fitted; the predictions are written to the shared folder, so
+    nothing stays cached when they are read.
     """
     df = df.persist()                                 # features are computed once for all fits
     cal = fo.calendar(df).persist()                   # one row per date
@@ -319,26 +371,70 @@ def backtest(df: DataFrame, predictors: list[str], specs: list[ModelSpec],
     fold_table = fo.folds(cal, wf).persist()          # one row per fold (bounded by calendar / step)
     fold_rows = fold_table.collect()
     tests = fo.assign_test(data, fold_table)
-    groups: dict = {}
-    for s in specs:                                   # presets with equal keys are fitted once
-        groups.setdefault(s.key or (s.name,), []).append(s)
-    jobs = [(g, r) for g in groups.values() for r in fold_rows]
+    jobs = [(s, r) for s in specs if s.build for r in fold_rows]
 
     def run(job):
-        same, r = job
-        spec = same[0]
+        spec, r = job
         model = fit(spec, fo.train_rows(data, r["train_end"]), predictors)
         t = tests.where(F.col("fold_id") == r["fold_id"])
-        scored = score(spec, model, t, threshold).select(
-            "fold_id", "Ticker", "Date", "Target", "probability", "Predictions", "fwd_return")
-        names = F.explode(F.array(*[F.lit(s.name) for s in same])) if len(same) > 1 else F.lit(spec.name)
-        return scored.select(names.alias("model"), *scored.columns)
+        return score(spec, model, t, threshold).select(
+            F.lit(spec.name).alias("model"), "fold_id", "Ticker", "Date", "Target", "probability", "Predictions", "fwd_return")
 
-    with ThreadPoolExecutor(max_workers=max_parallel) as ex:
-        parts = list(ex.map(run, jobs))
+    parts = []
+    if fold_rows:
+        with ThreadPoolExecutor(max_workers=max_parallel) as ex:
+            parts = list(ex.map(run, jobs))
+        parts += [_knn_rows(data, tests, predictors, s, fold_rows, threshold) for s in specs if s.knn]
+        parts += _tree_rows(data, predictors, specs, fold_rows, threshold)
     if not parts:
         return df.sparkSession.createDataFrame([], PREDICTION_SCHEMA)
-    return reduce(DataFrame.unionByName, parts)
+    out = written(reduce(DataFrame.unionByName, parts), "predictions")
+    for x in (fold_table, data, cal, df):
+        x.unpersist()
+    return out
+
+
+def _knn_rows(data: DataFrame, tests: DataFrame, predictors: list[str], spec: ModelSpec, fold_rows, threshold: float) -> DataFrame:
+    k, metric, weights = spec.knn
+    out = []
+    for r in fold_rows:
+        train = fo.train_rows(data, r["train_end"]).select("Ticker", "Date", "Target", *predictors)
+        if train.limit(k).count() < k:
+            raise ValueError(f"fold {r['fold_id']} has fewer than k = {k} training rows")
+        t = tests.where(F.col("fold_id") == r["fold_id"])
+        p = kn.knn_fold(train, t.select("Ticker", "Date", *predictors), predictors, k, metric, weights)
+        out.append(t.join(p, ["Ticker", "Date"]).select(
+            F.lit(spec.name).alias("model"), "fold_id", "Ticker", "Date", "Target", "probability",
+            (F.col("probability") >= threshold).cast("int").alias("Predictions"), "fwd_return"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _tree_rows(data: DataFrame, predictors: list[str], specs: list[ModelSpec], fold_rows, threshold: float) -> list[DataFrame]:
+    """Test rows of the boosted models and of the forests: one call for each kind."""
+    spark = data.sparkSession
+    folds = [Fold(r["fold_id"], r["train_end"], r["test_start"], r["test_end"]) for r in fold_rows]
+    keep = ["Ticker", "Date", "Target", "fwd_return"]
+    schema = ", ".join(f"{c} {data.schema[c].dataType.simpleString()}" for c in keep)
+    out = []
+    for kind in (Boost, Forest):
+        mine = [s for s in specs if isinstance(s.trees, kind)]
+        if not mine:
+            continue
+        params = [s.trees for s in mine]
+        if kind is Boost:
+            state = bo.boost(data, predictors, params, folds, keep)[-1]
+            scored, held = tr.scored_rows(state, folds, len(mine), schema, spark), state
+            probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("score")))
+        else:
+            trees, _, held = fr.grow(data, predictors, params, folds, keep)
+            scored = tr.scored_rows(fr.scores(trees, params, held), folds, len(mine), schema, spark)
+            probability = F.col("score")
+        rows = written(scored, "scores")
+        held.unpersist()
+        name = F.element_at(F.array(*[F.lit(s.name) for s in mine]), F.col("spec") + 1)
+        out.append(rows.select(name.alias("model"), "fold_id", "Ticker", "Date", "Target", probability.alias("probability"),
+                               (probability >= threshold).cast("int").alias("Predictions"), "fwd_return"))
+    return out
 
 
 def registry_frame(spark, specs: list[ModelSpec]) -> DataFrame:
@@ -346,11 +442,9 @@ def registry_frame(spark, specs: list[ModelSpec]) -> DataFrame:
                                  "model string, ordinal int, has_probability boolean")
 
 
-def feature_importance(model, predictors: list[str]) -> list[tuple[str, float]]:
-    """D-26: (feature, importance) of a fitted tree ensemble, descending."""
-    est = model.model.stages[-1] if isinstance(model, Fitted) else model.stages[-1]
-    imp = est.featureImportances.toArray()
-    return sorted(zip(predictors, map(float, imp)), key=lambda kv: -kv[1])
+def feature_importance(model: Fitted, predictors: list[str]) -> list[tuple[str, float]]:
+    """D-26: (feature, share of the splits' gains) of a fitted tree ensemble, descending."""
+    return sorted(zip(predictors, map(float, model.model.importance)), key=lambda kv: -kv[1])
 
 
 # ---------------------------------------------------------------- seasonal AR(I)MA re-aims

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.expr import inv_normal
 from candela.operators.features import w_series
+from candela.operators.scan import affine_scan, product_map
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
@@ -147,10 +148,7 @@ def price_range(bars: DataFrame) -> DataFrame:
     return bars.select("Ticker", "Date", "High", "Low", "Close")
 
 
-def cumulative_return(df: DataFrame, col: str) -> DataFrame:
-    """Running product of (1 + r) per ticker (0 after a total loss)."""
-    run = w_series().rowsBetween(Window.unboundedPreceding, 0)
-    r = F.col(col)
-    wiped = F.min(r).over(run) <= -1
-    cum = F.when(wiped, F.lit(0.0)).otherwise(F.exp(F.sum(F.log1p(r)).over(run)))
-    return df.select("Ticker", "Date", col, cum.alias("cum_return"))
+def cumulative_return(df: DataFrame, col: str, position: str | None = None, spread: bool = False) -> DataFrame:
+    """Running product of (1 + r) per ticker, 0 from the first r <= -1 on (an affine scan, exact for any length)."""
+    grown = F.greatest(1 + F.col(col), F.lit(0.0))
+    return affine_scan(df, {"cum_return": product_map(grown)}, position=position, spread=spread).select("Ticker", "Date", col, "cum_return")

@@ -578,12 +578,12 @@ for _key, _names, _doc in [
     ("model_linear", ["LinearRegression"], "M3: least squares on the 0/1 target, score >= threshold."),
     ("model_lasso", ["Lasso"], "M5: lasso (alpha .001), score >= threshold."),
     ("model_elastic_net", ["ElasticNet"], "M6: elastic net (alpha .001, l1 ratio .5), score >= threshold."),
-    ("model_rf", ["RandomForest"], "M8: random forest (200 trees, depth 15, leaf 10, sqrt features)."),
-    ("model_extra_trees", ["ExtraTrees"], "M9: randomised trees without bootstrap (200, depth 15)."),
-    ("model_gbt", ["GradientBoosting"], "M10: gradient-boosted trees (150, depth 8, step .1)."),
-    ("model_hist_gbt", ["HistGradientBoosting"], "M11: gradient-boosted trees on 255 bins (200, depth 10)."),
+    ("model_rf", ["RandomForest"], "M8: random forest (200 trees, depth 15, split 20, leaf 10, sqrt features)."),
+    ("model_extra_trees", ["ExtraTrees"], "M9: randomised trees, random cuts, without bootstrap (200, depth 15)."),
+    ("model_gbt", ["GradientBoosting"], "M10: gradient-boosted trees (150, depth 8, step .1), splits by the gradients' variance."),
+    ("model_hist_gbt", ["HistGradientBoosting"], "M11: Newton boosting, best leaf first (200, depth 10, 31 leaves of 20 rows)."),
     ("model_boosted_presets", ["XGBoost", "LightGBM", "CatBoost"],
-     "M12-M14: the three boosting presets (200, depth 8, step .1), one shared fit per fold."),
+     "M12-M14: level-wise with L2, best leaf first, and oblivious trees (200, depth 8, step .1), grown together."),
 ]:
     register(_key)(_backtest_query(_names, _doc))
 
@@ -595,7 +595,7 @@ def q_model_ar_drift(spark, d):
     return mo.backtest(x, preds, [mo.AR_MODEL])
 
 
-#: the linear family; the whole registry is compared by ``comparison_all``
+#: the linear family of ``model_comparison``; the whole registry is compared by ``comparison_all``
 LINEAR_FAMILY = ["LogisticRegression", "Ridge", "LinearRegression", "Lasso", "ElasticNet"]
 
 
@@ -607,7 +607,7 @@ def q_model_comparison(spark, d):
 
 @register("comparison_all")
 def q_comparison_all(spark, d):
-    """E13/D-21: metrics and precision rank of the whole pipeline registry and both baselines."""
+    """E13/D-21: metrics and precision rank of the pipeline registry's eleven models and both baselines."""
     return ev.compare_models(_model_input(spark, d), PIPE_PREDICTORS, mo.PIPELINE_REGISTRY)
 
 
@@ -702,8 +702,8 @@ def q_forecast_model(spark, d):
 
 @register("forecast_model_trees")
 def q_forecast_model_trees(spark, d):
-    """F1/F2/F7 with a tree model (random forest preset): the step loop with
-    periodic reliable checkpoints."""
+    """F1/F2/F7 with a tree model (random forest preset): its trees are arrays that one
+    expression walks, so the recursion over the steps is one pass."""
     df = _pipe_engineered(spark, d).persist()
     state = fc.series_state(df, 0.7)
     cal = fo.calendar(df)
@@ -717,16 +717,16 @@ def q_forecast_model_trees(spark, d):
 
 @register("forecast_winner")
 def q_forecast_winner(spark, d):
-    """D-22/F1-F7: the best model of the linear family, refitted, forecasts 30 steps."""
+    """D-22/F1-F7: the best of the registry's eleven models, refitted, forecasts 30 steps."""
     df = _model_input(spark, d)
-    return ev.winner_forecast(df, PIPE_PREDICTORS, [mo.REGISTRY[n] for n in LINEAR_FAMILY], [5, 60], H)[1]
+    return ev.winner_forecast(df, PIPE_PREDICTORS, mo.PIPELINE_REGISTRY, [5, 60], H)[1]
 
 
 @register("result_winner")
 def q_result_winner(spark, d):
     """The result document of the winner's forecast."""
     df = _model_input(spark, d)
-    comp, path = ev.winner_forecast(df, PIPE_PREDICTORS, [mo.REGISTRY[n] for n in LINEAR_FAMILY], [5, 60], H)
+    comp, path = ev.winner_forecast(df, PIPE_PREDICTORS, mo.PIPELINE_REGISTRY, [5, 60], H)
     return rp.result_lines(df.select("Ticker", "Date", "Close"), path, comp, _headline(df, path))
 
 
@@ -966,7 +966,7 @@ def _module_query(name: str, doc: str):
 for _key, _name, _doc in [
     ("module_logistic", "LogisticRegressionBalanced",
      "L3/M7: balanced logistic regression on the module features (horizons to 1000), expanding folds."),
-    ("svc_rff", "SVC", "M16 (re-aimed): RBF random features of z-scored inputs -> linear SVM -> Platt probability."),
+    ("svc_rff", "SVCBalanced", "M16 (re-aimed): RBF random features of z-scored inputs -> linear SVM -> Platt probability."),
     ("svr_rff", "SVR", "M17 (re-aimed): RBF random features -> L2 least squares, score >= threshold."),
     ("kernel_ridge_rff", "KernelRidge", "M18 (re-aimed): RBF(gamma .1) random features -> ridge without intercept."),
     ("gp_rff", "GaussianProcess", "M19 (re-aimed): RBF(length 1) random features -> L2 logistic (MAP)."),
@@ -1153,8 +1153,8 @@ def q_forecast_fallback_legacy(spark, d):
 
 @register("evaluate_models")
 def q_evaluate_models(spark, d):
-    """Linear-family registry evaluated with guards; failures are rows."""
-    return ev.evaluate_models(_model_input(spark, d), PIPE_PREDICTORS, [mo.REGISTRY[n] for n in LINEAR_FAMILY])
+    """The registry's eleven models evaluated with guards; failures are rows."""
+    return ev.evaluate_models(_model_input(spark, d), PIPE_PREDICTORS, mo.PIPELINE_REGISTRY)
 
 
 # ------------------------------------------------------------------ exact KNN
