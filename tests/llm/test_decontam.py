@@ -1,5 +1,6 @@
 """Decontamination: every planted passage within the budget is found, clean texts stay."""
 
+import pickle
 import random
 import re
 
@@ -26,8 +27,36 @@ def least_edits(seg, text):
     return int(row.min())
 
 
-def brute(texts, segments):
-    return {(i, s) for i, t in enumerate(texts) for s, seg in enumerate(segments.text) if least_edits(seg.tobytes(), fold(t)) <= segments.edits[s]}
+def passages_of(items):
+    """(item, passage) by the stated rule, plainly."""
+    out = set()
+    for i, text in items:
+        x = fold(text)
+        if len(x) < decontam.MIN_BYTES:
+            continue
+        words, found = x.split(b" "), set()
+        for a in range(len(words) - decontam.WORDS + 1):
+            for b in range(a + decontam.WORDS, len(words) + 1):
+                p = b" ".join(words[a:b])
+                if len(p) >= decontam.MIN_BYTES:
+                    found.add(p[: decontam.LONGEST])
+                    break
+        out |= {(i, p) for p in found or {x[: decontam.LONGEST]}}
+    return out
+
+
+def brute(texts, items):
+    return {(r, i, p) for r, t in enumerate(texts) for i, p in passages_of(items) if least_edits(p, fold(t)) <= int(decontam.EDITS * len(p))}
+
+
+def found(passages, texts):
+    row, some, _ = passages.search(pa.array([t and t.lower() for t in texts]))
+    out = set()
+    for r, s in zip(row.tolist(), some.tolist()):
+        o = passages.owner[s]
+        a = passages.base[o] + passages.head[s]
+        out.add((r, passages.item[o], passages.text[a: a + passages.size[s]].tobytes()))
+    return out
 
 
 def test_normalisation():
@@ -52,9 +81,42 @@ def test_equal_to_plain_alignment():
         parts.insert(rng.randint(0, 1), "".join(t).upper() if rng.random() < .3 else "".join(t).replace(" ", ", "))
         texts.append(" ".join(parts))
     texts += ["", None, "a", "the " * 30_000, items[0][1] * 400]
-    segments = decontam.Segments(items)
-    row, seg, _ = segments.search(pa.array([t and t.lower() for t in texts]))
-    assert set(zip(row.tolist(), seg.tolist())) == brute(texts, segments)
+    assert found(decontam.Passages(items), texts) == brute(texts, items)
+
+
+def test_every_length_and_edit_count():
+    rng = random.Random(4)
+    for n in range(24, 201):
+        item = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))  # one word
+        k = int(decontam.EDITS * min(n, decontam.LONGEST))
+        passages = decontam.Passages([(1, item)])
+        texts = []
+        for edits in range(k + 2):
+            for _ in range(3):
+                t = list(item)
+                for at in rng.sample(range(min(n, decontam.LONGEST)), edits):
+                    t[at] = rng.choice(["", "z", t[at] + "z"])
+                texts.append("x " + "".join(t) + " y")
+        assert found(passages, texts) == brute(texts, [(1, item)]), n
+
+
+def test_thirteen_words_from_every_place():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeiourstln") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    other = ["".join(rng.choice("bcdfghkm") for _ in range(6)) for _ in range(40)]
+    passages = decontam.Passages([(7, " ".join(words))])
+    texts = [" ".join(other[:20] + words[a:a + decontam.WORDS] + other[20:]) for a in range(48)]
+    row, _, _ = passages.search(pa.array(texts))
+    assert set(row.tolist()) == set(range(48))
+    none, _, _ = passages.search(pa.array([" ".join(other[:20] + words[a:a + 8] + other[20:]) for a in range(52)]))
+    assert not len(none)
+
+
+def test_index_is_bounded():
+    rng = random.Random(6)
+    items = [(i, " ".join("".join(rng.choice("abcdeilnorstu") for _ in range(rng.randint(2, 9))) for _ in range(60))) for i in range(600)]
+    fixed = len(pickle.dumps(decontam.Passages(items[:1])))
+    assert len(pickle.dumps(decontam.Passages(items))) - fixed <= decontam.INDEX_PER_BYTE * sum(len(t) for _, t in items)
 
 
 def test_queries_and_edges(spark):
@@ -64,9 +126,8 @@ def test_queries_and_edges(spark):
     texts = {r.doc_id: fold(r.text) for r in docs.collect()}
     whole = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
     assert whole and whole <= got
-    segments = decontam.Segments([(i, x.decode()) for i, x in items.items()])
-    for d, i in got - whole:  # anything else holds one segment within the budget
-        assert any(least_edits(s.tobytes(), texts[d]) <= k for s, k, x in zip(segments.text, segments.edits, segments.item) if x == i)
+    for d, i in got - whole:  # anything else holds one passage within the budget
+        assert any(least_edits(p, texts[d]) <= int(decontam.EDITS * len(p)) for _, p in passages_of([(i, items[i].decode())]))
     kept = decontam.drop_contaminated(docs.withColumn("item_id", docs["doc_id"]).withColumn("_folded", docs["lang"]), bench)
     assert {r.doc_id for r in kept.collect()} == texts.keys() - {d for d, _ in got}
     odd = spark.createDataFrame([(None, "the short item that is long enough to be found here", 1), (1, None, 2), (1, "", 3), (1, "the short item that is long enough to be found here", 1)],
