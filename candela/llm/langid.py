@@ -6,9 +6,14 @@ maximum over a window -> softmax over the languages. Texts are cut into windows
 weighted by their letters. For prediction the embedding is multiplied into the filters, so
 that a convolution is a sum of table rows by byte.
 
-Training: Adam on cross-entropy, on the driver, over at most ``SAMPLE_DOCS`` labelled
-rows (those least by a hash of id and text) with ``SAMPLE_WINDOWS`` windows each: a bounded sample, at most
-``SAMPLE_DOCS * SAMPLE_WINDOWS * WINDOW`` characters. Inputs are bytes of the text alone.
+Training: Adam on cross-entropy, on the driver, over a bounded sample of labelled rows with ``SAMPLE_WINDOWS`` windows each: of
+every language the same share of ``SAMPLE_DOCS``, ``LEAST_DOCS`` at least (those least by a hash of id and text), so a
+rare language is learned however large the others are. The windows of languages with fewer
+are repeated up to a quarter of the most frequent one's. Inputs are bytes of the text alone.
+
+``train(..., foreign=True)`` learns one class more, from windows of the sample whose letters are shuffled or
+exchanged for each other: text in none of the languages. ``known`` keeps the rows that are not foreign: a text goes
+when the probability of that class exceeds a half, and also that of all but a share of ``LOST`` of labelled rows outside the sample.
 
 Defined cases: text that is null or has no letter: ``und`` with score 0; no labelled rows: ``und`` for
 all; null lang: not learned from; repeated rows are predicted alike; an empty table gives no rows;
@@ -19,13 +24,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candela.llm.common import SLICE_BYTES, table, text_bytes, unused
 
 WINDOW, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 24, 8
-SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH = 3000, 4, 6, 128
+SAMPLE_DOCS, LEAST_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH = 3000, 64, 4, 6, 128
+#: labelled rows outside the sample that set the level of ``known``, and the share of them that it may lose
+LEVEL_DOCS, LOST = 2000, 0.001
+#: the class of text in none of the languages learned
+FOREIGN = "zxx"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _LETTER = np.zeros(256, np.float32)
@@ -158,24 +167,91 @@ def _spans(off: np.ndarray):
         i = j
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Cnn | None:
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+
+
+def _by_hash(rows: DataFrame, count: dict, quota: int, key: Column) -> DataFrame:
+    """Of each language the ``quota`` rows least by ``key`` (62 bits)."""
+    # first those of small keys only, half as many again as are wanted, so that few rows are sorted
+    share = F.create_map(*[F.lit(x) for l, n in count.items() for x in (l, int(min(1.0, 1.5 * quota / n) * (1 << 62)))])
+    few = rows.withColumn("k", key).filter(F.col("k") < share[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("k", "cuts")
+    return few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= quota)
+
+
+def _windows(texts: list[str]) -> np.ndarray:
+    raw = [c.encode()[:WINDOW] for c in texts]
+    return _grid(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))[0]
+
+
+def _foreign(x: np.ndarray, rng) -> np.ndarray:
+    """Windows in no language: half with their letters shuffled, half with letters exchanged for each other."""
+    x = x.copy()
+    for i, row in enumerate(x):
+        at = np.flatnonzero((row >= 97) & (row < 123))
+        if i % 2:
+            row[at] = rng.permutation(row[at])
+        else:
+            row[at] = (rng.permutation(26) + 97)[row[at] - 97]
+    return x
+
+
+def train(docs: DataFrame, sample: int = SAMPLE_DOCS, foreign: bool = False) -> Cnn | None:
     """Fit on the rows of ``docs`` that are not held out and have a language."""
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    n = rows.count()
-    # rows of small hashes only, about half as many again as are wanted, so that tasks send the driver few rows
-    few = rows.filter(F.shiftrightunsigned("h", 2) < int(min(1.0, 1.5 * sample / max(n, 1)) * (1 << 62)))
-    # of each one short windows at hashed places
-    cuts = [F.substr("text", (F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]
-    rows = few.select("lang", "h", F.array(*cuts).alias("cuts")).orderBy("h", "lang", "cuts").limit(sample)
-    got = rows.select("lang", "cuts").collect()
-    langs = sorted({r["lang"] for r in got})
-    if not langs:
+    rows = _labelled(docs)
+    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    if not count:
         return None
+    langs = sorted(count)
+    quota = max(LEAST_DOCS, sample // len(langs))
+    # of each row short windows at hashed places
+    cuts = [F.substr("text", (F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]
+    rows = rows.select("lang", "h", F.array(*cuts).alias("cuts"))
+    got = _by_hash(rows, count, quota, F.shiftrightunsigned("h", 2)).select("lang", "cuts").collect()
     pairs = sorted((langs.index(r["lang"]), c) for r in got for c in r["cuts"])
-    raw = [c.encode()[:WINDOW] for _, c in pairs]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    x, _ = _grid(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    return Cnn(langs).fit(x, np.array([i for i, _ in pairs]))
+    x, y = _windows([c for _, c in pairs]), np.array([i for i, _ in pairs])
+    n = np.bincount(y, minlength=len(langs))
+    rng = np.random.Generator(np.random.PCG64(5))
+    if foreign:
+        some = np.sort(rng.permutation(len(x))[: max(1, len(x) // 2)])
+        x, y = np.concatenate([x, _foreign(x[some], rng)]), np.append(y, np.full(len(some), len(langs)))
+        n = np.append(n, len(some))
+    again = [np.resize(np.flatnonzero(y == c), n.max() // 4 - k) for c, k in enumerate(n.tolist()) if k < n.max() // 4]
+    at = np.concatenate([np.arange(len(y)), *again])
+    return Cnn(langs + [FOREIGN] * foreign).fit(x[at], y[at])
+
+
+def level(docs: DataFrame, model: Cnn) -> float:
+    """The probability of the foreign class above which a text goes: a half, or what all but ``LOST`` of
+    labelled rows outside the training sample stay below (whole texts of up to ``LEVEL_DOCS`` rows, longest first cut to 20 windows)."""
+    rows = _labelled(docs)
+    n = rows.count()
+    # the sample has the least hashes of each language, these are the greatest ones
+    last = (1 << 62) - int(min(1.0, LEVEL_DOCS / max(n, 1)) * 0.5 * (1 << 62))
+    cut = F.substr("text", F.lit(1), F.lit(20 * WINDOW))
+    some = rows.filter(F.shiftrightunsigned("h", 2) >= last).select("lang", cut.alias("text"), F.shiftrightunsigned("h", 2).alias("k")).orderBy(F.desc("k"), "text").limit(LEVEL_DOCS)
+    texts = [r["text"] for r in some.collect()]
+    if not texts:
+        return 0.5
+    dist = model.texts(*text_bytes(pa.array(texts)), model.tables())
+    return max(0.5, float(np.quantile(dist[:, -1], 1 - LOST)))
+
+
+def known(docs: DataFrame, model: Cnn | None, most: float) -> DataFrame:
+    """The rows of ``docs`` that have a letter and whose text is foreign with probability ``most`` at most."""
+    letter = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
+    docs, schema, at = docs.filter(letter), docs.schema, docs.columns.index("text")
+    if model is None:
+        return docs
+
+    def run(batches):
+        tabs = model.tables()
+        for b in batches:
+            dist = model.texts(*text_bytes(b.column(at)), tabs)
+            yield b.filter(pa.array(dist[:, -1] <= most))
+
+    return docs.mapInArrow(run, schema)
 
 
 def predict(docs: DataFrame, model: Cnn | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -63,3 +63,57 @@ def test_edges(spark):
     assert next(r for r in out if r.doc_id == 4).lang_pred == "de" and next(r for r in out if r.doc_id is None).lang_pred == "en"
     assert langid.train(df.limit(0)) is None and langid.predict(df.limit(0), None).count() == 0
     assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, ("the and of to in house " if i % 2 else "der und die das nicht haus ") * 6, "en" if i % 2 else "de") for i in range(20_000)]
+    rows += [(50_000 + i, f"az egy hogy nem van ez szoba {i} és meg kell ház " * 4, "hu") for i in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.langs == ["de", "en", "hu"]
+    out = langid.predict(df.filter("doc_id >= 50000 OR doc_id < 200"), model).collect()
+    assert all(r.lang == r.lang_pred for r in out)
+
+
+def test_query_equals_a_plain_pass(spark):
+    docs = table(spark, SF_ORACLE, "documents")
+    model = langid.train(docs)
+    got = {r.doc_id: r for r in langid.op4_langid(spark, SF_ORACLE).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        text = (r.text or "").encode()
+        low = bytes(b + 32 if 65 <= b < 91 else b for b in text)
+        total, weight = np.zeros(len(model.langs)), 0
+        for a in range(0, max(len(low), 1), langid.WINDOW):
+            x = np.frombuffer(low[a: a + langid.WINDOW].ljust(langid.WINDOW, b"\0"), np.uint8)
+            emb, feats = model.p["e"][x], []
+            for w in langid.WIDTHS:
+                z = sum(emb[j: len(x) - w + 1 + j] @ model.p[f"w{w}"][j * langid.DIM: (j + 1) * langid.DIM] for j in range(w)) + model.p[f"b{w}"]
+                feats.append(np.maximum(z.max(axis=0), 0))
+            letters = sum(97 <= b < 123 or b >= 128 for b in x.tolist())
+            total += model._softmax((np.concatenate(feats) @ model.p["o"] + model.p["c"])[None])[0] * letters
+            weight += letters
+        dist = total / max(weight, 1)
+        have = got[r.doc_id]
+        if have.lang_pred != "und":
+            assert abs(dist.max() - have.score) < 1e-3
+            assert have.lang_pred == model.langs[int(dist.argmax())] or np.sort(dist)[-1] - np.sort(dist)[-2] < 1e-3
+        else:
+            assert have.score == 0 and not any(c.isalpha() for c in r.text or "")
+
+
+def test_foreign_texts_go_and_clean_ones_stay(spark):
+    docs = table(spark, SF_ORACLE, "documents")
+    model = langid.train(docs, foreign=True)
+    most = langid.level(docs, model)
+    clean = docs.filter("lang IS NOT NULL AND length(text) > 200")
+    kept = langid.known(clean, model, most)
+    assert kept.columns == docs.columns and kept.count() >= 0.995 * clean.count()
+    rng = np.random.default_rng(1)
+    noise = ["".join(rng.choice(list("qxzjkvwy bcdfg"), 400)) for _ in range(20)]
+    hungarian = "a fiú elment a boltba és vett egy kenyeret, de nem volt nála elég pénz, ezért vissza kellett mennie haza a pénztárcájáért " * 3
+    junk = spark.createDataFrame([(i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    assert langid.known(junk, model, most).count() <= 1
+    assert langid.known(spark.createDataFrame([(1, None), (2, ""), (3, "12 !")], "doc_id long, text string"), model, most).count() == 0
+    print("Hungarian kept:", langid.known(spark.createDataFrame([(1, hungarian)], "doc_id long, text string"), model, most).count())
