@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candela.functions.expr import nan_to_null, quantile_of_sorted, sorted_frame
+from candela.operators.quantiles import exact_quantiles
 from candela.schema import BAR_COLUMNS, EXPECTED_TYPES, PRICE_COLUMNS
 
 
@@ -140,14 +141,14 @@ def _iqr_bounds(q: Column, k: float = 1.5) -> tuple[Column, Column]:
 def iqr_static(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows with any column outside [Q1-1.5 IQR, Q3+1.5 IQR] of its ticker.
 
-    Quartiles are exact (linear interpolation) per ticker. The per-ticker
-    bounds table has one row per ticker; the join is left to the planner,
+    Quartiles are exact (linear interpolation) per ticker, by distributed selection: no
+    buffer per ticker. The bounds table has one row per ticker; the join is left to the planner,
     and AQE broadcasts it from its measured size.
     """
     columns = columns or PRICE_COLUMNS
-    stats = df.groupBy("Ticker").agg(
-        *[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
-    j = df.join(stats, "Ticker")
+    stats = exact_quantiles(df, ["Ticker"], columns, [0.25, 0.75]).select(
+        F.col("Ticker").alias("_t"), *[F.array(f"{c}_q0", f"{c}_q1").alias(f"_q_{c}") for c in columns])
+    j = df.join(stats, F.col("Ticker").eqNullSafe(F.col("_t"))).drop("_t")
     conds = []
     for c in columns:
         lo, hi = _iqr_bounds(F.col(f"_q_{c}"))

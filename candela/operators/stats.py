@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.expr import inv_normal
 from candela.operators.features import w_series
+from candela.operators.quantiles import exact_quantiles
 from candela.operators.scan import affine_scan, product_map
 
 
@@ -39,14 +40,12 @@ def box_by_year(df: DataFrame, col: str) -> DataFrame:
     """D-14/D-15/D-16: quartiles, 1.5 IQR whiskers (to the last datum inside) and
     flier counts per ticker and year."""
     x = df.where(F.col(col).isNotNull()).withColumn("year", F.year("Date"))
-    q = x.groupBy("Ticker", "year").agg(
-        F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.count(F.lit(1)).cast("bigint").alias("n"))
-    q = q.select("Ticker", "year", "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q = exact_quantiles(x, ["Ticker", "year"], [col], [0.25, 0.5, 0.75])
+    q = q.select(F.col("Ticker").alias("_t"), F.col("year").alias("_y"), F.col(f"{col}_n").alias("n"), F.col(f"{col}_q0").alias("q1"),
+                 F.col(f"{col}_q1").alias("median"), F.col(f"{col}_q2").alias("q3"))
     lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    j = x.join(q, ["Ticker", "year"])
+    j = x.join(q, F.col("Ticker").eqNullSafe(F.col("_t")) & F.col("year").eqNullSafe(F.col("_y")))
     inside = (F.col(col) >= lo_f) & (F.col(col) <= hi_f)
     return j.groupBy("Ticker", "year", "n", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(col))).alias("whisker_lo"),
@@ -150,5 +149,5 @@ def price_range(bars: DataFrame) -> DataFrame:
 
 def cumulative_return(df: DataFrame, col: str, position: str | None = None, spread: bool = False) -> DataFrame:
     """Running product of (1 + r) per ticker, 0 from the first r <= -1 on (an affine scan, exact for any length)."""
-    grown = F.greatest(1 + F.col(col), F.lit(0.0))
+    grown = F.when(F.col(col) <= -1, F.lit(0.0)).otherwise(1 + F.col(col))
     return affine_scan(df, {"cum_return": product_map(grown)}, position=position, spread=spread).select("Ticker", "Date", col, "cum_return")
