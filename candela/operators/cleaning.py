@@ -106,6 +106,71 @@ def missing_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return agg.selectExpr("Ticker", stack)
 
 
+# What a text must look like to bear a type; a type's bit is its place from 1 on, narrower types first.
+TYPE_PATTERNS = [
+    ("bigint", r"^[+-]?[0-9]{1,18}$"),
+    ("double", r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"),
+    ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("timestamp", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$"),
+    ("boolean", r"^(true|false|TRUE|FALSE|True|False)$"),
+]
+
+
+def narrowest(mask: Column) -> Column:
+    """The narrowest type of a set of types; ``void`` where no value was met (null)."""
+    out = F.when(mask.isNull(), F.lit("void"))
+    for i, (t, _) in enumerate(TYPE_PATTERNS):
+        out = out.when(F.getbit(mask, F.lit(i)) == 1, F.lit(t))
+    return out.otherwise(F.lit("string"))
+
+
+def type_profile(df: DataFrame, part: str, columns: list[str] | None = None) -> DataFrame:
+    """B10 over the data: per part (a file, a ticker) and column ``n_values, n_null, narrowest``.
+
+    Each value is a set of the types it bears (its text form, as a file has it); the sets of a part are intersected by one
+    aggregate, which combines before the shuffle.
+    """
+    columns = columns or [c for c in df.columns if c != part]
+
+    def types(c):
+        text = F.trim(F.col(c).cast("string"))
+        return F.when(F.col(c).isNotNull(), reduce(lambda a, b: a + b, [
+            F.when(text.rlike(pattern), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, pattern) in enumerate(TYPE_PATTERNS)]))
+
+    aggs = []
+    for i, c in enumerate(columns):
+        aggs += [F.count(F.col(c)).alias(f"_n{i}"), F.count_if(F.col(c).isNull()).alias(f"_u{i}"), F.bit_and(types(c)).alias(f"_t{i}")]
+    agg = df.groupBy(F.col(part).cast("string").alias("part")).agg(*aggs)
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n_values"), F.col(f"_u{i}").alias("n_null"), F.col(f"_t{i}").alias("mask"))
+                               for i, c in enumerate(columns)])).alias("r")
+    return agg.select("part", rows).select("part", "r.column", "r.n_values", "r.n_null", F.col("r.mask").alias("mask"), narrowest(F.col("r.mask")).alias("narrowest"))
+
+
+def type_drift(df: DataFrame, part: str, expected: dict | None = None) -> DataFrame:
+    """Per column the narrowest type that all values of all parts bear, the expected one, whether they
+    agree (a narrower integer fits a double), and whether parts differ."""
+    expected = expected or EXPECTED_TYPES
+    p = type_profile(df, part)
+    seen = F.when(F.col("narrowest") != "void", F.col("narrowest"))
+    out = p.groupBy("column").agg(F.sum("n_values").alias("n_values"), F.sum("n_null").alias("n_null"), narrowest(F.bit_and("mask")).alias("narrowest"),
+                                  (F.count_distinct(seen) > 1).alias("drift"))
+    want = F.lit(None).cast("string")
+    for c, t in expected.items():
+        want = F.when(F.col("column") == c, F.lit(t.simpleString())).otherwise(want)
+    out = out.withColumn("expected", want)
+    fits = (F.col("narrowest") == F.col("expected")) | ((F.col("narrowest") == "bigint") & (F.col("expected") == "double")) | (F.col("narrowest") == "void")
+    return out.select("column", "n_values", "n_null", "narrowest", "expected", F.coalesce(fits, F.lit(True)).alias("fits"), "drift")
+
+
+def index_validity(df: DataFrame) -> DataFrame:
+    """B19 over the data: per ticker, rows without a date and rows whose date lies before the one ingested
+    before them; ``valid`` if neither occurs and the column is a date or timestamp."""
+    prev = F.lag("Date").over(Window.partitionBy("Ticker").orderBy(*_order_cols(df)))
+    x = df.withColumn("_back", F.coalesce(F.col("Date") < prev, F.lit(False)))
+    agg = x.groupBy("Ticker").agg(F.count("*").alias("n_rows"), F.count_if(F.col("Date").isNull()).alias("null_dates"), F.count_if("_back").alias("backward"))
+    return agg.withColumn("valid", (F.col("null_dates") == 0) & (F.col("backward") == 0) & F.lit(is_time_indexed(df)))
+
+
 def type_report(df: DataFrame, expected: dict | None = None) -> list[tuple[str, str, str]]:
     """(column, actual, expected) for every mismatch; absent columns report 'missing'."""
     expected = expected or EXPECTED_TYPES

@@ -66,6 +66,36 @@ def sharpe(preds: DataFrame, group: list[str] | None = None, periods: int = 252)
                     .otherwise(F.lit(0.0)).alias("sharpe"))
 
 
+def roc_auc(preds: DataFrame, score: str = "probability", group: list[str] | None = None, chunks: int = 1024) -> DataFrame:
+    """D-3: area under the ROC curve of a score, ties counting a half: ``group, n_pos, n_neg, auc`` (null with one class).
+
+    Rows combine to one per distinct score first, then the scores are cut into value ranges: negatives below a score are those of
+    lower ranges (running sums over the small table of ranges) and those below it in its own range. No task
+    sorts all scores of a model. Null and NaN scores don't count.
+    """
+    group = group or ["model"]
+    s, y = F.col(score).cast("double"), F.col("Target")
+    d = (preds.where(s.isNotNull() & ~F.isnan(s) & y.isNotNull()).groupBy(*group, s.alias("_s"))
+         .agg(F.count_if(y == 1).alias("_p"), F.count_if(y != 1).alias("_n")))
+    finite = F.when(F.abs("_s") != F.lit(float("inf")), F.col("_s"))
+    ranges = d.groupBy(*group).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
+    width = (F.col("_hi") / chunks - F.col("_lo") / chunks)
+    inner = F.when(width > 0, F.least(F.floor((finite - F.col("_lo")) / width), F.lit(chunks - 1))).otherwise(F.lit(0))
+    chunk = F.when(F.col("_s") == float("-inf"), F.lit(-1)).when(F.col("_s") == float("inf"), F.lit(chunks)).otherwise(inner).cast("int")
+    same = lambda cols, other: [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in cols]
+    named = lambda df, cols, other: df.select(*[F.col(c).alias(f"{other}{c}") for c in cols], *[c for c in df.columns if c not in cols])
+    d = d.join(named(ranges, group, "_r_"), same(group, "_r_")).withColumn("_c", chunk)
+    per = d.groupBy(*group, "_c").agg(F.sum("_n").alias("_t"))
+    below = Window.partitionBy(*group).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*group, "_c", F.coalesce(F.sum("_t").over(below), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*group, "_c").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    d = d.join(named(per, [*group, "_c"], "_x_"), same([*group, "_c"], "_x_"))
+    wins = F.sum(F.col("_p") * (F.col("_before") + F.col("_in") + F.col("_n") / 2.0))
+    out = d.groupBy(*group, "n_pos", "n_neg").agg(wins.alias("_w"))
+    return out.select(*group, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+
+
 def metric_column(metrics: DataFrame, metric: str) -> str:
     """Case-insensitive, validated metric name."""
     for c in metrics.columns:

@@ -183,12 +183,6 @@ def q_missing(spark, d):
     return cl.missing_profile(_raw(spark, d))
 
 
-@register("type_report")
-def q_type_report(spark, d):
-    """Schema check of hourly bars (Date is a timestamp there, not a date)."""
-    return cl.type_report_df(src.bars_hourly(spark, d))
-
-
 @register("dup_count", f"""
 SELECT Ticker, CAST(count(*) - count(DISTINCT {{'d': Date}}) AS BIGINT) AS duplicate_count
 FROM ({RAW_SQL}) r GROUP BY Ticker""")
@@ -824,12 +818,6 @@ def q_acf_halo(spark, d):
     return stt.autocorrelation(_pipe(spark, d), "Returns", 50, rows_per_bucket=HALO_ROWS)
 
 
-@register("qq_points")
-def q_qq_points(spark, d):
-    """D-19: normal QQ points (Filliben medians) and fitted line per ticker."""
-    return stt.qq_points(_pipe(spark, d), "Returns")
-
-
 @register("tail_n", f"""
 SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY Ticker ORDER BY Date DESC) AS k
 FROM ({sq.BARS_DAILY}) b) x WHERE k <= 100""")
@@ -1183,3 +1171,7 @@ def q_knn_vote(spark, d):
     """Exact 10-nearest-neighbour vote (Euclidean, uniform) per walk-forward fold,
     candidates from a multi-resolution grid (no all-pairs join)."""
     return kn.knn_backtest(_model_input(spark, d), PIPE_PREDICTORS, fo.PIPELINE_WF, k=10)
+
+
+# queries of the rest of the inventory register themselves in the same dictionaries
+from candela.plans import more  # noqa: E402, F401
