@@ -48,7 +48,7 @@ SHINGLE, PERCENT, TILE = 4, 85, 1024
 #: candidates of a probe in a tile, by round (None: all)
 NEAREST = (1, 4, None)
 #: bytes of text per bucket of keys, and the most buckets
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 14
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 14
 #: bytes of text whose sets a map task holds at once
 STRIP = 8 << 20
 _TWO = np.uint64(0x8BB84B93962EACC9)
@@ -296,15 +296,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, comp: DataFrame, bits: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Pairs of different components that share a key and whose signatures allow the similarity: per probe and
-    tile the ``nearest`` ones, or all."""
+def _split(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The members ``gid, id, n, comp, major, blocks, hands`` of groups that span several components: the largest one,
+    the blocks that all members fill and those that the members outside it fill."""
     member = members.select("gid", "id", "n").join(comp.select(F.col("id"), F.col("component_id").alias("root")), "id", "left")
     member = member.select("gid", "id", "n", F.coalesce("root", "id").alias("comp"))
     per = member.groupBy("gid", "comp").agg(F.count("*").alias("k"))
     split = per.groupBy("gid").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count("*").alias("comps"))
     split = split.filter("comps > 1").select("gid", "major", F.ceil(F.col("all") / TILE).alias("blocks"), F.ceil((F.col("all") - F.col("most")) / TILE).alias("hands"))
-    member = member.join(split, "gid").join(bits, ["id", "n"])
+    return written(member.join(split, "gid"), "split-groups")
+
+
+def _across(member: DataFrame, bits: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Pairs of different components that share a key and whose signatures allow the similarity: per probe and
+    tile the ``nearest`` ones, or all."""
+    member = member.join(bits, ["id", "n"])
     deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n)
     up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keep = ["gid", "id", "n", "comp", "bits"]
@@ -361,7 +367,7 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """``(id, n)`` per row with a doc_id, and ``(id, component_id)`` of all linked documents."""
     found = written(_groups(docs, percent, size), "shared-keys")
-    members = found.filter("gid IS NOT NULL").select("gid", "id", "n", "first", "first_n").distinct()
+    members = written(found.filter("gid IS NOT NULL").select("gid", "id", "n", "first", "first_n").distinct(), "groups")
     bits = found.filter("bits IS NOT NULL").select("id", "n", "bits")
     name = _sets(docs, members.select("id").distinct(), size)
     try:
@@ -371,7 +377,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
         same = found.filter("same IS NOT NULL").select(F.col("id").alias("a"), F.col("same").alias("b"))
         comp = components(written(_verified(_possible(first, bits, percent), sets, percent).union(same), "links"))
         for nearest in NEAREST:
-            links = written(_verified(_across(members, comp, bits, percent, nearest), sets, percent), "links")
+            members = _split(members, comp)  # components only grow, so groups that are whole stay so
+            links = written(_verified(_across(members, bits, percent, nearest), sets, percent), "links")
             comp = _joined(comp, links)
     finally:
         docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
