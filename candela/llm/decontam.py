@@ -131,8 +131,17 @@ class Passages:
         n = self.first[spot + 1] - self.first[spot]
         which = np.repeat(self.first[spot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, place, doc = self.of[which].astype(np.int64), self.place[which].astype(np.int64), np.repeat(doc, n)
+        at = np.repeat(at, n)
+        # a text that shares fewer q-grams with an item than its smallest bound holds none of its passages
+        pair = doc * len(self.item) + item
+        if pair.max() >= 1 << 25:
+            pair = np.unique(pair, return_inverse=True)[1]
+        some = np.flatnonzero(np.bincount(pair)[pair] >= self.least[item])
+        if not len(some):
+            return none
+        at, doc, item, place = at[some], doc[some], item[some], place[some]
         # may be negative: the occurrence may begin before its text's first q-gram
-        low = (np.repeat(at, n) - place - off[doc]) // self.step[item]
+        low = (at - place - off[doc]) // self.step[item]
         order = np.lexsort((place, low, item, doc))
         doc, item, low, place = doc[order], item[order], low[order], place[order]
         fresh = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (low[1:] != low[:-1])]))
