@@ -8,11 +8,11 @@ Documents link when ``100 * intersection >= 85 * union``; no link is lost.
 * In a tile at most K elements differ between linked sets (K follows from the band's
   largest size). Hash space is cut into K + 1 + c equal segments, and a segment's elements
   are hashed to one key; by the pigeonhole principle linked sets agree on c + 1
-  segments at least. Sets with more than c empty segments send these too, the others none, so linked
-  sets share a key of a tile. Keys travel to hash buckets in blobs, one per strip
+  segments at least. Sets with more than c sparse segments (of one element or none, which passages that texts share would
+  make equal by chance) send these too, the others none, so linked sets share a key of a tile. Keys travel to hash buckets in blobs, one per strip
   of ``STRIP`` bytes and bucket; equal sets of a strip send one.
 * Sets that share a key are candidates. Bitmap signatures sort most out: a shingle flips one of a
-  set's bits (a power of two, sixteen times K or more), so two sets differ in ``popcount(a XOR b)``
+  set's bits (a power of two, eight times K or more), so two sets differ in ``popcount(a XOR b)``
   elements or more, and ``|A| + |B|`` less that bounds twice the intersection from above.
 * First only the pairs with a group's first member are looked at, and components are formed
   of those verified: a group of many near copies costs one pair per member.
@@ -46,7 +46,7 @@ from candela.session import checkpoint_dir
 
 SHINGLE, PERCENT, TILE = 4, 85, 1024
 #: candidates of a probe in a tile, by round (None: all)
-NEAREST = (1, 4, None)
+NEAREST = (1, None)
 #: bytes of text per bucket of keys, and the most buckets
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 14
 #: bytes of text whose sets a map task holds at once
@@ -55,11 +55,13 @@ _TWO = np.uint64(0x8BB84B93962EACC9)
 
 
 def _spare(n: int, k: int) -> int:
-    """How many empty segments to allow for sets of n elements of which k may differ: the fewest that
+    """How many sparse segments to allow for sets of n elements of which k may differ: the fewest that
     all but about one set in a thousand stay within (their number is about Poisson)."""
+    def sparse(s: float) -> float:
+        return s * math.exp(n * math.log1p(-1 / s)) + n * math.exp((n - 1) * math.log1p(-1 / s))
+
     def tail(c: int) -> float:
-        s = k + 1 + c
-        mean = s * math.exp(n * math.log1p(-1 / s))
+        mean = sparse(k + 1 + c)
         term, total = math.exp(-mean), 0.0
         for i in range(c + 1):
             total += term
@@ -72,7 +74,7 @@ def _spare(n: int, k: int) -> int:
         return good[0] if good else 1 + int(np.argmin(rest))
     c = 0.0
     for _ in range(50):  # mean plus four deviations
-        mean = (k + 1 + c) * math.exp(-n / (k + 1 + c))
+        mean = sparse(k + 1 + c)
         c = min(mean + 4 * math.sqrt(mean), float(k))
     return math.ceil(c)
 
@@ -89,7 +91,7 @@ class Bands:
         differ = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
         self.spare = np.array([_spare(n, k) for n, k in zip(edges, differ.tolist())])
         self.segments = differ + 1 + self.spare
-        self.width = 1 << np.maximum(8, np.ceil(np.log2(16 * differ + 1)).astype(int))
+        self.width = 1 << np.maximum(8, np.ceil(np.log2(8 * differ + 1)).astype(int))
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, "right") - 1
@@ -121,11 +123,11 @@ def _keys(flat: np.ndarray, n: np.ndarray, tile: np.ndarray, bands: Bands) -> tu
     at = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
     total = np.zeros(int(parts.sum()), np.uint64)
     total[segment[at]] = np.add.reduceat(mix(flat + _TWO), at)
-    filled = np.zeros(len(total), bool)
-    filled[segment[at]] = True
+    count = np.zeros(len(total), np.int64)
+    count[segment[at]] = np.diff(np.append(at, len(segment)))
     whose = np.repeat(np.arange(len(n)), parts)
-    empty = parts - np.bincount(whose[filled], minlength=len(n))
-    send = filled | (empty > spare)[whose]
+    thin = np.bincount(whose[count <= 1], minlength=len(n))
+    send = (count >= 2) | (thin > spare)[whose]
     inner = np.arange(len(total)) - base[whose]
     keys = mix(total + mix((tile[whose].astype(np.uint64) << np.uint64(42)) + inner.astype(np.uint64)))
     return keys[send], whose[send]
