@@ -163,7 +163,8 @@ def fit(blocks: RDD, specs: list[Kernel], folds: list[Fold]) -> list[list[Fitted
             m.objective, m.mu = min(values[j], after[k]), mus[i]
             if gain <= 1e-12 * max(1.0, abs(values[j])):  # this stage is solved
                 if m.spec.loss == "gp":
-                    m.cov = np.linalg.inv(h)
+                    # column by column: threaded LAPACK calls with many right sides were seen to hang beside busy cores
+                    m.cov = np.column_stack([np.linalg.solve(h, e) for e in np.eye(len(h))])
                     continue
                 if total[j][0][2] <= GAP * max(m.objective, 1e-9) or mus[i] < 1e-12:
                     continue

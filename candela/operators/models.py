@@ -7,8 +7,8 @@ A model is a ``ModelSpec``: what fits it, plus how its output becomes a 0/1 pred
 * ``sign``:  regression score > 0 on labels in {-1, 1} (ridge classifier).
 
 ``build`` makes a ``pyspark.ml`` estimator; ``trees`` names a ``Boost`` or a ``Forest``, which
-``operators.boosting`` and ``operators.forest`` grow for all models and folds of a call together; ``knn`` is
-the exact neighbour vote of ``operators.knn``.
+``operators.boosting`` and ``operators.forest`` grow for all models and folds of a call together; ``kernel`` is fitted by
+``operators.kernel``, also for all folds together; ``knn`` is the exact neighbour vote of ``operators.knn``.
 
 Fits are pooled over the panel: one fit per (model, fold) on every ticker's
 rows with ``d < train_end``. Fits are distributed Spark jobs; the driver only
@@ -38,10 +38,12 @@ from pyspark.sql import functions as F
 from candela.operators import boosting as bo
 from candela.operators import folds as fo
 from candela.operators import forest as fr
+from candela.operators import kernel as ke
 from candela.operators import knn as kn
 from candela.operators import trees as tr
 from candela.operators.boosting import Boost
 from candela.operators.forest import Forest
+from candela.operators.kernel import Kernel
 from candela.operators.trees import Ensemble, Fold
 from candela.session import written
 
@@ -66,6 +68,7 @@ class ModelSpec:
     has_probability: bool = True
     trees: object = None           # Boost or Forest
     knn: tuple | None = None       # (k, metric, weights)
+    kernel: Kernel | None = None   # random features, Newton steps
     label: str | None = None       # regression target column (default: Target)
     balanced: bool = False         # class weights n / (2 n_class) on each training fold
     scale: str | None = None       # 'pop' (ddof 0), 'samp' (ddof 1 + 1e-8) per-fold z-score
@@ -173,11 +176,10 @@ MODULE_SPECS = [
     ModelSpec("LogisticRegressionBalanced", 40, _logistic(1000), balanced=True),
     # M16-M19 re-aimed: random Fourier features of the z-scored inputs, then a linear model
     ModelSpec("SVCBalanced", 46, _svc(1.0), balanced=True, scale="pop", rff=SVC_RFF, platt=True),
-    ModelSpec("SVR", 41, _l2_linear(lambda ctx: (ctx.label_std or 1.0) / max(ctx.n_train, 1)), output="score",
-              has_probability=False, scale="pop", rff=(200, None, 42)),
+    ModelSpec("SVR", 41, kernel=Kernel("svr", 200, None, c=1.0, epsilon=0.1), output="score", has_probability=False),
     ModelSpec("KernelRidge", 42, _l2_linear(lambda ctx: (ctx.label_std or 1.0) / max(ctx.n_train, 1), False),
               output="score", has_probability=False, scale="pop", rff=(200, 0.1, 42)),
-    ModelSpec("GaussianProcess", 43, _logistic(1000), scale="pop", rff=(200, 0.5, 42)),
+    ModelSpec("GaussianProcess", 43, kernel=Kernel("gp", 200, 0.5)),
     # backend profile: per-fold z-score with ddof 1 and +1e-8
     ModelSpec("LogisticRegressionZ", 44, _logistic(2000), balanced=True, scale="samp"),
     ModelSpec("RandomForestModule", 50, trees=Forest(200, 10, leaf=15, split=30, balanced=True, seed=1)),
@@ -385,7 +387,7 @@ def backtest(df: DataFrame, predictors: list[str], specs: list[ModelSpec],
         with ThreadPoolExecutor(max_workers=max_parallel) as ex:
             parts = list(ex.map(run, jobs))
         parts += [_knn_rows(data, tests, predictors, s, fold_rows, threshold) for s in specs if s.knn]
-        parts += _tree_rows(data, predictors, specs, fold_rows, threshold)
+        parts += _grown_rows(data, predictors, specs, fold_rows, threshold)
     if not parts:
         return df.sparkSession.createDataFrame([], PREDICTION_SCHEMA)
     out = written(reduce(DataFrame.unionByName, parts), "predictions")
@@ -409,22 +411,27 @@ def _knn_rows(data: DataFrame, tests: DataFrame, predictors: list[str], spec: Mo
     return reduce(DataFrame.unionByName, out)
 
 
-def _tree_rows(data: DataFrame, predictors: list[str], specs: list[ModelSpec], fold_rows, threshold: float) -> list[DataFrame]:
-    """Test rows of the boosted models and of the forests: one call for each kind."""
+def _grown_rows(data: DataFrame, predictors: list[str], specs: list[ModelSpec], fold_rows, threshold: float) -> list[DataFrame]:
+    """Test rows of the boosted models, the forests and the kernel machines: one call for each kind."""
     spark = data.sparkSession
     folds = [Fold(r["fold_id"], r["train_end"], r["test_start"], r["test_end"]) for r in fold_rows]
     keep = ["Ticker", "Date", "Target", "fwd_return"]
     schema = ", ".join(f"{c} {data.schema[c].dataType.simpleString()}" for c in keep)
     out = []
-    for kind in (Boost, Forest):
-        mine = [s for s in specs if isinstance(s.trees, kind)]
+    for kind in (Boost, Forest, Kernel):
+        mine = [s for s in specs if isinstance(s.trees or s.kernel, kind)]
         if not mine:
             continue
-        params = [s.trees for s in mine]
+        params = [s.trees or s.kernel for s in mine]
         if kind is Boost:
             state = bo.boost(data, predictors, params, folds, keep)[-1]
             scored, held = tr.scored_rows(state, folds, len(mine), schema, spark), state
             probability = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("score")))
+        elif kind is Kernel:
+            scored, _, held = ke.backtest(data, predictors, params, folds, keep, schema)
+            # a regression's value is no probability
+            no = F.element_at(F.array(*[F.lit(not s.has_probability) for s in mine]), F.col("spec") + 1)
+            probability = F.when(~no, F.col("score"))
         else:
             trees, _, held = fr.grow(data, predictors, params, folds, keep)
             scored = tr.scored_rows(fr.scores(trees, params, held), folds, len(mine), schema, spark)
@@ -432,8 +439,9 @@ def _tree_rows(data: DataFrame, predictors: list[str], specs: list[ModelSpec], f
         rows = written(scored, "scores")
         held.unpersist()
         name = F.element_at(F.array(*[F.lit(s.name) for s in mine]), F.col("spec") + 1)
+        decided = F.col("score") if kind is Kernel else probability
         out.append(rows.select(name.alias("model"), "fold_id", "Ticker", "Date", "Target", probability.alias("probability"),
-                               (probability >= threshold).cast("int").alias("Predictions"), "fwd_return"))
+                               (decided >= threshold).cast("int").alias("Predictions"), "fwd_return"))
     return out
 
 

@@ -955,9 +955,9 @@ for _key, _name, _doc in [
     ("module_logistic", "LogisticRegressionBalanced",
      "L3/M7: balanced logistic regression on the module features (horizons to 1000), expanding folds."),
     ("svc_rff", "SVCBalanced", "M16 (re-aimed): RBF random features of z-scored inputs -> linear SVM -> Platt probability."),
-    ("svr_rff", "SVR", "M17 (re-aimed): RBF random features -> L2 least squares, score >= threshold."),
+    ("svr_rff", "SVR", "M17: epsilon-insensitive regression on RBF random features, score >= threshold."),
     ("kernel_ridge_rff", "KernelRidge", "M18 (re-aimed): RBF(gamma .1) random features -> ridge without intercept."),
-    ("gp_rff", "GaussianProcess", "M19 (re-aimed): RBF(length 1) random features -> L2 logistic (MAP)."),
+    ("gp_rff", "GaussianProcess", "M19: Gaussian process classification by Laplace's approximation on RBF(length 1) random features."),
     ("regime_mixture", "RegimeMixture",
      "M20 (re-aimed): 3-regime Gaussian mixture on the module features; P(top regime) >= threshold."),
 ]:

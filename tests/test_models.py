@@ -66,11 +66,10 @@ def test_random_features_approximate_the_kernel(panel):
     assert np.abs(f[:80] @ f[:80].T - k).mean() < 0.08
     svc = mo.REGISTRY["SVC"].build(mo.FitContext(100, 0.5))
     assert svc.getStandardization() is False
-    for name in ("SVR", "KernelRidge"):  # the same rule for the L2 term
-        assert mo.REGISTRY[name].build(mo.FitContext(100, 0.5)).getRegParam() == pytest.approx(0.005)
+    assert mo.REGISTRY["KernelRidge"].build(mo.FitContext(100, 0.5)).getRegParam() == pytest.approx(0.005)
 
 
-@pytest.mark.parametrize("name", ["SVC", "SVR", "GaussianProcess", "RegimeMixture", "LogisticRegressionZ", "LogisticRegressionBalanced"])
+@pytest.mark.parametrize("name", ["SVC", "SVCBalanced", "SVR", "GaussianProcess", "RegimeMixture", "LogisticRegressionZ", "LogisticRegressionBalanced"])
 def test_other_models_run_twice_alike(panel, name):
     wf = WF
     a, b = (mo.backtest(panel, X, [mo.REGISTRY[name]], wf).orderBy("fold_id", "Ticker", "Date").collect() for _ in range(2))
@@ -138,3 +137,56 @@ def test_null_dates_are_one_date(spark):
                                "Ticker string, Date date, Open double, High double, Low double, Close double, Volume long, _ord long")
     assert sorted(r._ord for r in cl.dedup_keep_first(df).collect()) == [0, 2]
     assert cl.duplicate_count(df).first()["duplicate_count"] == 1
+
+
+SMALL = [
+    mo.ModelSpec("RandomForest", 0, trees=mo.Forest(8, 5, leaf=4, split=8)),
+    mo.ModelSpec("GradientBoosting", 1, trees=mo.Boost(4, 3, first_order=True)),
+    mo.ModelSpec("ExtraTrees", 2, trees=mo.Forest(8, 5, bootstrap=False, random_cuts=True)),
+    mo.ModelSpec("HistGradientBoosting", 3, trees=mo.Boost(4, 4, growth="leaf", leaves=7, leaf=5)),
+    mo.REGISTRY["LogisticRegression"], mo.REGISTRY["Ridge"], mo.REGISTRY["KNN"], mo.REGISTRY["SVC"],
+    mo.ModelSpec("XGBoost", 8, trees=mo.Boost(4, 3, l2=1.0, hessian=1.0)),
+    mo.ModelSpec("LightGBM", 9, trees=mo.Boost(4, 4, growth="leaf", leaves=5, leaf=5, hessian=1.0)),
+    mo.ModelSpec("CatBoost", 10, trees=mo.Boost(4, 3, growth="oblivious", l2=3.0, prior=False)),
+]
+
+
+def test_registries_have_eleven_models():
+    for reg in (mo.PIPELINE_REGISTRY, mo.COMPARISON_REGISTRY):
+        assert [s.ordinal for s in reg] == list(range(11)) and len({s.name for s in reg}) == 11
+    assert [s.name for s in SMALL] == [s.name for s in mo.PIPELINE_REGISTRY]
+    boosted = {s.name: s.trees for s in mo.PIPELINE_REGISTRY if isinstance(s.trees, mo.Boost)}
+    assert len(boosted) == 5 and len(set(boosted.values())) == 5
+
+
+def test_eleven_models_on_the_same_rows(panel):
+    preds = mo.backtest(panel, X, SMALL, WF)
+    assert preds.schema.simpleString() == panel.sparkSession.createDataFrame([], mo.PREDICTION_SCHEMA).schema.simpleString()
+    pdf = preds.toPandas()
+    rows = {n: g.sort_values(["Ticker", "Date"])[["Ticker", "Date"]].values.tolist() for n, g in pdf.groupby("model")}
+    assert set(rows) == {s.name for s in SMALL} and all(r == rows["Ridge"] for r in rows.values())
+    some = pdf[pdf.model != "Ridge"]
+    assert some.probability.between(0, 1).all() and ((some.probability >= 0.51).astype(int) == some.Predictions).all()
+    boosted = [pdf[pdf.model == n].sort_values(["Ticker", "Date"]).probability.tolist() for n in ("GradientBoosting", "HistGradientBoosting", "XGBoost", "LightGBM", "CatBoost")]
+    assert len({tuple(b) for b in boosted}) == 5
+    comp = ev.evaluate_models(panel, X, SMALL, WF).collect()
+    assert len(comp) == 11 and {r.status for r in comp} == {"ok"}
+
+
+@pytest.mark.parametrize("name", ["RandomForest", "ExtraTrees", "GradientBoosting", "CatBoost", "KNN"])
+def test_fitted_model_scores_as_the_backtest_and_forecasts_in_one_pass(panel, name):
+    spec = next(s for s in SMALL if s.name == name)
+    cal = fo.calendar(panel)
+    data = fo.with_date_ordinal(panel, cal)
+    fold = fo.folds(cal, WF).orderBy("fold_id").first()
+    model = mo.fit(spec, fo.train_rows(data, fold["train_end"]), X)
+    if not spec.knn:
+        test = data.where((F.col("d") >= fold["test_start"]) & (F.col("d") < fold["test_end"]))
+        got = {(r.Ticker, r.Date): r.probability for r in mo.score(spec, model, test).collect()}
+        want = {(r.Ticker, r.Date): r.probability for r in mo.backtest(panel, X, [spec], WF).where(F.col("fold_id") == fold["fold_id"]).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+    state, last = fc.series_state(panel, 0.7), fc.last_rows(panel.select("Ticker", "Date", *X)).drop("Date")
+    one = fc.model_directions(spec, model, last, state, X, [5, 60], 6).orderBy("Ticker", "step").collect()
+    loop = fc.recursive_directions(spec, model, last, state, [5, 60], 6).orderBy("Ticker", "step").collect()
+    assert [(r.step, r.Prediction) for r in one] == [(r.step, r.Prediction) for r in loop]
+    np.testing.assert_allclose([r.Probability for r in one], [r.Probability for r in loop], atol=1e-9)
