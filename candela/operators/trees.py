@@ -114,7 +114,7 @@ def binned_blocks(df: DataFrame, predictors: list[str], folds: list[Fold], edges
             yield close()
 
     y, d = F.col("Target").cast("double"), F.col("d").cast("long")
-    key = F.xxhash64(*[F.col(c) for c in keep])
+    key = F.xxhash64(*[F.col(c) for c in keep[:2]])  # the first kept columns name a row
     x = df.where(y.isNotNull()).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(predictors)], y.alias("y_"), d.alias("d_"), key.alias("h_"), *keep)
     n = x.count()
     parts = max(1, math.ceil(n / BLOCK_ROWS), min(spread, n // LEAST_ROWS))
