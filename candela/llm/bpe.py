@@ -12,7 +12,7 @@ stretches are memoised per worker (the memo is emptied when it holds
 ``MEMO`` entries, which changes no result).
 
 Defined cases: null text counts as empty (no ids); an empty table gives no rows;
-repeated or null doc_ids keep a row each; other columns are ignored.
+repeated or null doc_ids keep a row each; very long texts are encoded whole, match by match, in linear time; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ For EM the ratio of both estimates is tallied per bucket in steps of
 scan or a written table does; an answer that doesn't fit its chunk raises.
 
 Defined cases: null text counts as empty (one token, the end); a null doc_id counts as an
-empty text in the split by crc32 (held out); repeated doc_ids keep a row each; an
+empty text in the split by crc32 (held out); repeated doc_ids keep a row each; ties of hashed keys are one key; a very long text
+lies in one chunk with its neighbours and is counted whole; an
 empty table gives no rows; without training documents all counts are 0; other columns are ignored.
 """
 

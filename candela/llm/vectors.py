@@ -1,7 +1,7 @@
 """Embedding near-duplicates: rounds of sorted projection passes, then exact counts.
 
 1. Each pass puts every unit vector into the nearest of up to ``CELLS`` cells, whose centres are
-   means over a bounded sample (drawn anew per pass, so dense regions get most cells), and
+   means over one bounded sample of all rows (so dense regions get most cells; passes take other members of it), and
    orders all vectors by cell and by 64 sign bits of random projections of the difference to the
    centre: inside a dense source the signs still tell vectors apart. The order is dealt to
    tasks by key ranges of 16 windows at least; ties of a key are split by id. Each vector is compared, in double precision, with

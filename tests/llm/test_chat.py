@@ -30,6 +30,17 @@ def test_round_trip_and_mask(spark):
     assert d[0].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in want[0]).encode()).hexdigest()
 
 
+def test_many_turns_and_chunks(spark):
+    roles = ["user", "assistant", "assistant", "system"]
+    rows = [(1, t, roles[(t * t) % 4], f"t{t} " + HOSTILE[t % len(HOSTILE)]) for t in range(20_000)] + [(2, t, "user", "same") for t in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(df).withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    got = {r.conv_id: r for r in out.collect()}
+    for c in (1, 2):
+        mine = [(r, x) for k, _, r, x in rows if k == c]
+        assert [tuple(t) for t in got[c].turns] == mine and got[c].loss == "".join(x for r, x in mine if r == "assistant")
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest(chat.format_conversations(df)).count() == 0
