@@ -50,7 +50,7 @@ NEAREST = (1, None)
 #: bytes of text per bucket of keys, and the most buckets
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 14
 #: bytes of text whose sets a map task holds at once
-STRIP = 8 << 20
+STRIP = 4 << 20
 _TWO = np.uint64(0x8BB84B93962EACC9)
 
 
