@@ -67,12 +67,8 @@ def leaf_value(b: Boost, g, h):
     return b.rate * np.where(h > 1e-12, _soft(np.asarray(g, float), b.l1) / np.where(h > 1e-12, h, 1.0), 0.0)
 
 
-def split_gains(b: Boost, hist: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gains (slot, input, bin) of cutting after each bin, the sums left of it, and the slots' totals (rows, G, H)."""
-    sums = hist.astype(np.float64)
-    sums[1:] /= tr.ONE
-    left = np.cumsum(sums, axis=3)
-    total = left[:, :, :1, -1:]
+def split_gains(b: Boost, left: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Gains of cuts with these sums (rows, G, H) to the left and in all; -inf where a side is too small."""
     right = total - left
     (nl, gl, hl), (nr, gr, hr), (n, g, h) = left, right, total
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -81,32 +77,44 @@ def split_gains(b: Boost, hist: np.ndarray, used: np.ndarray) -> tuple[np.ndarra
         else:
             score = lambda a, c: np.where(c + b.l2 > 0, _soft(a, b.l1) ** 2 / (c + b.l2), 0.0)
             gains = score(gl, hl) + score(gr, hr) - score(g, h)
-    least = max(b.leaf, 1)
+    gains = np.nan_to_num(gains, nan=0.0)
     if b.growth == "oblivious":  # a cut may leave a side of some node empty
-        fine = (nl > 0) | (n > 0)
-    else:
-        fine = (nl >= least) & (nr >= least) & (hl >= b.hessian) & (hr >= b.hessian)
-    gains = np.where(fine & used[None, :, None], np.nan_to_num(gains, nan=0.0), -np.inf)
-    gains[:, :, -1] = -np.inf
-    return gains, left, total[:, :, 0, 0]
-
-
-def best_cuts(b: Boost, hist: np.ndarray, used: np.ndarray) -> dict:
-    """Per slot the best cut: ``gain, feature, cut``, the sums ``left`` of it and ``total`` (rows, G, H)."""
-    gains, left, total = split_gains(b, hist, used)
-    slots, p, bins = gains.shape
+        return gains
+    least = max(b.leaf, 1)
+    return np.where((nl >= least) & (nr >= least) & (hl >= b.hessian) & (hr >= b.hessian), gains, -np.inf)
+
+
+def best_cuts(b: Boost, cells: tuple, slots: int, used: np.ndarray) -> dict:
+    """Per slot the best cut (of equal ones that of the first input, then bin): ``gain, feature, cut``, the sums ``left`` of it
+    and ``total`` (rows, G, H). ``cells`` are a unit's filled histogram cells."""
+    bins, p = tr.MAX_BINS + 1, len(used)
+    scale = np.array([1.0, tr.ONE, tr.ONE])
     if b.growth == "oblivious":
-        one = np.where(np.isfinite(gains), gains, 0.0).sum(axis=0)
+        sums = tr.dense(cells, slots, p) / scale[:, None, None, None]
+        left = np.cumsum(sums, axis=3)
+        total = left[:, :, :1, -1:]
+        one = split_gains(b, left, total).sum(axis=0)
         one[~used] = -np.inf
         one[:, -1] = -np.inf
-        at = np.full(slots, int(one.argmax()))
-        gain = np.full(slots, one.max())
-    else:
-        flat = gains.reshape(slots, -1)
-        at = flat.argmax(axis=1)
-        gain = flat[np.arange(slots), at]
-    f, cut = at // bins, at % bins
-    return {"gain": gain, "feature": f, "cut": cut, "left": left[:, np.arange(slots), f, cut].T, "total": total.T}
+        f, cut = divmod(int(one.argmax()), bins)
+        return {"gain": np.full(slots, one.max()), "feature": np.full(slots, f), "cut": np.full(slots, cut), "left": left[:, :, f, cut].T, "total": total[:, :, 0, 0].T}
+    # a cut at an empty bin is one at the filled bin before it, so filled cells are all there is to try
+    at = cells[0]
+    group = at // bins
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    run = np.cumsum(cells[1], axis=0)  # integers: exact
+    before = np.concatenate([np.zeros((1, 3), np.int64), run])[first]
+    left = (run - np.repeat(before, np.diff(np.append(first, len(at))), axis=0)) / scale
+    slot, feature = np.divmod(group, p)
+    start = np.searchsorted(slot, np.arange(slots))
+    # each row fills a cell of every input, so the first input's cells make a slot's total
+    end = np.searchsorted(group, np.arange(slots) * p, "right") - 1
+    total = left[end]
+    gains = np.where(used[feature], split_gains(b, left.T, total[slot].T), -np.inf)
+    top = np.maximum.reduceat(gains, start)
+    hit = np.flatnonzero(gains == top[slot])
+    best = hit[np.searchsorted(slot[hit], np.arange(slots))]
+    return {"gain": gains[best], "feature": feature[best], "cut": at[best] % bins, "left": left[best], "total": total}
 
 
 class Grower:
@@ -228,7 +236,7 @@ def boost(df: DataFrame, predictors: list[str], specs: list[Boost], folds: list[
                 sums = state.mapPartitions(_histograms(work, tasks, specs, ends, r, units))
                 if parallel > 1:  # else a partition holds all rows of a key
                     sums = sums.reduceByKey(tr.added, min(len(units), parallel))
-                for (k, at), found in sums.map(_best(specs, tasks, used, p, units)).collect():
+                for (k, at), found in sums.map(_best(specs, tasks, used, units)).collect():
                     cuts[k][at] = found
             for k, found in cuts.items():
                 parts = [found[a] for a in sorted(found)]
@@ -295,11 +303,11 @@ def _histograms(work: dict, tasks: list, specs: list, ends: list, r: int, units:
     return run
 
 
-def _best(specs: list, tasks: list, used: dict, p: int, units: dict):
+def _best(specs: list, tasks: list, used: dict, units: dict):
     """Reduce side of a pass: the cuts of a unit's nodes."""
     def run(item):
         key, c = item
-        return key, best_cuts(specs[tasks[key[0]][0]], tr.dense(c, units[key], p), used[key[0]])
+        return key, best_cuts(specs[tasks[key[0]][0]], c, units[key], used[key[0]])
 
     return run
 
