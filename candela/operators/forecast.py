@@ -237,4 +237,5 @@ def model_directions(spec, model, last_rows: DataFrame, state: DataFrame, predic
     plain = not model.prep and model.rff is None and model.calib is None
     if isinstance(model.model, Ensemble) or plain and not spec.knn and type(model.stages[-1]).__name__ in LINEAR_MODELS:
         return folded_directions(spec, model, last_rows, state, predictors, horizons, horizon, threshold, variant)
-    return recursive_directions(spec, model, last_rows, state, horizons, horizon, threshold, variant)
+    # a neighbour search is a large plan: its lineage is cut at every step
+    return recursive_directions(spec, model, last_rows, state, horizons, horizon, threshold, variant, 1 if spec.knn else 10)

@@ -173,18 +173,17 @@ def test_eleven_models_on_the_same_rows(panel):
     assert len(comp) == 11 and {r.status for r in comp} == {"ok"}
 
 
-@pytest.mark.parametrize("name", ["RandomForest", "ExtraTrees", "GradientBoosting", "CatBoost", "KNN"])
+@pytest.mark.parametrize("name", ["RandomForest", "ExtraTrees", "GradientBoosting", "CatBoost"])
 def test_fitted_model_scores_as_the_backtest_and_forecasts_in_one_pass(panel, name):
     spec = next(s for s in SMALL if s.name == name)
     cal = fo.calendar(panel)
     data = fo.with_date_ordinal(panel, cal)
     fold = fo.folds(cal, WF).orderBy("fold_id").first()
     model = mo.fit(spec, fo.train_rows(data, fold["train_end"]), X)
-    if not spec.knn:
-        test = data.where((F.col("d") >= fold["test_start"]) & (F.col("d") < fold["test_end"]))
-        got = {(r.Ticker, r.Date): r.probability for r in mo.score(spec, model, test).collect()}
-        want = {(r.Ticker, r.Date): r.probability for r in mo.backtest(panel, X, [spec], WF).where(F.col("fold_id") == fold["fold_id"]).collect()}
-        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+    test = data.where((F.col("d") >= fold["test_start"]) & (F.col("d") < fold["test_end"]))
+    got = {(r.Ticker, r.Date): r.probability for r in mo.score(spec, model, test).collect()}
+    want = {(r.Ticker, r.Date): r.probability for r in mo.backtest(panel, X, [spec], WF).where(F.col("fold_id") == fold["fold_id"]).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
     state, last = fc.series_state(panel, 0.7), fc.last_rows(panel.select("Ticker", "Date", *X)).drop("Date")
     one = fc.model_directions(spec, model, last, state, X, [5, 60], 6).orderBy("Ticker", "step").collect()
     loop = fc.recursive_directions(spec, model, last, state, [5, 60], 6).orderBy("Ticker", "step").collect()
