@@ -77,3 +77,13 @@ def test_copies_of_a_token_are_one_test(spark):
         hot = next(i for i in sorted(p) if low < p[i] < high)
         many = rows + [(1000 + i, rows[hot][1] + "=" * (i % 2)) for i in range(3000)]
         assert secrets.thresholds(secrets.scan(spark.createDataFrame(many, "doc_id long, text string"))) == want
+
+
+def test_query_counts_spans_by_kind(spark, tmp_path):
+    key, access, digest = "password=abcdefgh1", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2
+    texts = [None, "", key, access, digest, f"{key} {digest}", f"{access} {access} {key}", f"{digest} {access} {key} {key}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.op2_secrets(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        want = brute(text or "")
+        assert got[i] == (*[sum(x[1] == k for x in want) for k in range(3)], hashlib.sha256(show(want).encode()).hexdigest()), text
