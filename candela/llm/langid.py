@@ -13,7 +13,7 @@ are repeated up to a quarter of the most frequent one's. Inputs are bytes of the
 
 ``train(..., foreign=True)`` learns one class more, from windows of the sample whose letters are shuffled or
 exchanged for each other: text in none of the languages. ``known`` keeps the rows that are not foreign: a text goes
-when the probability of that class exceeds a half, and also that of all but a share of ``LOST`` of labelled rows outside the sample.
+when the probability of that class exceeds a half, and also that of all but a share of ``LOST`` of all labelled rows.
 
 Defined cases: text that is null or has no letter: ``und`` with score 0; no labelled rows: ``und`` for
 all; null lang: not learned from; repeated rows are predicted alike; an empty table gives no rows;
@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candela.llm.common import SLICE_BYTES, table, text_bytes, unused
+from candela.operators.quantiles import exact_quantiles
 
 WINDOW, WIDTHS, FILTERS, DIM = 128, (2, 3, 4), 24, 8
 SAMPLE_DOCS, LEAST_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH = 3000, 64, 4, 6, 128
-#: labelled rows outside the sample that set the level of ``known``, and the share of them that it may lose
-LEVEL_DOCS, LOST = 2000, 0.001
+#: the share of the labelled rows that ``known`` may lose
+LOST = 0.001
 #: the class of text in none of the languages learned
 FOREIGN = "zxx"
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -223,19 +224,16 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS, foreign: bool = False) ->
 
 
 def level(docs: DataFrame, model: Cnn) -> float:
-    """The probability of the foreign class above which a text goes: a half, or what all but ``LOST`` of
-    labelled rows outside the training sample stay below (whole texts of up to ``LEVEL_DOCS`` rows, longest first cut to 20 windows)."""
-    rows = _labelled(docs)
-    n = rows.count()
-    # the sample has the least hashes of each language, these are the greatest ones
-    last = (1 << 62) - int(min(1.0, LEVEL_DOCS / max(n, 1)) * 0.5 * (1 << 62))
-    cut = F.substr("text", F.lit(1), F.lit(20 * WINDOW))
-    some = rows.filter(F.shiftrightunsigned("h", 2) >= last).select("lang", cut.alias("text"), F.shiftrightunsigned("h", 2).alias("k")).orderBy(F.desc("k"), "text").limit(LEVEL_DOCS)
-    texts = [r["text"] for r in some.collect()]
-    if not texts:
-        return 0.5
-    dist = model.texts(*text_bytes(pa.array(texts)), model.tables())
-    return max(0.5, float(np.quantile(dist[:, -1], 1 - LOST)))
+    """The probability of the foreign class above which a text goes: a half, or what all but ``LOST`` of the labelled rows
+    stay below. Every labelled row's whole text counts; the quantile is found where the rows are (``exact_quantiles``)."""
+    def run(batches):
+        tabs = model.tables()
+        for b in batches:
+            dist = model.texts(*text_bytes(b.column(0)), tabs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), pa.array(dist[:, -1].astype(float))], ["all", "p"])
+
+    found = exact_quantiles(_labelled(docs).select("text").mapInArrow(run, "all int, p double"), ["all"], ["p"], [1 - LOST]).first()
+    return max(0.5, float(found["p_q0"])) if found else 0.5
 
 
 def known(docs: DataFrame, model: Cnn | None, most: float) -> DataFrame:

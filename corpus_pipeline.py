@@ -5,7 +5,7 @@ kept; its result is written as Parquet to the shared folder and read back as the
 last return the columns of ``docs``, whatever these are besides ``doc_id``, ``text`` and ``lang``.
 
 1. ``language``: documents without letters (null text too), and those in none of the languages learned, go
-   (``langid.known``: a class of its own, its level set on labelled rows outside the training sample).
+   (``langid.known``: a class of its own, its level set on all labelled rows).
 2. ``near_copies``: word shingles of five, similarity 0.8; of each group of linked documents the one with the
    smallest id stays. Rows that share a doc_id stay or go together; rows without one stay.
 3. ``benchmark``: documents that hold a passage of a benchmark item go.

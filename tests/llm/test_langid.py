@@ -1,6 +1,7 @@
 """Language identification: held-out accuracy, equal forms of the network, edge cases."""
 
 import numpy as np
+import pyarrow as pa
 
 from candela.llm import langid
 from candela.llm.common import table
@@ -117,3 +118,14 @@ def test_foreign_texts_go_and_clean_ones_stay(spark):
     assert langid.known(junk, model, most).count() <= 1
     assert langid.known(spark.createDataFrame([(1, None), (2, ""), (3, "12 !")], "doc_id long, text string"), model, most).count() == 0
     print("Hungarian kept:", langid.known(spark.createDataFrame([(1, hungarian)], "doc_id long, text string"), model, most).count())
+
+
+def test_the_level_counts_every_labelled_row(spark):
+    docs = table(spark, SF_ORACLE, "documents").select("doc_id", "lang", "text")
+    # beyond the bounded number of rows that set the level before; the text behind the first 20 windows counts too
+    docs = docs.union(docs.selectExpr("doc_id + 100000", "lang", "repeat('a b c d ', 400) || reverse(text)")).union(docs.selectExpr("doc_id + 200000", "lang", "text"))
+    model = langid.train(docs, foreign=True)
+    rows = [r.text for r in langid._labelled(docs).collect()]
+    p = model.texts(*langid.text_bytes(pa.array(rows)), model.tables())[:, -1]
+    assert abs(langid.level(docs, model) - max(0.5, float(np.quantile(p, 1 - langid.LOST)))) < 1e-9
+    assert langid.level(docs.filter("lang IS NULL"), model) == 0.5
