@@ -186,3 +186,14 @@ def test_one_class_and_no_rows(spark, table):
     trees, prior, _, state = bo.boost(table.withColumn("Target", F.lit(1)), P, [SPECS["newton"]], folds, ["id"])
     assert trees == [[[], []]] and prior == [[0.0, 0.0]]
     assert tr.scored_rows(state, folds, 1, "id int", spark).count() == 120
+
+
+def test_a_small_table_takes_few_jobs(spark, table):
+    sc = spark.sparkContext
+    sc.setJobGroup("small-boost", "")
+    try:
+        bo.boost(table, P, [SPECS["newton"], SPECS["leafwise"]], FOLDS, ["id"])[3].unpersist()
+        # a job for each tree level before
+        assert 0 < len(sc.statusTracker().getJobIdsForGroup("small-boost")) <= 14 < SPECS["newton"].rounds * SPECS["newton"].depth
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)

@@ -149,3 +149,14 @@ def test_no_training_rows(spark, table):
     trees, edges, blocks = fr.grow(table, P, [fr.Forest(2, 3)], [Fold(0, 0, 60, 70)], ["id"])
     out = tr.scored_rows(fr.scores(trees, [fr.Forest(2, 3)], blocks), [Fold(0, 0, 60, 70)], 1, "id int", spark).collect()
     assert {r.score for r in out} == {0.5}
+
+
+def test_a_small_table_takes_few_jobs(spark, table):
+    sc = spark.sparkContext
+    sc.setJobGroup("small-forest", "")
+    try:
+        fr.grow(table, P, [fr.Forest(3, 15), fr.Forest(3, 15, random_cuts=True)], FOLDS, ["id"])[2].unpersist()
+        # one to three jobs for each tree level before
+        assert 0 < len(sc.statusTracker().getJobIdsForGroup("small-forest")) <= 14
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
