@@ -48,6 +48,9 @@ from candela.operators.trees import Ensemble, Fold
 from candela.session import written
 
 
+#: rows of a partition that the fits go over again and again
+PARTITION_ROWS = 1 << 16
+
 #: the long table that every back-test returns
 PREDICTION_SCHEMA = ("model string, fold_id int, Ticker string, Date date, Target int, probability double, "
                      "Predictions int, fwd_return double")
@@ -358,6 +361,12 @@ def score(spec: ModelSpec, fitted, rows: DataFrame, threshold: float = 0.51) ->
     return out.withColumn("probability", F.lit(None).cast("double")).withColumn("Predictions", pred.cast("int"))
 
 
+def sized(data: DataFrame, rows: int) -> DataFrame:
+    """``data`` in partitions of about ``PARTITION_ROWS`` of its ``rows``. How finely the ticks behind it were cut doesn't matter then:
+    every pass of an iterative fit has as many tasks, and sends the driver as many results, as the rows it reads ask for."""
+    return data.coalesce(max(1, math.ceil(rows / PARTITION_ROWS)))
+
+
 def backtest(df: DataFrame, predictors: list[str], specs: list[ModelSpec],
              wf: fo.WalkForward = fo.PIPELINE_WF, threshold: float = 0.51,
              max_parallel: int = 4) -> DataFrame:
@@ -369,7 +378,7 @@ def backtest(df: DataFrame, predictors: list[str], specs: list[ModelSpec],
     """
     df = df.persist()                                 # features are computed once for all fits
     cal = fo.calendar(df).persist()                   # one row per date
-    data = fo.with_date_ordinal(df, cal).persist()
+    data = sized(fo.with_date_ordinal(df, cal), df.count()).persist()
     fold_table = fo.folds(cal, wf).persist()          # one row per fold (bounded by calendar / step)
     fold_rows = fold_table.collect()
     tests = fo.assign_test(data, fold_table)

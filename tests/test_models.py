@@ -189,3 +189,9 @@ def test_fitted_model_scores_as_the_backtest_and_forecasts_in_one_pass(panel, na
     loop = fc.recursive_directions(spec, model, last, state, [5, 60], 6).orderBy("Ticker", "step").collect()
     assert [(r.step, r.Prediction) for r in one] == [(r.step, r.Prediction) for r in loop]
     np.testing.assert_allclose([r.Probability for r in one], [r.Probability for r in loop], atol=1e-9)
+
+
+def test_fits_have_partitions_by_rows(spark):
+    ticks = spark.range(1000).repartition(60)
+    assert mo.sized(ticks, 1000).rdd.getNumPartitions() == 1 and mo.sized(ticks, 1000).count() == 1000
+    assert mo.sized(ticks, 3 * mo.PARTITION_ROWS).rdd.getNumPartitions() == 3
