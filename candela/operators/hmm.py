@@ -17,6 +17,7 @@ posterior that their neighbours imply.
 
 from __future__ import annotations
 
+import math
 import pickle
 from dataclasses import dataclass, field
 
@@ -30,6 +31,8 @@ from candela.operators.halo import global_row_index
 from candela.operators.trees import Fold
 
 CHUNK, BLOCK = 4096, 64
+#: chunks of a task, where there are more chunks than cores
+CHUNKS_A_TASK = 8
 
 
 @dataclass
@@ -149,7 +152,7 @@ class _Chunk:
 
 
 def chunks(df: DataFrame, predictors: list[str], keep: list[str]) -> RDD:
-    """``((Ticker, chunk), {x, d, rows})`` hash-partitioned by key, rows of a series in order."""
+    """``((Ticker, chunk), {x, d, rows})`` hash-partitioned by key and persisted, rows of a series in order."""
     size = CHUNK
     placed = global_row_index(df.select("Ticker", "Date", "d", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(predictors)],
                                         *[F.col(c).alias(f"k_{c}") for c in keep]), "Date")
@@ -161,8 +164,13 @@ def chunks(df: DataFrame, predictors: list[str], keep: list[str]) -> RDD:
         return pd.DataFrame({"Ticker": [pdf["Ticker"].iloc[0]], "chunk": [int(pdf["_g"].iloc[0]) // size], "item": [pickle.dumps(item)]})
 
     packed = placed.groupBy("Ticker", F.floor(F.col("_g") / size).alias("_c")).applyInPandas(pack, "Ticker string, chunk long, item binary")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return packed.rdd.map(lambda r: ((r[0], r[1]), pickle.loads(r[2]))).partitionBy(n)
+    # each EM round goes over the chunks: few of them a task, and no tasks without any, however finely the input is cut
+    packed = packed.persist()
+    n, cores = packed.count(), df.sparkSession.sparkContext.defaultParallelism
+    held = packed.rdd.map(lambda r: ((r[0], r[1]), pickle.loads(r[2]))).partitionBy(max(1, min(n, cores), math.ceil(n / CHUNKS_A_TASK)))
+    held.persist(StorageLevel.MEMORY_AND_DISK).count()
+    packed.unpersist()
+    return held
 
 
 def _on(item: dict, f: Fold, test: bool) -> np.ndarray:
@@ -311,7 +319,7 @@ def posteriors(data: RDD, models: list[Hmm], folds: list[Fold], schema: str, spa
 def backtest(data: DataFrame, predictors: list[str], folds: list[Fold], k: int = 3, rounds: int = 100) -> tuple[DataFrame, list[Hmm], RDD]:
     """Walk-forward fits on ``data`` (Ticker, Date, d, Target, fwd_return, inputs): test posteriors, models, and the persisted chunks."""
     keep = ["Ticker", "Date", "Target", "fwd_return"]
-    held = chunks(data, predictors, keep).persist(StorageLevel.MEMORY_AND_DISK)
+    held = chunks(data, predictors, keep)
     models = fit(held, folds, k, rounds)
     schema = ", ".join(f"{c} {data.schema[c].dataType.simpleString()}" for c in keep)
     return posteriors(held, models, folds, schema, data.sparkSession), models, held

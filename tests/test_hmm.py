@@ -89,3 +89,19 @@ def test_learns_the_regimes(panel):
     _, models, _ = hmm.backtest(panel, ["a", "b"], FOLDS)
     np.testing.assert_allclose(models[1].mean, [[0, 0], [1, 2], [2, 4]], atol=0.3)
     assert (np.diag(models[1].move) > 0.85).all()
+
+
+def test_few_chunks_make_few_partitions(spark, panel):
+    held = hmm.chunks(panel.repartition(40), ["a", "b"], ["Ticker", "Date"])
+    n = held.count()
+    # as many as spark.sql.shuffle.partitions before, each a task in every step of every round
+    assert n == len({t for t, _, _ in series(panel)}) and held.getNumPartitions() <= n
+    few = held.getNumPartitions()
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    try:
+        again = hmm.chunks(panel, ["a", "b"], ["Ticker", "Date"])
+        assert again.getNumPartitions() == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    held.unpersist()
+    again.unpersist()
