@@ -195,3 +195,16 @@ def test_fits_have_partitions_by_rows(spark):
     ticks = spark.range(1000).repartition(60)
     assert mo.sized(ticks, 1000).rdd.getNumPartitions() == 1 and mo.sized(ticks, 1000).count() == 1000
     assert mo.sized(ticks, 3 * mo.PARTITION_ROWS).rdd.getNumPartitions() == 3
+
+
+def test_trees_leave_the_shared_rows_cached(panel):
+    rows, held = panel.withColumn("d", F.lit(0)).persist(), panel.withColumn("more", F.lit(1)).persist()
+    try:
+        bo_spec, rf_spec = mo.Boost(2, 2), mo.Forest(2, 2)
+        mo.bo.boost(rows, X, [bo_spec], [mo.Fold(0, 1)], ["Ticker", "Date"])[-1].unpersist()
+        mo.fr.grow(rows, X, [rf_spec], [mo.Fold(0, 1)], ["Ticker", "Date"])[-1].unpersist()
+        mo.backtest(held, X, [mo.REGISTRY["Ridge"]], WF)
+        assert rows.storageLevel.useMemory and held.storageLevel.useMemory  # else every later model makes the features anew
+    finally:
+        rows.unpersist()
+        held.unpersist()
