@@ -208,3 +208,15 @@ def test_trees_leave_the_shared_rows_cached(panel):
     finally:
         rows.unpersist()
         held.unpersist()
+
+
+def test_an_ensemble_is_walked_once_a_step(panel):
+    spec = mo.ModelSpec("Few", 0, trees=mo.Forest(3, 3))
+    model = mo.fit(spec, panel, X)
+    state, last = fc.series_state(panel, 0.7), fc.last_rows(panel.select("Ticker", "Date", *X)).drop("Date")
+    out = fc.model_directions(spec, model, last, state, X, [5, 60], 4)
+    roots = " ".join(map(repr, model.model.roots))
+    assert out._jdf.queryExecution().analyzed().toString().count(f"split({roots}") == 1
+    loop = fc.recursive_directions(spec, model, last, state, [5, 60], 4).orderBy("Ticker", "step").collect()
+    rows = out.orderBy("Ticker", "step").collect()
+    assert [(r.Prediction, r.Probability) for r in rows] == [(r.Prediction, r.Probability) for r in loop]
