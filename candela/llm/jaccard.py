@@ -51,6 +51,8 @@ NEAREST = (1, None)
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 14
 #: bytes of text whose sets a map task holds at once
 STRIP = 4 << 20
+#: bytes of text that are made sets at once, and elements that are made keys at once: arrays of many times their size are held meanwhile
+PIECE, PIECE_ELEMENTS = 1 << 18, 1 << 16
 _TWO = np.uint64(0x8BB84B93962EACC9)
 
 
@@ -98,7 +100,7 @@ class Bands:
 def shingle_sets(col, size: int):
     """Per row the sorted distinct shingle hashes."""
     data, off = text_bytes(col)
-    for i, j in slices(off):
+    for i, j in slices(off, PIECE):
         part, o = data[off[i]: off[j]], off[i: j + 1] - off[i]
         s, e, wo = words(part, o)
         h = word_hashes(part, s, e, lower=True)
@@ -114,6 +116,12 @@ def shingle_sets(col, size: int):
 
 def _keys(flat: np.ndarray, n: np.ndarray, tile: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Segment keys of all sets (concatenated, sizes n) in the given tiles, and each key's set."""
+    off = np.concatenate([[0], np.cumsum(n)])
+    found = [(k, w + i) for i, j in slices(off, PIECE_ELEMENTS) for k, w in [_piece_keys(flat[off[i]: off[j]], n[i:j], tile[i:j], bands)]]
+    return np.concatenate([k for k, _ in found]), np.concatenate([w for _, w in found])
+
+
+def _piece_keys(flat: np.ndarray, n: np.ndarray, tile: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     parts, spare = bands.segments[tile], bands.spare[tile]
     base = np.cumsum(parts) - parts
     owner = np.repeat(np.arange(len(n)), n)
@@ -202,7 +210,8 @@ def _groups(docs: DataFrame, percent: int, size: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            b = b.filter(b.column(0).is_valid())
+            if b.column(0).null_count:  # else spare the copy
+                b = b.filter(b.column(0).is_valid())
             for i, j in slices(text_bytes(b.column(1))[1], STRIP):
                 part = b.slice(i, j - i)
                 yield from batch(part.column(0).cast(pa.int64()).to_numpy(), part.column(1))

@@ -2,6 +2,10 @@
 
 import random
 import re
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from candela.llm import jaccard
 from candela.llm.common import table
@@ -67,3 +71,26 @@ def test_against_brute_force(spark, monkeypatch):
 def test_documents(spark):
     df = table(spark, SF_ORACLE, "documents").select("doc_id", "text")
     assert result(df.repartition(6)) == brute([tuple(r) for r in df.collect()])
+
+
+def test_a_strip_takes_little_memory():
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(5000)]
+    texts = pa.array([" ".join(rng.choices(vocab, k=400)) for _ in range(jaccard.STRIP // 2300)])
+    assert jaccard.STRIP * 0.8 < sum(map(len, texts.to_pylist())) < jaccard.STRIP * 1.2
+    list(jaccard.shingle_sets(texts[:1], 5))  # tables of powers
+    bands, size = jaccard.Bands(80), texts.nbytes
+    tracemalloc.start()
+    try:
+        sets = list(jaccard.shingle_sets(texts, 5))
+        made = tracemalloc.get_traced_memory()[1]
+        flat, n = np.concatenate(sets), np.array([len(s) for s in sets])
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        keys, whose = jaccard._keys(flat, n, bands.of(n), bands)
+        keyed = tracemalloc.get_traced_memory()[1] - held
+    finally:
+        tracemalloc.stop()
+    assert made < 5 * size and keyed < 5 * size, (made / size, keyed / size)
+    one, _ = jaccard._piece_keys(flat, n, bands.of(n), bands)  # in pieces as at once
+    assert (keys == one).all() and whose[-1] == len(n) - 1 and (np.diff(whose) >= 0).all()
