@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candela.llm.common import components, expanded, gram_hashes, mix, slices, squeezed, table, text_bytes, word_hashes, words, written
+from candela.llm.common import components, expanded, gram_hashes, in_small_batches, mix, slices, squeezed, table, text_bytes, word_hashes, words, written
 from candela.session import checkpoint_dir
 
 SHINGLE, PERCENT, TILE = 4, 85, 1024
@@ -375,6 +375,13 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """``(id, n)`` per row with a doc_id, and ``(id, component_id)`` of all linked documents."""
+    with in_small_batches(docs.sparkSession):  # all jobs with Python workers run in here
+        found, comp = _linked(docs, percent, size)
+    return found.filter("n IS NOT NULL AND gid IS NULL").select("id", "n"), comp
+
+
+def _linked(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``_groups``, written, and the components."""
     found = written(_groups(docs, percent, size), "shared-keys")
     members = written(found.filter("gid IS NOT NULL").select("gid", "id", "n", "first", "first_n").distinct(), "groups")
     bits = found.filter("bits IS NOT NULL").select("id", "n", "bits")
@@ -391,7 +398,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
             comp = _joined(comp, links)
     finally:
         docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    return found.filter("n IS NOT NULL AND gid IS NULL").select("id", "n"), comp
+    return found, comp
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:

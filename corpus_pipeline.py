@@ -3,6 +3,8 @@
 A stage is ``(name, function(spark, docs, sf_dir))``. It works on all rows that its predecessor
 kept; its result is written as Parquet to the shared folder and read back as the next stage's ``docs``. All but the
 last return the columns of ``docs``, whatever these are besides ``doc_id``, ``text`` and ``lang``.
+A stage's rows go to Python workers in batches of ``common.BATCH_BYTES``: a setting that stays with the session, as the
+stage's result is computed when it is written.
 
 1. ``language``: documents without letters (null text too), and those in none of the languages learned, go
    (``langid.known``: a class of its own, its level set on all labelled rows).
@@ -22,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candela.llm import bpe, decontam, jaccard, langid, secrets
-from candela.llm.common import table, written
+from candela.llm.common import small_batches, table, written
 
 SHINGLE, PERCENT = 5, 80
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = langid.train(docs, foreign=True)
     return langid.known(docs, model, langid.level(docs, model) if model else 0.5)
 
@@ -41,6 +44,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -52,6 +56,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.encode_documents(docs).select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 

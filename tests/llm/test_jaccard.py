@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from candela.llm import jaccard
-from candela.llm.common import table
+from candela.llm.common import BATCH_BYTES, table
 
 from conftest import SF_ORACLE
 
@@ -94,3 +94,26 @@ def test_a_strip_takes_little_memory():
     assert made < 5 * size and keyed < 5 * size, (made / size, keyed / size)
     one, _ = jaccard._piece_keys(flat, n, bands.of(n), bands)  # in pieces as at once
     assert (keys == one).all() and whose[-1] == len(n) - 1 and (np.diff(whose) >= 0).all()
+
+
+def test_long_rows_reach_python_in_small_batches(spark, monkeypatch):
+    key, real, seen = "spark.sql.execution.arrow.maxBytesPerBatch", jaccard._groups, []
+    spark.conf.set(key, "64m")
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('some long text ', 600) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def spy(docs, percent, size):
+        seen.append(docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0])
+        return real(docs, percent, size)
+
+    monkeypatch.setattr(jaccard, "_groups", spy)
+    try:
+        _, linked = jaccard.near_groups(docs)
+        assert linked.filter("component_id = 0").count() == 3000
+        assert seen[0] <= BATCH_BYTES + 20_000
+        assert spark.conf.get(key) == "64m"  # the session's own setting is back
+    finally:
+        spark.conf.unset(key)

@@ -4,12 +4,13 @@ import base64
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
 import corpus_pipeline
 from candela.llm import bpe, secrets
-from candela.llm.common import table
+from candela.llm.common import BATCH_BYTES, table
 
 from conftest import SF_ORACLE, SF_SMALL
 
@@ -55,3 +56,18 @@ def test_run(spark):
     codec = bpe.codec(bpe.default_ranks(), P.PATTERN)
     same = sum(codec.decode(r.ids).decode() == docs[r.doc_id] for r in out)
     assert same >= 0.8 * len(out) and secrets.KINDS
+
+
+def test_long_rows_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(2000, numPartitions=1).selectExpr("id AS doc_id", "repeat('some long text ', 600) AS text", "'en' AS lang", "9000L AS n_chars")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("language", "benchmark", "tokens"):  # their results are computed by Python when written
+            spark.conf.unset(key)
+            stage(spark, docs.limit(40), SF_SMALL)
+            assert docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] <= BATCH_BYTES + 20_000, name
