@@ -8,7 +8,8 @@ commit protocol, so a lost task leaves no half file). A row is one block: ``file
 documents and closes at ``BLOCK_IDS`` ids or more.
 
 Encoding: the tokenizers library, on blank-separated stretches, which the
-tokenizer's own rules treat apart; stretches are memoised per worker (two
+tokenizer's own rules treat apart. Texts are split some megabytes at a time (``SLICE``) as Arrow columns and each
+distinct stretch of a slice is looked up once, by its letters and by the marks that end it, in a memo per worker (two
 generations of ``MEMO`` entries). A text that holds the string of a special token goes to the library whole, which
 makes it that token's id, as it does by default; with ``ordinary`` such strings are ordinary text.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import unicodedata
 import uuid
@@ -29,15 +31,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candela.llm import simple8b
-from candela.llm.common import table
+from candela.llm.common import slices, table, text_bytes
 from candela.session import checkpoint_dir
 
 MEMO = 400_000
+#: bytes of text whose distinct stretches are looked up at once
+SLICE = 4 << 20
+#: a run of them is one piece to the tokenizer, apart from letters; only an apostrophe may join letters that follow
+MARKS = string.punctuation
+_BEFORE = MARKS.replace("'", "")
+#: letters that Arrow, Python and the tokenizer treat alike: normal forms, in lower case too; then a simple stretch
+_LETTERS = "[a-zA-ZÀ-ÖØ-öø-ÿ]+"
+_SIMPLE = f"^[{re.escape(_BEFORE)}]*{_LETTERS}[{re.escape(MARKS)}]*$"
 BLOCK_IDS = 1 << 18
 END_ID = 1
 SCHEMA = "file int, block int, first bigint, doc_ids array<{0}>, lengths array<bigint>, payload binary"
@@ -58,53 +69,141 @@ class Words(dict):
     def __init__(self, path: str, ordinary: bool = False):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = ordinary
+        self.tokenizer.encode_special_tokens = True  # only ``_whole`` looks for special tokens
         self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = self.tokenizer.model
+        # the library's BPE model alone, for words joined by one space
+        self.joined = Tokenizer(self.tokenizer.model)
+        self.joined.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.old: dict = {}
-        self.controls = re.compile("[\x1c-\x1f]")  # blanks for str.split, not for the tokenizer
-        # byte-level characters: printable bytes stand for themselves, the others for 256 and up
-        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        rest = [b for b in range(256) if b not in own]
-        self.byte_level = {b: 256 + i for i, b in enumerate(rest)}
 
     @staticmethod
-    def _plain(s: str) -> bool:
-        """Letters alone, which the tokenizer's normaliser leaves as they are."""
-        return s.isalpha() and (s.isascii() or s.lower() == s and unicodedata.is_normalized("NFC", s))
+    def _lower(s: str) -> str | None:
+        """``s``, letters alone, as the tokenizer's normaliser lower-cases it; None where that may differ from Python's way."""
+        if s.isascii():
+            return s.lower()
+        if "Σ" in s or not unicodedata.is_normalized("NFC", s):  # a last sigma is nothing special to the tokenizer
+            return None
+        low = s.lower()
+        return low if low == s or low.isalpha() and unicodedata.is_normalized("NFC", low) else None
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters alone, as the normaliser leaves them."""
+        ids = np.array(self.joined.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        to = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(to) != len(words):  # a tokenizer of another kind
+            return list(map(self._library, words))
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *to], to)]
 
     def _ids(self, s: str) -> bytes:
-        lower = s.lower() if s.isascii() else s
-        if lower != s:  # the tokenizer lower-cases
-            return self[lower]
-        body = s.rstrip(".,!?;:")
-        if len(body) < len(s) and self._plain(body):  # letters and marks are never one piece
-            return self[body] + self[s[len(body):]]
-        if self._plain(s):
-            ids = [t.id for t in self.model.tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(self.byte_level))]
-        else:
-            ids = self.tokenizer.encode(s, add_special_tokens=False).ids
+        body = s.rstrip(MARKS)
+        if body.isalpha():
+            low = self._lower(body)
+            if low is not None:
+                if len(body) < len(s):  # letters and marks are never one piece
+                    return self[low] + self[s[len(body):]]
+                return self._letters([s])[0] if low == s else self[low]
+        elif s.isascii() and s.lower() != s:
+            return self[s.lower()]
+        return self._library(s)
+
+    def _library(self, s: str) -> bytes:
+        ids = self.tokenizer.encode(s, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _whole(self, text: str) -> bytes:
+        """The ids of a text in which special tokens count."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._library(text)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def __missing__(self, s: str) -> bytes:
         out = self.old.get(s)
         if out is None:
             out = self._ids(s)
+        self._keep(s, out)
+        return out
+
+    def _keep(self, s: str, ids: bytes) -> None:
         if len(s) <= 64:
             if len(self) >= MEMO:
                 self.old = dict(self)
                 self.clear()
-            self[s] = out
+            self[s] = ids
+
+    def _known_letters(self, words: list[str]) -> list[bytes]:
+        """``_letters`` of distinct words through the memo."""
+        out = list(map(self.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        never = []
+        for k in new:
+            out[k] = self.old.get(words[k])
+            if out[k] is None:
+                never.append(k)
+        for k, ids in zip(never, self._letters([words[k] for k in never])):
+            out[k] = ids
+        for k in new:
+            self._keep(words[k], out[k])
         return out
 
+    def _known(self, words: list[str]) -> list[bytes]:
+        return list(map(self.__getitem__, words))
+
+    @staticmethod
+    def _looked_up(words: pa.Array, known) -> pa.Array:
+        """The ids of each string, the same string looked up once."""
+        keys = words.dictionary_encode()
+        return pa.array(known(keys.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(keys.indices)
+
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """The ids of stretches; simple ones are looked up as lower-case letters and the marks around them."""
+        simple = pc.match_substring_regex(words, _SIMPLE)
+        low = pc.utf8_lower(words.filter(simple))
+        letters = pc.ascii_ltrim(pc.ascii_rtrim(low, MARKS), _BEFORE)
+        ids = self._looked_up(letters, self._known_letters)
+        marked = pc.not_equal(low, letters)
+        low, bare = low.filter(marked), pc.invert(marked)
+        before = pc.replace_substring_regex(low, f"{_LETTERS}.*", "")
+        after = pc.replace_substring_regex(low, f"^[^a-zà-öø-ÿß]*{_LETTERS}", "")
+        around = pc.binary_join_element_wise(self._looked_up(before, self._known), ids.filter(marked),
+                                             self._looked_up(after, self._known), pa.scalar(b"", pa.large_binary()))
+        other = self._looked_up(words.filter(pc.invert(simple)), self._known)
+        # back in the order of the words
+        place = np.arange(len(words))
+        simple, bare = (np.asarray(x.to_numpy(zero_copy_only=False), bool) for x in (simple, bare))
+        order = np.concatenate([place[simple][bare], place[simple][~bare], place[~simple]])
+        place[order] = np.arange(len(words))
+        return pa.concat_arrays([ids.filter(pa.array(bare)), around, other]).take(pa.array(place))
+
+    def encoded(self, texts: pa.Array):
+        """The ids of each text of a string column in turn (null: empty), as bytes or views of a slice's bytes."""
+        for i, j in slices(text_bytes(texts)[1], SLICE):
+            part = texts.slice(i, j - i).fill_null("")
+            # these blanks are blanks to the tokenizer; others stay inside a stretch
+            words = pc.ascii_split_whitespace(part)
+            coded = words.flatten().dictionary_encode()
+            ids = self._distinct(coded.dictionary).take(coded.indices)
+            _, to, data = ids.buffers()
+            to = np.frombuffer(to, np.int64)[words.offsets.to_numpy()].tolist()
+            whole = self._special(part)
+            data = memoryview(data or b"")
+            for k, (a, b) in enumerate(zip(to, to[1:])):
+                yield self._whole(part[k].as_py()) if k in whole else data[a:b]
+
+    def _special(self, texts: pa.Array) -> set[int]:
+        """The places of texts that hold the string of a special token."""
+        return {k for t in self.special for k in np.flatnonzero(pc.match_substring(texts, t).to_numpy(zero_copy_only=False)).tolist()}
+
     def encode(self, text: str) -> bytes:
-        if any(map(text.__contains__, self.special)):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        parts = re.findall("[^ \t\n\r]+", text) if self.controls.search(text) else text.split()
-        return b"".join(map(self.__getitem__, parts))
+        return bytes(next(self.encoded(pa.array([text]))))
 
 
 @lru_cache(maxsize=2)
@@ -125,18 +224,17 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int
         ids, parts, block, first = [], [], 0, 0
 
         def close():
-            values = np.frombuffer(b"".join(parts), "<u4").astype(np.uint64)
+            values = np.frombuffer(end.join(parts) + end, "<u4").astype(np.uint64)
             return pa.RecordBatch.from_pylist([{
-                "file": no, "block": block, "first": first, "doc_ids": ids, "lengths": [len(p) // 4 for p in parts],
+                "file": no, "block": block, "first": first, "doc_ids": ids, "lengths": [len(p) // 4 + 1 for p in parts],
                 "payload": simple8b.encode(values)}], arrow)
 
         size = 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                part = words.encode(text.as_py() or "") + end
+            for doc, part in zip(b.column(0).to_pylist(), words.encoded(b.column(1))):
                 ids.append(doc)
                 parts.append(part)
-                size += len(part) // 4
+                size += len(part) // 4 + 1
                 if size >= BLOCK_IDS:
                     yield close()
                     ids, parts, block, first, size = [], [], block + 1, first + size, 0

@@ -1,8 +1,10 @@
 """Simple-8b round trips; token files equal the tokenizers library's ids."""
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,3 +57,47 @@ def test_any_text_equals_library(a, b):
     words, library = token_files.encoder(token_files.default_tokenizer()), Tokenizer.from_file(token_files.default_tokenizer())
     for text in (a, b, a + b, a + "<|endoftext|>" + b):
         assert np.frombuffer(words.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+@lru_cache
+def whole_library():
+    return Tokenizer.from_file(token_files.default_tokenizer())
+
+
+def library_ids(texts):
+    library = whole_library()
+    return [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_control_string_in_capitals_is_text():
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "<|endoftext|> <|ENDOFTEXT|>", "<|ENDOFTEXT|>."]
+    words = token_files.Words(token_files.default_tokenizer())
+    assert [words.encode(t) for t in texts] == library_ids(texts)
+
+
+def test_words_with_marks_and_capitals_go_to_the_model_at_once(monkeypatch):
+    calls, alone = [], []
+    letters, library = token_files.Words._letters, token_files.Words._library
+    monkeypatch.setattr(token_files.Words, "_letters", lambda self, w: calls.append(list(w)) or letters(self, w))
+    monkeypatch.setattr(token_files.Words, "_library", lambda self, s: alone.append(s) or library(self, s))
+    words = token_files.Words(token_files.default_tokenizer())
+    texts = ["Éclair, (ÉCLAIR) [éclair]*** Word$$$ \"word\"", None, "word. Éclair! over words' word"] * 500
+    out = [bytes(x) for x in words.encoded(pa.array(texts))]
+    assert out == library_ids(texts)
+    assert [sorted(c) for c in calls] == [["over", "word", "words", "éclair"]]
+    assert all(not any(map(str.isalpha, s)) for s in alone) and len(alone) <= 12  # each run of marks once
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aBJé É×÷ßÿµªKİ̱̌̇.,'(\"-st\\]^ \n\x0b\x85\x1c\xa0я1²", max_size=25),
+                          st.sampled_from(["<|endoftext|>", "<|STARTOFTEXT|>", "don't 'tis ('s '' (a) a's' l'É", "ΑΣ. ΑΣ ſ. Ж* Ⅷ. J̌ H̱."])), max_size=12), st.integers(0, 3))
+def test_columns_equal_library(texts, skip):
+    size, memo = token_files.SLICE, token_files.MEMO
+    token_files.SLICE, token_files.MEMO = 30, 3  # many slices; the memo turns over
+    try:
+        words = token_files.encoder(token_files.default_tokenizer())
+        for kind in (pa.string(), pa.large_string()):
+            col = pa.array(texts, kind)[skip:]
+            assert [bytes(x) for x in words.encoded(col)] == library_ids(texts[skip:])
+    finally:
+        token_files.SLICE, token_files.MEMO = size, memo
