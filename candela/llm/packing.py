@@ -44,11 +44,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches):
-        encode, uid = encoder(tok).encode, TaskContext.get().partitionId() << 40
+        words, uid = encoder(tok), TaskContext.get().partitionId() << 40
         for b in batches:
             place, number, length, crc, ids = [], [], [], [], []
-            for i, text in enumerate(b.column(1)):
-                part = encode(text.as_py() or "") + end
+            for i, part in enumerate(words.encoded(b.column(1))):
+                part = bytes(part) + end
                 for k, at in enumerate(range(0, len(part), 4 * capacity)):
                     cut = part[at: at + 4 * capacity]
                     place.append(i)

@@ -85,6 +85,11 @@ def test_hostile_rows_in_many_groups(spark):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_marks_capitals_and_control_strings(spark):
+    docs = [(i, t) for i, t in enumerate(["<|ENDOFTEXT|> a", "(Éclair) [ÉCLAIR]*** 'tis dogs' don't", None, "<|startoftext|>x", "a\u00a0!\x1cb"] * 40)]
+    check(packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect(), docs)
+
+
 def test_sequences_hold_the_ids(spark):
     df = table(spark, SF_ORACLE, "documents").limit(200)
     docs = [(r.doc_id, r.text) for r in df.collect()]
