@@ -57,6 +57,18 @@ def test_winner_input_is_a_table(spark, monkeypatch):
     assert df.count() == want.count() and df.exceptAll(want).count() == 0
 
 
+def test_winner_queries_read_the_ticks_once(spark, monkeypatch):
+    made, plain = [], bl.with_forward_return(rows_frame(spark))
+    monkeypatch.setattr(catalog, "_model_input", lambda s, d: plain)
+    monkeypatch.setattr(catalog.ev, "winner_forecast", lambda df, *a: made.append(df) or (df, df))
+    monkeypatch.setattr(catalog.rp, "result_lines", lambda history, *a: history)
+    monkeypatch.setattr(catalog, "_headline", lambda df, path: df)
+    for name in ("forecast_winner", "result_winner"):
+        history = catalog.QUERIES[name](spark, "")
+        # the document's history comes from the same table, not from the ticks again
+        assert all("Window" not in x._jdf.queryExecution().executedPlan().toString() for x in (made[-1], history))
+
+
 def test_forest_draws_rows_once_a_tree(monkeypatch):
     for spec in (fr.Forest(3, 6, leaf=2, split=4), fr.Forest(3, 6, bootstrap=False, random_cuts=True)):
         grown, draws, plain = [], [], fr.multiplicity
